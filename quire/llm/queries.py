@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.chat import rotate_perspectives
+from quire.llm.decontam import contaminated_passages
+from quire.llm.embeddings import embedding_groups
+from quire.llm.htmltext import extract_pages
+from quire.llm.langid import fit_languages, identify_language
 from quire.llm.sharding import shard_documents
 from quire.llm.simhash import simhash_groups
 
@@ -16,6 +20,25 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(_read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_passages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def held_out(docs: DataFrame):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(~held_out(docs)))
+    out = identify_language(docs.select("doc_id", "text", held_out(docs).alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "coverage")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -28,6 +51,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_pages(_read(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(_read(spark, sf_dir, "conversations"))
 
@@ -48,7 +76,15 @@ FROM h
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash": op5_simhash, "op8_sharding": op8_sharding, "op10_chat": op10_chat}
+    return {
+        "op1_embeddings": op1_embeddings,
+        "op2_decontam": op2_decontam,
+        "op3_langid": op3_langid,
+        "op5_simhash": op5_simhash,
+        "op8_sharding": op8_sharding,
+        "op9_html": op9_html,
+        "op10_chat": op10_chat,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
