@@ -12,8 +12,11 @@ from quire.llm.decontam import contaminated_passages
 from quire.llm.embeddings import embedding_groups
 from quire.llm.htmltext import extract_pages
 from quire.llm.langid import fit_languages, identify_language
+from quire.llm.licenses import CUES, scan_licenses
+from quire.llm.mixing import WORDS, mix_sources
 from quire.llm.sharding import shard_documents
 from quire.llm.simhash import simhash_groups
+from quire.llm.substring import dedup_substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,11 +42,62 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "coverage")
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(_read(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def text_form():
+    """The topic that the documents are raked by: they have none, so a coarse form of the text stands for it."""
+    t = F.col("text")
+    marks = F.length(t) - F.length(F.translate(t, "#$%&*!", ""))
+    breaks = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    return (
+        F.when(F.coalesce(F.length(t), F.lit(0)) == 0, "empty")
+        .when(marks * 20 >= F.length(t), "symbols")
+        .when(breaks >= 8, "sections")
+        .when(F.length(t) < 400, "notes")
+        .otherwise("prose")
+    )
+
+
+#: The marginals of the mix, each with its natural tokens to the power of 0.5 as its target.
+def mixture(docs: DataFrame) -> DataFrame:
+    return mix_sources(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": text_form()}, temperature=0.5, fraction=0.5)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixture(_read(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        F.col("__source").alias("source"),
+        F.col("__lang").alias("lang"),
+        F.col("__topic").alias("topic"),
+        F.col("__tokens").alias("n_tokens"),
+        F.round("__weight", 6).alias("weight"),
+        F.round("__probability", 6).alias("probability"),
+        F.col("__sampled").alias("sampled"),
+    )
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out as files /source/lang/block/id; a short one with a licence cue stands for a
+    LICENSE file of its block, language or source directory, by its id."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    dirs = [F.col("source"), F.col("lang"), F.floor(F.col("doc_id") / 100).cast("string")]
+    is_license = F.coalesce(F.col("text").rlike(CUES) & (F.regexp_count("text", F.lit(WORDS)) <= 40), F.lit(False))
+    level = F.col("doc_id") % 3
+    home = F.when(level == 0, dirs[0]).when(level == 1, F.concat_ws("/", *dirs[:2])).otherwise(F.concat_ws("/", *dirs))
+    path = F.when(is_license, F.concat(home, F.lit("/LICENSE-"), "doc_id")).otherwise(F.concat(F.concat_ws("/", *dirs), F.lit("/"), "doc_id"))
+    out = scan_licenses(docs.withColumn("path", path), license_file_pattern=r"(^|/)LICENSE-\d+$")
+    return out.select("doc_id", "path", "license_id", "score", "origin", "license_path")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(_read(spark, sf_dir, "documents"), 8)
     return out.select(
@@ -80,7 +134,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_embeddings": op1_embeddings,
         "op2_decontam": op2_decontam,
         "op3_langid": op3_langid,
+        "op4_substring": op4_substring,
         "op5_simhash": op5_simhash,
+        "op6_mixing": op6_mixing,
+        "op7_licenses": op7_licenses,
         "op8_sharding": op8_sharding,
         "op9_html": op9_html,
         "op10_chat": op10_chat,
