@@ -70,7 +70,7 @@ _BYTE = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint6
 
 
 @lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_P, _PINV):
         p = np.full(n, base, np.uint64)
@@ -130,7 +130,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACE, fold: n
     after = np.concatenate([inside[1:], [False]])
     ends = np.flatnonzero(inside & (~after | last[1:])) + 1
     doc = np.searchsorted(offsets, starts, "right") - 1
-    pw, inv = _powers(1 << max(21, int(n).bit_length()))
+    pw, inv = powers(1 << max(21, int(n).bit_length()))
     acc = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[raw if fold is None else fold[raw]] * pw[:n], out=acc[1:])
     return doc, starts, ends, mix((acc[ends] - acc[starts]) * inv[starts])

@@ -8,8 +8,10 @@ stretches round its repeated anchors to the shards of their homes. A shard strea
 stretches, in corpus order, through one suffix automaton: after each word the automaton
 gives the matching statistic, the longest suffix that has occurred before. Where it reaches
 the window, the window repeats an earlier one. Shards above ``SHARD_WORDS`` (a passage shared
-by very many documents) would serialise one task; their windows are instead keyed by 128-bit
-hashes and compared with the least occurrence of the key, combined before the shuffle.
+by very many documents) would serialise one task; they are cut into pieces, the words of all
+windows with one anchor. A piece that has occurred before goes whole; windows are compared one
+by one within the first pieces of each content only. Both are keyed by 128-bit hashes and
+compared with the least occurrence of the key, combined before the shuffle.
 Both ways are exact but for hash collisions of 64-bit words and 128-bit windows.
 """
 
@@ -20,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, grams, mix, slices, string_buffers, words
+from quire.llm.common import Scratch, grams, mix, powers, slices, string_buffers, words
 
 ANCHOR, SHARD_WORDS = 6, 100_000
 _LAST = (1 << 63) - 1
+_OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
 class SuffixAutomaton:
@@ -164,6 +167,32 @@ def _stream(batches, window: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["d", "x", "s", "e"])
 
 
+def _pieces(batches, window: int):
+    """(k1, k2, d, x, s, e, h): 128-bit hash, place and words of the windows of each anchor."""
+    span = window - ANCHOR + 1
+    for b in batches:
+        d, x, s = (b.column(i).to_numpy() for i in range(3))
+        out, lists = [], []
+        for r in range(len(b)):
+            h = b.column(3)[r].values.to_numpy().view(np.uint64)
+            n, g = len(h) - window + 1, grams(h, ANCHOR)
+            at = np.arange(n) + span - 1 - np.lib.stride_tricks.sliding_window_view(g, span)[:, ::-1].argmin(1)
+            cut = np.flatnonzero(np.diff(at)) + 1
+            lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [n]]) + window - 1
+            pw, inv = powers(1 << max(12, len(h).bit_length()))
+            keys = []
+            for v in (h, mix(h ^ _OTHER)):
+                acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * pw[: len(h)])])
+                keys.append(mix((acc[hi] - acc[lo]) * inv[lo]).view(np.int64).tolist())
+            for k1, k2, i, j in zip(*keys, lo.tolist(), hi.tolist()):
+                out.append((k1, k2, int(d[r]), int(x[r]), int(s[r]) + i, int(s[r]) + j))
+                lists.append(h[i:j].view(np.int64))
+        cols = list(zip(*out)) if out else [()] * 6
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(c, pa.int64()) for c in cols), pa.array(lists, pa.list_(pa.int64()))], names=["k1", "k2", "d", "x", "s", "e", "h"]
+        )
+
+
 def _windows(batches, window: int):
     """(w1, w2, d, x, s): 128-bit hash and place of every window of the stretches."""
     for b in batches:
@@ -175,7 +204,7 @@ def _windows(batches, window: int):
         row = np.searchsorted(off, np.arange(n), "right") - 1
         ok = np.flatnonzero(np.arange(n) + window <= off[row + 1])
         r = row[ok]
-        one, two = grams(vals, window)[ok], grams(mix(vals ^ np.uint64(0x5851F42D4C957F2D)), window)[ok]
+        one, two = grams(vals, window)[ok], grams(mix(vals ^ _OTHER), window)[ok]
         d, x, s = (b.column(i).to_numpy() for i in range(3))
         yield pa.RecordBatch.from_arrays(
             [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(d[r]), pa.array(x[r]), pa.array(s[r] + ok - off[r])],
@@ -210,16 +239,22 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int, shard_words:
         .sortWithinPartitions("hd", "hx", "d", "x", "s")
         .mapInArrow(lambda it: _stream(it, window), "d long, x long, s long, e long")
     )
-    heavy = scratch.table(
+    pieces = scratch.table(
         sized.where(F.col("load") > shard_words)
         .select("d", "x", "s", "h")
-        .distinct()
-        .mapInArrow(lambda it: _windows(it, window), "w1 long, w2 long, d long, x long, s long")
-        .distinct()
+        .mapInArrow(lambda it: _pieces(it, window), "k1 long, k2 long, d long, x long, s long, e long, h array<long>")
+    )
+    first = pieces.groupBy("k1", "k2").agg(F.min(F.struct("d", "x", "s", "e", "h")).alias("f"))
+    first = scratch.table(first.select("k1", "k2", "f.*"))
+    place = F.struct("d", "x", "s")
+    known = first.select("k1", "k2", place.alias("least"))
+    again = pieces.select("k1", "k2", "d", "x", "s", "e").join(known, ["k1", "k2"]).where(place > F.col("least")).select("d", "x", "s", "e")
+    single = scratch.table(
+        first.select("d", "x", "s", "h").mapInArrow(lambda it: _windows(it, window), "w1 long, w2 long, d long, x long, s long")
     )
-    least = heavy.groupBy("w1", "w2").agg(F.min(F.struct("d", "x", "s")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = heavy.join(least, ["w1", "w2"]).where(F.struct("d", "x", "s") > F.col("least"))
-    spans = light.unionByName(later.select("d", "x", "s", (F.col("s") + window).alias("e")))
+    least = single.groupBy("w1", "w2").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = single.join(least, ["w1", "w2"]).where(place > F.col("least")).select("d", "x", "s", (F.col("s") + window).alias("e"))
+    spans = light.unionByName(again).unionByName(later)
     per_doc = spans.groupBy("d", "x").agg(F.collect_list(F.struct("s", "e")).alias("spans")).withColumn("everything", F.lit(False))
     out = per_doc.unionByName(copies.select("d", "x", F.lit(None).cast("array<struct<s:bigint,e:bigint>>").alias("spans"), F.lit(True).alias("everything")))
     return scratch.table(out)
