@@ -76,6 +76,37 @@ class SuffixAutomaton:
         return clone
 
 
+def _winnow(g: np.ndarray, n: int, span: int, whole: np.ndarray | None = None):
+    """(first window, last window + 1, n-gram place, places of ties): runs of windows and a least n-gram that all of them hold.
+
+    Where a least n-gram repeats within windows, as in periodic text, one place serves all
+    windows that hold it, so such text has no more anchors than other text.
+    """
+    least, at = g[:n].copy(), np.arange(n)
+    for j in range(1, span):
+        better = g[j : j + n] <= least
+        least[better] = g[j : j + n][better]
+        at[better] = np.flatnonzero(better) + j
+    ok = np.arange(n) if whole is None else np.flatnonzero(whole)
+    if not len(ok):
+        return ok, ok, ok, ok
+    cut = np.flatnonzero((np.diff(ok) > 1) | (np.diff(least[ok]) != 0)) + 1
+    lo, hi = ok[np.concatenate([[0], cut])], ok[np.concatenate([cut, [len(ok)]]) - 1] + 1
+    q = at[lo]
+    tied = q != at[hi - 1]
+    more = []
+    for a, b in zip(lo[tied].tolist(), hi[tied].tolist()):
+        while a < b:
+            p = int(at[a])
+            more.append((a, min(b, p + 1), p))
+            a = p + 1
+    if not more:
+        return lo, hi, q, q[:0]
+    more = np.array(more).T
+    lo, hi, q = (np.concatenate([v[~tied], w]) for v, w in zip((lo, hi, q), more))
+    return lo, hi, q, more[2]
+
+
 def _anchors(batches, window: int):
     """(a, d, xp): an anchor hash, the document and (text check << 32) + word place."""
     span = window - ANCHOR + 1
@@ -89,13 +120,9 @@ def _anchors(batches, window: int):
             n = len(h) - window + 1
             if n <= 0:
                 continue
-            least, at = g[:n].copy(), np.arange(n)
-            for j in range(1, span):
-                better = g[j : j + n] <= least
-                least[better] = g[j : j + n][better]
-                at[better] = np.flatnonzero(better) + j
-            whole = doc[:n] == doc[window - 1 :]
-            at = np.unique(at[whole])
+            _, _, at, tied = _winnow(g, n, span, doc[:n] == doc[window - 1 :])
+            # windows that share a tied place may equal each other: it counts as met twice
+            at = np.concatenate([np.unique(at), np.unique(tied)])
             if len(at):
                 row = doc[at]
                 first = np.searchsorted(doc, np.arange(hi - lo))
@@ -176,9 +203,8 @@ def _pieces(batches, window: int):
         for r in range(len(b)):
             h = b.column(3)[r].values.to_numpy().view(np.uint64)
             n, g = len(h) - window + 1, grams(h, ANCHOR)
-            at = np.arange(n) + span - 1 - np.lib.stride_tricks.sliding_window_view(g, span)[:, ::-1].argmin(1)
-            cut = np.flatnonzero(np.diff(at)) + 1
-            lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [n]]) + window - 1
+            lo, hi, _, _ = _winnow(g, n, span)
+            hi = hi + window - 1
             pw, inv = powers(1 << max(12, len(h).bit_length()))
             keys = []
             for v in (h, mix(h ^ _OTHER)):
