@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The benchmark is cut into blocks of bounded size; each block's seed index is broadcast and
-the corpus streams past it, so no text is shuffled. Seeds are the rarer half of an item's
-n-grams by their document frequency over the whole corpus; there is no absolute cut, so a
-passage copied into very many documents keeps its seeds. Documents that share seeds with an
+the corpus streams past it, so no text is shuffled. Seeds are the n-grams of an item that are
+rare beside its others: those in at most ``COMMON`` times as many documents of the whole
+corpus as the item's median n-gram. There is no absolute cut, so a passage copied into very
+many documents keeps its seeds, and at least half of an item's n-grams are seeds. Documents that share seeds with an
 item in one place are aligned with it there, and the alignment score decides.
 """
 
@@ -24,6 +25,7 @@ NOT_WORD[48:58] = NOT_WORD[65:91] = NOT_WORD[97:123] = NOT_WORD[128:] = False
 
 SEED_WORDS = 3
 BLOCK_WORDS = 500_000
+COMMON = 8
 
 
 @dataclass(frozen=True)
@@ -203,11 +205,10 @@ def contaminated_passages(
 
         def rare(g, i, gram=plain.value.gram, df=df):
             f = df[np.searchsorted(gram, g)]
-            order = np.lexsort((np.arange(len(g)), f, i))
-            rank = np.empty(len(g), np.int64)
+            order = np.lexsort((f, i))
             n = np.bincount(i)
-            rank[order] = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
-            return rank < np.maximum(8, (n[i] + 1) // 2)
+            middle = f[order][np.cumsum(n) - n + np.maximum(0, n - 1) // 2]
+            return f <= COMMON * np.maximum(1, middle)[i]
 
         seeds = spark.sparkContext.broadcast(_block(ids, tokens, rare))
 
