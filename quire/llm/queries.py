@@ -12,7 +12,7 @@ from quire.llm.decontam import contaminated_passages
 from quire.llm.embeddings import embedding_groups
 from quire.llm.htmltext import extract_pages
 from quire.llm.langid import fit_languages, identify_language
-from quire.llm.licenses import CUES, scan_licenses
+from quire.llm.licenses import CUES, TEMPLATES, scan_licenses
 from quire.llm.mixing import WORDS, mix_sources
 from quire.llm.sharding import shard_documents
 from quire.llm.simhash import simhash_groups
@@ -129,6 +129,66 @@ FROM h
 """
 
 
+def _op6_sql(rounds: int = 10) -> str:
+    """The rake unrolled: one common table for each marginal of each round."""
+    dims = ("source", "lang", "topic")
+    head = """WITH d AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
+  CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN (length(text) - length(translate(text, '#$%&*!', ''))) * 20 >= length(text) THEN 'symbols'
+  WHEN length(text) - length(replace(text, chr(10), '')) >= 8 THEN 'sections' WHEN length(text) < 400 THEN 'notes' ELSE 'prose' END AS topic FROM documents),
+c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS t FROM d WHERE n_tokens > 0 GROUP BY ALL)"""
+    parts = [head]
+    for k in dims:
+        parts.append(f"p_{k} AS (SELECT {k}, pow(sum(t), 0.5) AS g FROM c GROUP BY {k}), q_{k} AS (SELECT {k}, g / (SELECT sum(g) FROM p_{k}) AS q FROM p_{k})")
+    parts.append("w0 AS (SELECT source, lang, topic, t, t / (SELECT sum(t) FROM c) AS w FROM c)")
+    n = 0
+    for _ in range(rounds):
+        for k in dims:
+            parts.append(f"w{n + 1} AS MATERIALIZED (SELECT source, lang, topic, t, w * q / sum(w) OVER (PARTITION BY {k}) AS w FROM w{n} JOIN q_{k} USING ({k}))")
+            n += 1
+    parts.append(f"r AS (SELECT *, w / (SELECT sum(w) FROM w{n}) * (SELECT sum(t) FROM c) / t AS r FROM w{n})")
+    parts.append("""o AS (SELECT *, row_number() OVER v AS place, coalesce(sum(t) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+  sum(r * t) OVER (v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below FROM r WINDOW v AS (ORDER BY r DESC, source, lang, topic))""")
+    parts.append("s AS (SELECT *, (0.5 * (SELECT sum(t) FROM c) - above) / below AS scale FROM o)")
+    parts.append("k AS (SELECT place AS kp, scale AS ks FROM s WHERE scale * r <= 1 + 1e-12 ORDER BY place LIMIT 1)")
+    parts.append("e AS (SELECT source, lang, topic, r, CASE WHEN place < kp THEN 1.0 ELSE least(1.0, ks * r) END AS p FROM s, k)")
+    return (
+        ",\n".join(parts)
+        + """
+SELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(CASE WHEN n_tokens > 0 THEN r ELSE 0 END, 6) AS weight,
+  round(CASE WHEN n_tokens > 0 THEN p ELSE 0 END, 6) AS probability,
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < CASE WHEN n_tokens > 0 THEN p ELSE 0 END AS sampled
+FROM d LEFT JOIN e USING (source, lang, topic)"""
+    )
+
+
+def _op7_sql(min_score: float = 0.6) -> str:
+    terms = "list_filter(list_transform(string_split_regex(lower({}), '[^a-z0-9.+-]+'), lambda x: trim(x, '.+-')), lambda x: x <> '')"
+    given = ", ".join(f"({i}, '{k}', '{t.replace(chr(39), chr(39) * 2)}')" for i, (k, t) in enumerate(TEMPLATES))
+    return f"""WITH f AS (SELECT doc_id, text, source, lang, CAST(doc_id // 100 AS VARCHAR) AS blk,
+  coalesce(regexp_matches(text, '{CUES}') AND len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) <= 40, false) AS lic FROM documents),
+files AS (SELECT doc_id, text, lic, CASE WHEN NOT lic THEN concat(source, '/', lang, '/', blk) WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN concat(source, '/', lang)
+  ELSE concat(source, '/', lang, '/', blk) END AS dir FROM f),
+named AS (SELECT *, concat(dir, CASE WHEN lic THEN '/LICENSE-' ELSE '/' END, doc_id) AS path FROM files),
+pass AS (SELECT DISTINCT path, p FROM (SELECT path, text AS p FROM named WHERE regexp_matches(text, '{CUES}')
+  UNION ALL SELECT path, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{CUES}'))) FROM named)),
+tf AS (SELECT path, p, term, count(*) AS tf FROM (SELECT path, p, unnest({terms.format("p")}) AS term FROM pass) GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT path, p FROM tf)), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+own AS (SELECT path, p, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS x FROM tf JOIN df USING (term), n),
+size AS (SELECT path, p, sqrt(sum(x * x)) AS size FROM own GROUP BY ALL),
+tt AS (SELECT i, l, term, count(*) AS tf FROM (SELECT i, l, unnest({terms.format("t")}) AS term FROM (VALUES {given}) v(i, l, t)) GROUP BY ALL),
+ty AS (SELECT i, l, term, tf * (ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1) AS y FROM tt LEFT JOIN df USING (term), n),
+tn AS (SELECT i, sqrt(sum(y * y)) AS norm FROM ty GROUP BY i),
+sc AS (SELECT path, p, i, l, round(least(1.0, sum(x * y / norm) / any_value(size)), 6) AS s FROM own JOIN ty USING (term) JOIN tn USING (i) JOIN size USING (path, p) GROUP BY ALL),
+best AS (SELECT path, l AS license_id, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY s DESC, l) AS rn FROM sc WHERE s >= {min_score}) WHERE rn = 1),
+a AS (SELECT named.*, license_id AS own_id, score AS own_score FROM named LEFT JOIN best USING (path)),
+held AS (SELECT dir AS up, path AS hp, own_id AS hl, own_score AS hs FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) AS rn FROM a WHERE lic AND own_id IS NOT NULL) WHERE rn = 1),
+near AS (SELECT dir, hp, hl, hs FROM (SELECT d.dir, h.*, row_number() OVER (PARTITION BY d.dir ORDER BY length(up) DESC) AS rn FROM (SELECT DISTINCT dir FROM a) d JOIN held h ON d.dir = h.up OR starts_with(d.dir, concat(h.up, '/'))) WHERE rn = 1)
+SELECT doc_id, path, coalesce(own_id, hl) AS license_id, CASE WHEN own_id IS NOT NULL THEN own_score ELSE hs END AS score,
+  CASE WHEN own_id IS NOT NULL THEN 'own' WHEN hl IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN own_id IS NOT NULL THEN path ELSE hp END AS license_path
+FROM a LEFT JOIN near USING (dir)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embeddings": op1_embeddings,
@@ -145,4 +205,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": OP10_SQL}
+    return {"op6_mixing": _op6_sql(), "op7_licenses": _op7_sql(), "op10_chat": OP10_SQL}
