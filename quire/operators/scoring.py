@@ -52,14 +52,21 @@ def claim_supports(answer, contexts, stopwords: Sequence[str] = lx.EVIDENCE_STOP
 
 
 def lexical_attribution(supports: Column) -> Column:
-    """struct<lexical_score, supported_claims, total_claims> from the claims' supports."""
-    n = F.size(supports)
-    ok = F.size(F.filter(supports, lambda s: s >= 0.5))
-    mean = F.aggregate(supports, F.lit(0.0), lambda a, s: a + s) / F.greatest(n, F.lit(1))
-    ratio = ok / F.greatest(n, F.lit(1))
-    raw = 0.72 * mean + 0.28 * ratio
-    final = F.when(ratio < 0.5, raw * F.greatest(F.lit(0.25), ratio)).otherwise(raw)
-    return F.struct(F.when(n == 0, 0.0).otherwise(F.round(final, 3)).alias("lexical_score"), ok.alias("supported_claims"), n.alias("total_claims"))
+    """struct<lexical_score, supported_claims, total_claims> from the claims' supports.
+
+    The score is rounded to 9 places before 3, so that the order of a sum decides no tie.
+    """
+
+    def score(s):
+        n, ok = F.size(s), F.size(F.filter(s, lambda x: x >= 0.5))
+        mean = F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.greatest(n, F.lit(1))
+        ratio = ok / F.greatest(n, F.lit(1))
+        raw = 0.72 * mean + 0.28 * ratio
+        final = F.when(ratio < 0.5, raw * F.greatest(F.lit(0.25), ratio)).otherwise(raw)
+        value = F.when(n == 0, 0.0).otherwise(F.round(F.round(final, 9), 3))
+        return F.struct(value.alias("lexical_score"), ok.alias("supported_claims"), n.alias("total_claims"))
+
+    return _bind(supports, score)
 
 
 def semantic_score(answer_vec: Column, context_vecs: Column) -> Column:
@@ -73,22 +80,32 @@ def blend(semantic: Column, lexical: Column) -> Column:
 
 
 def specificity(question, answer, attribution: Column, stopwords: Sequence[str] = lx.EVIDENCE_STOPWORDS) -> Column:
-    toks = tx.tokenize_evidence(answer, stopwords)
     a = F.coalesce(F.col(answer), F.lit(""))
-    steps = F.regexp_count(a, F.lit(r"(?mdU)^\s*\d+[.)]")) + F.regexp_count(F.lower(a), F.lit("(?U)" + lx.ACTIONS))
-    details = F.regexp_count(a, F.lit("(?iU)" + lx.DETAILS))
-    asked = F.array_distinct(tx.tokenize_evidence(question, stopwords))
-    overlap = F.size(F.array_intersect(asked, toks)) / F.greatest(F.lit(1), F.size(asked))
+    parts = F.struct(
+        tx.tokenize_evidence(answer, stopwords).alias("toks"),
+        (F.regexp_count(a, F.lit(r"(?mdU)^\s*\d+[.)]")) + F.regexp_count(F.lower(a), F.lit("(?U)" + lx.ACTIONS))).alias("steps"),
+        F.regexp_count(a, F.lit("(?iU)" + lx.DETAILS)).alias("details"),
+        F.array_distinct(tx.tokenize_evidence(question, stopwords)).alias("asked"),
+        tx.any_match(answer, lx.UNSAFE_CLAIMS).alias("unsafe"),
+        attribution.alias("attr"),
+    )
 
-    def part(x, most):
+    def share(x, most):
         return F.least(x / F.lit(most), F.lit(1.0))
 
-    score = 0.20 * part(F.size(toks), 60.0) + 0.25 * part(steps, 4.0) + 0.35 * overlap + 0.20 * part(details, 4.0)
-    floor = ((overlap >= 0.55) & (steps >= 1) & (details >= 1)) | ((attribution >= 0.80) & (overlap >= 0.45)) | ((details >= 1) & (overlap >= 0.35))
-    score = F.when(floor, F.greatest(score, F.lit(0.52))).otherwise(score)
-    over = (attribution < 0.5) & ((steps >= 2) | tx.any_match(answer, lx.UNSAFE_CLAIMS))
-    score = F.when(over, score * 0.45).otherwise(score)
-    return F.when(F.size(toks) == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 3))
+    def measured(p):
+        overlap = F.size(F.array_intersect(p["asked"], p["toks"])) / F.greatest(F.lit(1), F.size(p["asked"]))
+        return F.struct(F.size(p["toks"]).alias("n"), overlap.alias("overlap"), p["steps"].alias("steps"), p["details"].alias("details"), p["unsafe"].alias("unsafe"), p["attr"].alias("attr"))
+
+    def score(p):
+        overlap, steps, details, attr = p["overlap"], p["steps"], p["details"], p["attr"]
+        value = 0.20 * share(p["n"], 60.0) + 0.25 * share(steps, 4.0) + 0.35 * overlap + 0.20 * share(details, 4.0)
+        floor = ((overlap >= 0.55) & (steps >= 1) & (details >= 1)) | ((attr >= 0.80) & (overlap >= 0.45)) | ((details >= 1) & (overlap >= 0.35))
+        value = F.when(floor, F.greatest(value, F.lit(0.52))).otherwise(value)
+        value = F.when((attr < 0.5) & ((steps >= 2) | p["unsafe"]), value * 0.45).otherwise(value)
+        return F.when(p["n"] == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(value, F.lit(1.0))), 3))
+
+    return _bind(_bind(parts, measured), score)
 
 
 def context_quality(question, contexts, domains: Sequence[str] = lx.OFFICIAL_DOMAINS, stopwords: Sequence[str] = lx.EVIDENCE_STOPWORDS) -> Column:

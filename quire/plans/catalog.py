@@ -367,53 +367,53 @@ def prune_dedup(spark, sf):
 
 # --- evaluation ------------------------------------------------------------------------
 def _cases(spark, sf) -> DataFrame:
-    """Questions and the next assistant turn as answers; contexts are two documents chosen by the conversation's number."""
+    """Questions and the next assistant turn as answers; each document is the context of the conversation of half its number."""
     c = _t(spark, sf, "conversations").withColumn("text", F.expr(SAID))
     q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("said"))
-    d = _t(spark, sf, "documents").where("doc_id % 2 = 0").select(
-        (F.col("doc_id") / 2).cast("long").alias("conv_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("title"), F.col("lang").alias("section"), "text",
+    d = _t(spark, sf, "documents").select(
+        F.floor(F.col("doc_id") / 2).alias("conv_id"), "doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("title"), F.col("lang").alias("section"), "text",
         F.when(F.col("doc_id") % 3 == 0, "https://a.example.org/x").otherwise("https://example.com/").alias("source_url"),
     )
     ctx = F.struct("chunk_id", "title", "section", F.lit("").alias("subsection"), F.lit("").alias("subtitle"), "text", F.lit("").alias("content"), "source_url", F.array("title").alias("hierarchy_path"))
     got = q.join(a, ["conv_id", "turn"]).join(d, "conv_id")
     # the answer quotes the start of its context, so that claims are supported
-    return got.select("conv_id", "turn", "question", F.concat(F.substring("text", 1, 200), F.lit(".\n"), "said").alias("answer"), F.array(ctx).alias("contexts"))
+    return got.select("conv_id", "turn", "doc_id", "question", F.concat(F.substring("text", 1, 200), F.lit(".\n"), "said").alias("answer"), F.array(ctx).alias("contexts"))
 
 
 Q_CASES = f"""cv AS (SELECT conv_id, turn, role, {SAID} AS text FROM conversations),
 cs AS (SELECT q.conv_id, q.turn, q.text AS question, concat(substr(d.text, 1, 200), '.', chr(10), a.text) AS answer, d.doc_id, d.source, d.lang, d.text AS dtext, CASE WHEN d.doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS official
-FROM cv q JOIN cv a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' JOIN documents d ON d.doc_id = 2 * q.conv_id WHERE q.role = 'user')"""
+FROM cv q JOIN cv a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' JOIN documents d ON d.doc_id // 2 = q.conv_id WHERE q.role = 'user')"""
 
 
-@_query(f"""WITH {Q_CASES}, cl AS (SELECT conv_id, turn, {q_evidence("concat_ws(' ', source, lang, '', dtext, '')")} AS ev, {q_numbers("concat_ws(' ', source, lang, '', dtext, '')")} AS en, unnest({q_claims('answer')}) AS c FROM cs),
-k AS (SELECT conv_id, turn, ev, en, list_distinct({q_evidence('c')}) AS w, {q_numbers('c')} AS n, {" ".join(["regexp_replace(lower(c), '[*_`]+', '', 'g')"])} AS pl FROM cl),
-s AS (SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN 1.0 WHEN len(ev) = 0 THEN 0.0 ELSE len(list_intersect(w, ev)) / greatest(1, len(w)) * CASE WHEN len(list_filter(n, lambda x: NOT list_contains(en, x))) > 0 THEN 0.35 ELSE 1.0 END END AS s
+@_query(f"""WITH {Q_CASES}, cl AS (SELECT conv_id, turn, doc_id, {q_evidence("concat_ws(' ', source, lang, '', dtext, '')")} AS ev, {q_numbers("concat_ws(' ', source, lang, '', dtext, '')")} AS en, unnest({q_claims('answer')}) AS c FROM cs),
+k AS (SELECT conv_id, turn, doc_id, ev, en, list_distinct({q_evidence('c')}) AS w, {q_numbers('c')} AS n, {" ".join(["regexp_replace(lower(c), '[*_`]+', '', 'g')"])} AS pl FROM cl),
+s AS (SELECT conv_id, turn, doc_id, CASE WHEN len(w) = 0 THEN 1.0 WHEN len(ev) = 0 THEN 0.0 ELSE len(list_intersect(w, ev)) / greatest(1, len(w)) * CASE WHEN len(list_filter(n, lambda x: NOT list_contains(en, x))) > 0 THEN 0.35 ELSE 1.0 END END AS s
 FROM k WHERE NOT (contains(pl, 'informasi lebih lanjut') AND (contains(pl, 'situs resmi') OR contains(pl, 'layanan pelanggan') OR contains(pl, 'hubungi')))),
-g AS (SELECT conv_id, turn, avg(s) AS m, sum(CASE WHEN s >= 0.5 THEN 1 ELSE 0 END) AS ok, count(*) AS n FROM s GROUP BY ALL)
-SELECT conv_id, turn, round((0.72 * m + 0.28 * ok / n) * CASE WHEN ok / n < 0.5 THEN greatest(0.25, ok / n) ELSE 1 END, 3) AS lexical_score, CAST(ok AS BIGINT) AS supported_claims, n AS total_claims FROM g""")
+g AS (SELECT conv_id, turn, doc_id, avg(s) AS m, sum(CASE WHEN s >= 0.5 THEN 1 ELSE 0 END) AS ok, count(*) AS n FROM s GROUP BY ALL)
+SELECT conv_id, turn, doc_id, round(round((0.72 * m + 0.28 * ok / n) * CASE WHEN ok / n < 0.5 THEN greatest(0.25, ok / n) ELSE 1 END, 9), 3) AS lexical_score, CAST(ok AS BIGINT) AS supported_claims, n AS total_claims FROM g""")
 def lexical_attribution(spark, sf):
-    got = _cases(spark, sf).select("conv_id", "turn", scoring.lexical_attribution(scoring.claim_supports("answer", F.col("contexts"))).alias("l"))
-    return got.select("conv_id", "turn", "l.lexical_score", F.col("l.supported_claims").cast("long").alias("supported_claims"), F.col("l.total_claims").cast("long").alias("total_claims"))
+    got = _cases(spark, sf).select("conv_id", "turn", "doc_id", scoring.lexical_attribution(scoring.claim_supports("answer", F.col("contexts"))).alias("l"))
+    return got.select("conv_id", "turn", "doc_id", "l.lexical_score", F.col("l.supported_claims").cast("long").alias("supported_claims"), F.col("l.total_claims").cast("long").alias("total_claims"))
 
 
 @_query(f"""WITH {Q_CASES}, k AS (SELECT *, list_distinct({q_evidence('question')}) AS qt, {q_evidence("concat_ws(' ', source, lang, '', dtext, '')")} AS ev, len({q_evidence("dtext")}) AS nt FROM cs)
-SELECT conv_id, turn, round(0.5 * official + 0.3 * len(list_intersect(qt, ev)) / greatest(1, len(qt)) + 0.2 * least(nt / 90.0, 1.0), 3) AS context_quality_score,
+SELECT conv_id, turn, doc_id, round(0.5 * official + 0.3 * len(list_intersect(qt, ev)) / greatest(1, len(qt)) + 0.2 * least(nt / 90.0, 1.0), 3) AS context_quality_score,
 CASE WHEN official = 0 THEN concat('non_official_context:', doc_id) ELSE '' END AS warnings FROM k""")
 def context_quality(spark, sf):
-    got = _cases(spark, sf).select("conv_id", "turn", scoring.context_quality("question", F.col("contexts"), ["example.org"]).alias("c"))
-    return got.select("conv_id", "turn", "c.context_quality_score", F.array_join("c.warnings", "|").alias("warnings"))
+    got = _cases(spark, sf).select("conv_id", "turn", "doc_id", scoring.context_quality("question", F.col("contexts"), ["example.org"]).alias("c"))
+    return got.select("conv_id", "turn", "doc_id", "c.context_quality_score", F.array_join("c.warnings", "|").alias("warnings"))
 
 
 @_query()
 def specificity(spark, sf):
-    return _cases(spark, sf).select("conv_id", "turn", scoring.specificity("question", "answer", F.lit(0.6)).alias("specificity_score"))
+    return _cases(spark, sf).select("conv_id", "turn", "doc_id", scoring.specificity("question", "answer", F.lit(0.6)).alias("specificity_score"))
 
 
 @_query()
 def evaluate_cases(spark, sf):
     got = scoring.evaluate(_cases(spark, sf), domains=["example.org"])
-    return got.select("conv_id", "turn", "route", "attribution_score", "specificity_score", "context_quality_score", "lexical_score", F.array_join("hard_fails", "|").alias("hard_fails"), F.array_join("warnings", "|").alias("warnings"))
+    return got.select("conv_id", "turn", "doc_id", "route", "attribution_score", "specificity_score", "context_quality_score", "lexical_score", F.array_join("hard_fails", "|").alias("hard_fails"), F.array_join("warnings", "|").alias("warnings"))
 
 
 Q_PAIRS = "e AS (SELECT a.vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS s, (a.vec_id % 11) / 10.0 AS l FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
