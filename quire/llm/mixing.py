@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch
 
-WORDS = r"[^\x20\x09-\x0D]+"
+WORDS, SPACES = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 NONE = "(none)"
 
 
@@ -32,8 +32,9 @@ def mix_sources(
     rounds: int = 10,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with __tokens, __weight, __probability and __sampled added.
+    """All rows of ``docs`` and their columns, or those in ``keep``, with __tokens, __weight, __probability and __sampled added.
 
     ``dims`` names the raked marginals and how to read them, ``targets`` their shares of the
     tokens; a marginal without given shares gets its own, tokens to the power of
@@ -43,13 +44,16 @@ def mix_sources(
     are ``fraction`` of all: where a cell would need more than all it has, it is kept whole
     and the others make up for it. Null values of a marginal form the value ``(none)``. Rows
     without words have no weight and are never sampled; repeated rows share one decision; a
-    null id has a draw like any other; an empty table gives no rows.
+    null id has a draw like any other; an empty table gives no rows. The columns are written to
+    the shared folder with their marginals and tokens, so that texts are read and counted once.
     """
     scratch = Scratch(docs.sparkSession)
     names: Sequence[str] = [f"__{k}" for k in dims]
     read = docs.withColumns({f"__{k}": F.coalesce(c.cast("string"), F.lit(NONE)) for k, c in dims.items()}).withColumn(
-        "__tokens", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
+        "__tokens", F.coalesce(F.size(F.array_remove(F.split(F.col(text_col), SPACES), "")), F.lit(0)).cast("long")
     )
+    held = list(dict.fromkeys([id_col, *(docs.columns if keep is None else keep)]))
+    read = scratch.table(read.select(*(c for c in held if c not in {*names, "__tokens"}), *names, "__tokens"))
     cells = read.where("__tokens > 0").groupBy(*names).agg(F.sum("__tokens").alias("t"))
     cells = scratch.table(cells.coalesce(1))
     w = cells.withColumn("w", F.col("t") / F.sum("t").over(Window.partitionBy()))

@@ -66,13 +66,14 @@ def text_form():
     )
 
 
-#: The marginals of the mix, each with its natural tokens to the power of 0.5 as its target.
-def mixture(docs: DataFrame) -> DataFrame:
-    return mix_sources(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": text_form()}, temperature=0.5, fraction=0.5)
+def mixture(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The mix of the corpus: each marginal's target is its natural tokens to the power of 0.5."""
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": text_form()}
+    return mix_sources(docs, dims, temperature=0.5, fraction=0.5, keep=keep)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixture(_read(spark, sf_dir, "documents"))
+    out = mixture(_read(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select(
         "doc_id",
         F.col("__source").alias("source"),
