@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.llm import substring
 from quire.llm.chat import assemble_dialogues, rotate_perspectives
 from quire.llm.decontam import contaminated_passages, smith_waterman
-from quire.llm.embeddings import embedding_groups
+from quire.llm.embeddings import embedding_groups, probe_codes
 from quire.llm.htmltext import extract_pages, extract_text
 from quire.llm.langid import fit_languages, identify_language
 from quire.llm.licenses import scan_licenses
@@ -255,6 +255,30 @@ def test_sharding_law(spark):
     assert len(few) == 3 and all(0 <= r.shard < 8 for r in few)
 
 
+@pytest.mark.parametrize("hashes", [1, 2])
+def test_close_vectors_meet_in_a_bucket_with_one_hash_and_with_two(hashes):
+    rng = np.random.default_rng(3)
+    a, r = rng.normal(size=(2, 1000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    r -= (r * a).sum(1)[:, None] * a
+    r /= np.linalg.norm(r, axis=1)[:, None]
+    x, y = probe_codes(a, hashes), probe_codes(0.93 * a + np.sqrt(1 - 0.93**2) * r, hashes)
+    meet = (x == y[:, :, :1]).any(2) | (y == x[:, :, :1]).any(2)
+    assert meet.any(1).mean() > 0.998
+
+
+def test_mixing_counts_words_between_any_white_space(spark):
+    texts = [None, "", " \t", " a  b\t", "a\x0bb\nc", "  x", "a\u00a0b"]
+    df = table(spark, texts).withColumn("__lang", F.lit("clash"))
+    full = mix_sources(df, {"lang": F.col("lang")})
+    assert sorted(full.columns) == sorted([*df.columns, "__tokens", "__weight", "__probability", "__sampled"])
+    assert {r["doc_id"]: r["__tokens"] for r in full.collect()} == dict(enumerate([0, 0, 0, 2, 3, 1, 1]))
+    slim = mix_sources(df, {"lang": F.col("lang")}, keep=["doc_id"])
+    assert "text" not in slim.columns and {r["__lang"] for r in slim.collect()} == {"en"}
+    same = "doc_id", "__tokens", "__weight", "__probability", "__sampled"
+    assert sorted(slim.select(*same).collect()) == sorted(full.select(*same).collect())
+
+
 def test_mixing_meets_the_marginals(spark):
     rng = np.random.default_rng(10)
     rows = [(i, "w " * int(rng.integers(1, 40)), "de" if i % 3 else "en", f"s{min(4, i % 9)}") for i in range(4000)] + [(5000, None, "en", None), (5001, "", None, "s1"), (5001, "", None, "s1")]
