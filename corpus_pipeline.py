@@ -16,7 +16,7 @@ from quire.llm.decontam import contaminated_passages
 from quire.llm.langid import fit_languages, identify_language
 from quire.llm.queries import held_out, mixture
 from quire.llm.sharding import shard_documents
-from quire.llm.simhash import simhash_groups
+from quire.llm.simhash_similar import similar_groups
 
 #: A text of which the filters know fewer than this share of n-grams is in none of the languages.
 MIN_COVERAGE = 0.25
@@ -34,8 +34,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near copies."""
-    gone = simhash_groups(docs).where("doc_id != component_id").select("doc_id").distinct()
+    """Keep the document of smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    gone = similar_groups(docs).where("doc_id != component_id").select("doc_id").distinct()
     gone = Scratch(spark).table(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
