@@ -170,6 +170,29 @@ def _rest(met: DataFrame, nodes: DataFrame, comp: DataFrame, similarity: float)
     return links.distinct()
 
 
+def _joined(stars: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of the components of ``stars(a, b)``.
+
+    A member of a large group has another hub in each of its buckets. Its least hub alone joins
+    most of the group; of the other links only those between different components are left then,
+    and they join the components' roots.
+    """
+    least = scratch.table(connected_components(stars.groupBy("a").agg(F.min("b").alias("b")), scratch))
+    a, b = (least.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
+    between = (
+        stars.join(a, "a", "left")
+        .join(b, "b", "left")
+        .select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        .where("a != b")
+        .distinct()
+    )
+    over = connected_components(between, scratch).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    # a hub that is nobody's least hub and has no link of its own is its own root so far
+    ends = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    rooted = ends.join(least, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return scratch.table(rooted.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+
+
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
@@ -195,9 +218,10 @@ def similar_groups(
     b = nodes.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("fp").alias("bfp"))
     pairs = met.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     stars = scratch.table(pairs.join(a, "a").join(b, "b").where(_linked(similarity)).select("a", "b"))
-    comp = scratch.table(connected_components(stars, scratch))
+    comp = _joined(stars, scratch)
     rest = _rest(met.where("c > 2").select("key", "id"), nodes, comp, similarity)
-    comp = scratch.table(connected_components(stars.unionByName(rest), scratch))
+    edges = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    comp = scratch.table(connected_components(edges.unionByName(rest), scratch))
     rooted = nodes.join(comp, nodes["id"] == comp["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("component_id"))
     out = scratch.table(all_.select("id", "fp", "n").join(rooted, ["fp", "n"]).select(F.col("id").alias(id_col), "component_id"))
     scratch.drop(all_, nodes, met)

@@ -116,3 +116,15 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in S.similar_groups(d).collect()) == [(2, 2), (4, 2), (4, 2), (9, 9)]
     assert S.similar_groups(d.where("false")).count() == 0
+
+
+def test_links_beside_the_least_hub_join_components(spark):
+    rng = np.random.default_rng(9)
+    pairs = sorted({(int(max(p)), int(min(p))) for p in rng.integers(0, 300, (260, 2)) if p[0] != p[1]} | {(500, 400), (500, 450), (501, 450)})
+    scratch = S.Scratch(spark)
+    got = {r.node: r.root for r in S._joined(scratch.table(spark.createDataFrame(pairs, "a long, b long")), scratch).collect()}
+    up = {x: x for p in pairs for x in p}
+    for _ in range(len(up)):
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    assert got == up and got[501] == 400
