@@ -148,9 +148,9 @@ def _block_links(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def _rest(met: DataFrame, nodes: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
+def _rest(met: DataFrame, nodes: DataFrame, comp: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Links between the components of each bucket of three or more that holds more than one."""
-    rows = met.join(comp, met["id"] == comp["node"], "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
+    rows = scratch.table(met.join(comp, met["id"] == comp["node"], "left").select("key", "id", F.coalesce("root", "id").alias("comp")))
     per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     open_ = (
         per.groupBy("key")
@@ -219,7 +219,7 @@ def similar_groups(
     pairs = met.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     stars = scratch.table(pairs.join(a, "a").join(b, "b").where(_linked(similarity)).select("a", "b"))
     comp = _joined(stars, scratch)
-    rest = _rest(met.where("c > 2").select("key", "id"), nodes, comp, similarity)
+    rest = _rest(met.where("c > 2").select("key", "id"), nodes, comp, similarity, scratch)
     edges = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
     comp = scratch.table(connected_components(edges.unionByName(rest), scratch))
     rooted = nodes.join(comp, nodes["id"] == comp["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("component_id"))

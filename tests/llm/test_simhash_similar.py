@@ -63,7 +63,7 @@ def test_blocks_join_components_that_do_not_meet_the_hub(spark):
     nodes = S.wide_fingerprints(table(spark, texts), "doc_id", "text", 5).where("id < 10 OR id >= 40")
     met = nodes.select(S.F.lit(7).cast("long").alias("key"), "id")
     comp = nodes.select(S.F.col("id").alias("node"), S.F.col("id").alias("root"))
-    links = S._rest(met, nodes, comp, 0.8).collect()
+    links = S._rest(met, nodes, comp, 0.8, S.Scratch(spark)).collect()
     up = roots(len(texts), lambda i, j: any({i, j} == {r.a, r.b} for r in links))
     assert len({up[40 + 8 * b + k] for b in range(10) for k in range(3)} | {up[b] for b in range(10)}) == 10
 
