@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The benchmark is cut into blocks of bounded size; each block's seed index is broadcast and
-the corpus streams past it, so no text is shuffled. Seeds are the n-grams of an item that are
-rare beside its others: those in at most ``COMMON`` times as many documents of the whole
-corpus as the item's median n-gram. There is no absolute cut, so a passage copied into very
-many documents keeps its seeds, and at least half of an item's n-grams are seeds. Documents that share seeds with an
-item in one place are aligned with it there, and the alignment score decides.
+the corpus streams past it once, so no text is shuffled. Every n-gram of an item is a seed: a cut
+by document frequency would drop just those n-grams that an edited passage in many documents
+has left. Documents that share a seed with an item are aligned with it there if enough of its
+words are near for the least score, and the alignment score decides.
 """
 
 from __future__ import annotations
@@ -25,7 +24,6 @@ NOT_WORD[48:58] = NOT_WORD[65:91] = NOT_WORD[97:123] = NOT_WORD[128:] = False
 
 SEED_WORDS = 3
 BLOCK_WORDS = 500_000
-COMMON = 8
 
 
 @dataclass(frozen=True)
@@ -41,7 +39,7 @@ class Block:
     filter: np.ndarray  # bool, by the top 20 bits
 
 
-def _block(ids, tokens, keep=None) -> Block:
+def _block(ids, tokens) -> Block:
     g, i, p = [], [], []
     for k, w in enumerate(tokens):
         h = grams(w, SEED_WORDS)
@@ -49,9 +47,6 @@ def _block(ids, tokens, keep=None) -> Block:
         i.append(np.full(len(h), k))
         p.append(np.arange(len(h)))
     g, i, p = (np.concatenate([np.zeros(0, t), *x]).astype(t) for x, t in ((g, np.uint64), (i, np.int64), (p, np.int64)))
-    if keep is not None:
-        ok = keep(g, i)
-        g, i, p = g[ok], i[ok], p[ok]
     order = np.argsort(g, kind="stable")
     g, i, p = g[order], i[order], p[order]
     uniq, first = np.unique(g, return_index=True)
@@ -109,6 +104,16 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, b_len: np.ndarray, match=2, mis
     return best, end
 
 
+def _may_reach(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Rows of b that hold the words of at least ``least`` places of a; an alignment matches no other place."""
+    known, times = np.unique(a, return_counts=True)
+    at = np.minimum(np.searchsorted(known, b), len(known) - 1)
+    row, col = np.nonzero(known[at] == b)
+    held = np.zeros((len(b), len(known)), bool)
+    held[row, at[row, col]] = True
+    return held @ times >= least
+
+
 def _align(block: Block, bounds, h, row, at, seed, min_score: float):
     """Alignments of the places where a document shares seeds with an item."""
     reps = block.first[seed + 1] - block.first[seed]
@@ -124,30 +129,32 @@ def _align(block: Block, bounds, h, row, at, seed, min_score: float):
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > slack[item[1:]])
     start = np.flatnonzero(new)
     stop = np.append(start[1:], len(doc))
-    seeds = np.bincount(block.item, minlength=len(size))
     out = []
     todo: dict[int, list] = {}
     for s, e in zip(start.tolist(), stop.tolist()):
         i = int(item[s])
-        if e - s >= 2 or seeds[i] <= 2:
-            d = int(doc[s])
-            lo = max(int(bounds[d]), int(diag[s]) - int(slack[i]))
-            hi = min(int(bounds[d + 1]), int(diag[e - 1]) + int(size[i] + slack[i]))
-            # a long run of diagonals is aligned in overlapping windows, each a few items wide
-            wide = 4 * int(size[i]) + 2 * int(slack[i])
-            while hi - lo > wide:
-                todo.setdefault(i, []).append((d, lo, lo + wide))
-                lo += wide - int(size[i] + slack[i])
-            todo.setdefault(i, []).append((d, lo, hi))
+        d = int(doc[s])
+        lo = max(int(bounds[d]), int(diag[s]) - int(slack[i]))
+        hi = min(int(bounds[d + 1]), int(diag[e - 1]) + int(size[i] + slack[i]))
+        # a long run of diagonals is aligned in overlapping windows, each a few items wide
+        wide = 4 * int(size[i]) + 2 * int(slack[i])
+        while hi - lo > wide:
+            todo.setdefault(i, []).append((d, lo, lo + wide))
+            lo += wide - int(size[i] + slack[i])
+        todo.setdefault(i, []).append((d, lo, hi))
     for i, places in todo.items():
         a = block.words[i]
         for c in range(0, len(places), 128):
             part = places[c : c + 128]
             n = np.array([hi - lo for _, lo, hi in part])
             b = np.zeros((len(part), n.max()), np.uint64)
-            back = np.zeros_like(b)
             for r, (_, lo, hi) in enumerate(part):
                 b[r, : hi - lo] = h[lo:hi]
+            near = np.flatnonzero(_may_reach(a, b, min_score * len(a)))
+            if not len(near):
+                continue
+            part, n, b = [part[r] for r in near], n[near], b[near]
+            back = np.zeros_like(b)
             score, end = smith_waterman(a, b, n)
             ok = np.flatnonzero(score >= min_score * 2 * len(a))
             if not len(ok):
@@ -184,33 +191,7 @@ def contaminated_passages(
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
     result = None
     for ids, tokens in _item_blocks(items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("t"))):
-        plain = spark.sparkContext.broadcast(_block(ids, tokens))
-
-        def frequency(batches, plain=plain):
-            b = plain.value
-            total = np.zeros(len(b.gram), np.int64)
-            for batch in batches:
-                for _, bounds, h in _tokens(batch.column(1)):
-                    g, row = _doc_grams(bounds, h)
-                    at, s = _lookup(b, g)
-                    ok = row[at] >= 0
-                    pairs = np.unique(row[at][ok] * np.int64(len(b.gram)) + s[ok])
-                    total += np.bincount(pairs % max(1, len(b.gram)), minlength=len(b.gram))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["g", "n"])
-
-        df = np.zeros(len(plain.value.gram), np.int64)
-        for r in d.mapInArrow(frequency, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toLocalIterator():
-            df[r["g"]] = r["n"]
-
-        def rare(g, i, gram=plain.value.gram, df=df):
-            f = df[np.searchsorted(gram, g)]
-            order = np.lexsort((f, i))
-            n = np.bincount(i)
-            middle = f[order][np.cumsum(n) - n + np.maximum(0, n - 1) // 2]
-            return f <= COMMON * np.maximum(1, middle)[i]
-
-        seeds = spark.sparkContext.broadcast(_block(ids, tokens, rare))
+        seeds = spark.sparkContext.broadcast(_block(ids, tokens))
 
         def search(batches, seeds=seeds):
             b = seeds.value

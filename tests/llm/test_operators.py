@@ -204,6 +204,24 @@ def test_decontamination_finds_copies_and_edits_only(spark):
     assert contaminated_passages(table(spark, []), items).count() == 0
 
 
+@pytest.mark.parametrize("every, copies", [(4, 20), (5, 20), (4, 1000), (5, 1000)])
+def test_decontamination_finds_one_edited_version_in_many_documents(spark, every, copies):
+    rng = np.random.default_rng(every)
+    item = words(rng, 50, 5000)
+    edited = " ".join("other" if i % every == every - 1 else w for i, w in enumerate(item))
+    texts = [" ".join(words(rng, 20, 5000)) + " " + edited for _ in range(copies)] + [" ".join(words(rng, 60, 5000))]
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = contaminated_passages(table(spark, texts), items).collect()
+    assert sorted(r.doc_id for r in got) == list(range(copies)) and all(0.5 <= r.score < 1 for r in got)
+
+
+def test_decontamination_needs_one_shared_seed(spark):
+    texts = ["x a b c y", "x a b y c", "p0 p1 p2 q p4 p5 q p7 p8 q p10 p11"]
+    items = spark.createDataFrame([(1, "a b c d e"), (2, " ".join(f"p{i}" for i in range(12)))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated_passages(table(spark, texts), items).collect()}
+    assert got == {(0, 1): 0.6, (2, 2): 0.625}
+
+
 def test_smith_waterman_equals_the_plain_recurrence():
     rng = np.random.default_rng(7)
     for _ in range(20):
