@@ -5,7 +5,11 @@ acos(cosine) / pi of places, so a Jaccard similarity of 0.8 (a cosine of 0.889 f
 one size) is 15 % of the bits: too many for the 64-bit fingerprints of ``simhash``. Here a
 fingerprint has ``SIZE`` bits, the first of them in ``SEGMENTS`` segments of ``BITS`` bits. Within each segment every text
 enumerates a Hamming ball of radius 1 over the ``NEAR`` bits nearest to their majority, the ones
-an edit turns first; texts that share a key of any segment are compared on complete distances.
+an edit turns first. Texts that share a key of any segment are compared: a complete distance far beyond
+the one expected rules a pair out, and the exact Jaccard similarity of the two sets decides.
+
+Majorities of few shingles say little, so sets below ``SHORT`` have no such keys and no distance test. Every text has
+keys of ``BANDS`` MinHash bands, which meet at a similarity of 0.8 but for one pair in ten million, at any size.
 
 Buckets never form their pairs. Members are first compared with the least member of each of
 their buckets, which joins most of a group of copies. Only buckets of three or more that still hold more than
@@ -30,11 +34,18 @@ SEGMENTS, BITS, NEAR = 34, 30, 6
 KEYED = SEGMENTS * BITS
 WORDS64 = 32
 SIZE = 64 * WORDS64
-#: Share of the bits by which a distance may exceed the one expected at the threshold.
-SLACK = 0.005
+#: Sets of fewer shingles are not keyed or ruled out by their fingerprints.
+SHORT = 128
+BANDS, ROWS = 32, 4
+#: Share of the bits by which a distance may exceed the one expected at the threshold: over five deviations.
+SLACK = 0.05
+#: Shares are compared with this tolerance, for products like 0.8 * 15 in floating point.
+EXACT = 1e-9
 MINOR, MAJOR = 128, 512
 
 _SALTS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) for i in range(WORDS64)], np.uint64)
+_BAND_XOR, _BAND_ODD = np.random.default_rng(20260102).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+_BAND_ODD = _BAND_ODD * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(h: np.ndarray, doc: np.ndarray, n: int, shingle: int) -> list[np.ndarray]:
@@ -56,8 +67,32 @@ def majorities(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return twice > 0, np.abs(twice[:KEYED] - (len(h) % 2 == 0))
 
 
+def band_codes(h: np.ndarray) -> np.ndarray:
+    """32-bit code of each MinHash band of a set."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for lo in range(0, len(h), 1024):
+        low = np.minimum(low, ((h[lo : lo + 1024, None] ^ _BAND_XOR) * _BAND_ODD).min(0))
+    return (grams(mix(low), ROWS)[::ROWS] >> np.uint64(32)).astype(np.uint32)
+
+
+def shingle_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, set): the sorted shingle hashes of the documents with one of ``ids``."""
+
+    def run(batches):
+        for b in batches:
+            raw, offsets = string_buffers(b.column(1))
+            for lo, hi in slices(offsets):
+                part = offsets[lo : hi + 1]
+                doc, _, _, h = words(raw[part[0] : part[-1]], part - part[0], fold=LOWER)
+                sets = [x.view(np.int64) for x in shingle_sets(h, doc, hi - lo, shingle)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    return d.join(ids, "id", "left_semi").mapInArrow(run, "id long, set array<long>").distinct()
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, n, fp, near): size of the shingle set, fingerprint, and the near places of each segment."""
+    """(id, n, fp, near, bands): size of the shingle set, fingerprint, near places of each segment, and band codes."""
 
     def run(batches):
         for b in batches:
@@ -76,12 +111,13 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int)
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(list(fp), pa.list_(pa.int64())),
                         pa.array([x.tobytes() for x in near], pa.binary()),
+                        pa.array([band_codes(x).tobytes() for x in sets], pa.binary()),
                     ],
-                    names=["id", "n", "fp", "near"],
+                    names=["id", "n", "fp", "near", "bands"],
                 )
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL")
-    return d.mapInArrow(run, "id long, n long, fp array<long>, near binary")
+    return d.mapInArrow(run, "id long, n long, fp array<long>, near binary, bands binary")
 
 
 def segment_keys(fp: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -98,32 +134,47 @@ def _key_rows(nodes: DataFrame) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 c = b.slice(lo, 1000)
-                fp = np.stack(c.column(1).to_numpy(zero_copy_only=False))
-                near = np.frombuffer(b"".join(c.column(2).to_pylist()), np.uint8)
+                ids = c.column(0).to_numpy()
+                codes = np.frombuffer(b"".join(c.column(4).to_pylist()), np.uint32).reshape(-1, BANDS)
+                bands = codes.astype(np.int64) | (np.arange(SEGMENTS, SEGMENTS + BANDS, dtype=np.int64) << 32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(bands.ravel())], names=["id", "key"])
+                c = c.filter(pa.array(c.column(1).to_numpy() >= SHORT))
+                if not c.num_rows:
+                    continue
+                fp = np.stack(c.column(2).to_numpy(zero_copy_only=False))
+                near = np.frombuffer(b"".join(c.column(3).to_pylist()), np.uint8)
                 keys = segment_keys(np.ascontiguousarray(fp, np.int64), near)
                 ids = np.repeat(c.column(0).to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel())], names=["id", "key"])
 
-    return nodes.select("id", "fp", "near").mapInArrow(run, "id long, key long")
+    return nodes.select("id", "n", "fp", "near", "bands").mapInArrow(run, "id long, key long")
 
 
 def farthest(a, b, similarity: float):
-    """Greatest distance that links sets of sizes a and b; negative where their sizes forbid the similarity."""
+    """Greatest distance at which sets of sizes a and b are verified; negative where their sizes forbid the similarity."""
     low, high = np.minimum(a, b), np.maximum(a, b)
     cos = similarity / (1 + similarity) * (a + b) / np.sqrt(np.maximum(a * b, 1.0))
-    return np.where(low >= similarity * high, SIZE * (np.arccos(np.minimum(cos, 1.0)) / np.pi + SLACK), -1.0)
+    most = np.where(low < SHORT, SIZE, SIZE * (np.arccos(np.minimum(cos, 1.0)) / np.pi + SLACK))
+    return np.where(low >= similarity * high - EXACT, most, -1.0)
 
 
-def _linked(similarity: float):
+def _near(similarity: float):
     """``farthest`` and the complete distance as one Column over (an, afp, bn, bfp)."""
     d = sum((F.bit_count(F.col("afp")[i].bitwiseXOR(F.col("bfp")[i])) for i in range(1, WORDS64)), F.bit_count(F.col("afp")[0].bitwiseXOR(F.col("bfp")[0])))
     cos = F.lit(similarity / (1 + similarity)) * (F.col("an") + F.col("bn")) / F.sqrt(F.greatest(F.col("an") * F.col("bn"), F.lit(1)).cast("double"))
     most = F.lit(float(SIZE)) * (F.acos(F.least(cos, F.lit(1.0))) / math.pi + SLACK)
-    return (F.least("an", "bn") >= similarity * F.greatest("an", "bn")) & (d <= most)
+    low, high = F.least("an", "bn"), F.greatest("an", "bn")
+    return (low >= similarity * high - EXACT) & ((low < SHORT) | (d <= most))
+
+
+def _alike(similarity: float):
+    """Whether the Jaccard similarity of (aset, bset) is at least ``similarity``, as one Column."""
+    both = F.size(F.array_intersect("aset", "bset"))
+    return both >= similarity * (F.size("aset") + F.size("bset") - both) - EXACT
 
 
 def _block_links(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Links that join the components of one block: minor members against all."""
+    """Links that join the components of one block: minor members against all. Without sets the distance decides."""
     few, many = pdf[pdf["small"]], pdf[~pdf["small"]]
     out: list[tuple[int, int]] = []
     if len(few) and len(many):
@@ -137,29 +188,46 @@ def _block_links(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
 
         ids, comps, sizes = (many[c].to_numpy() for c in ("id", "comp", "n"))
         fps = np.stack(many["fp"].to_list()).view(np.uint64)
-        for i, c, n, fp in zip(few["id"].tolist(), few["comp"].tolist(), few["n"].tolist(), few["fp"]):
+        sets = [many["set"].to_numpy(), few["set"].to_numpy()] if "set" in pdf else None
+        for k, (i, c, n, fp) in enumerate(zip(few["id"].tolist(), few["comp"].tolist(), few["n"].tolist(), few["fp"])):
             d = np.bitwise_count(fps ^ np.asarray(fp).view(np.uint64)).sum(1, dtype=np.int64)
-            hit = np.flatnonzero(d <= farthest(float(n), sizes.astype(float), similarity))
-            for e, j in zip(comps[hit].tolist(), ids[hit].tolist()):
-                p, q = top(c), top(e)
-                if p != q:
-                    up[max(p, q)] = min(p, q)
-                    out.append((i, j))
+            for h in np.flatnonzero(d <= farthest(float(n), sizes.astype(float), similarity)).tolist():
+                p, q = top(c), top(int(comps[h]))
+                if p == q:
+                    continue
+                if sets:
+                    x, y = sets[0][h], sets[1][k]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both < similarity * (len(x) + len(y) - both) - EXACT:
+                        continue
+                up[max(p, q)] = min(p, q)
+                out.append((i, int(ids[h])))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def _rest(met: DataFrame, nodes: DataFrame, comp: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Links between the components of each bucket of three or more that holds more than one."""
+def _rest(met: DataFrame, nodes: DataFrame, comp: DataFrame, similarity: float, scratch: Scratch, sets=None) -> DataFrame:
+    """Links between the components of each bucket of three or more that holds more than one.
+
+    ``sets`` gives (id, set) of a table of ids. Of buckets with the same members one is gone through.
+    """
     rows = scratch.table(met.join(comp, met["id"] == comp["node"], "left").select("key", "id", F.coalesce("root", "id").alias("comp")))
-    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    marks = [F.sum(F.shiftrightunsigned(F.xxhash64("id", F.lit(k)), 24)).alias(f"m{k}") for k in range(2)]
+    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), *marks)
     open_ = (
         per.groupBy("key")
-        .agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("total"), F.max("c").alias("top"))
+        .agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("total"), F.max("c").alias("top"), F.sum("m0").alias("m0"), F.sum("m1").alias("m1"))
         .where("total > top")
+        .groupBy("total", "m0", "m1")
+        .agg(F.min(F.struct("key", "main", "top")).alias("k"))
+        .select("k.*", "total")
     )
-    rows = rows.join(open_, "key").join(nodes.select("id", "n", "fp"), "id")
+    rows = rows.join(open_, "key")
+    if sets:
+        rows = scratch.table(rows)
+        nodes = nodes.join(scratch.table(sets(rows.select("id").distinct())), "id")
+    rows = rows.join(nodes.select("id", "n", "fp", *(["set"] if sets else [])), "id")
     few, many = F.ceil((F.col("total") - F.col("top")) / MINOR).cast("int"), F.ceil(F.col("total") / MAJOR).cast("int")
-    place, kept = F.xxhash64("id"), ["id", "comp", "n", "fp"]
+    place, kept = F.xxhash64("id"), ["id", "comp", "n", "fp"] + (["set"] if sets else [])
     minor = rows.where("comp != main").select(
         "key", F.pmod(place, few).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), many - 1)).alias("y"), F.lit(True).alias("small"), *kept
     )
@@ -198,10 +266,8 @@ def similar_groups(
 ) -> DataFrame:
     """One row per row with an id: (id_col, component_id), the smallest id reachable by links.
 
-    Texts link when the distance of their fingerprints is at most the one expected at a Jaccard
-    similarity of ``similarity`` of their sets of lower-cased ``shingle``-word shingles, plus
-    ``SLACK``; the distance estimates similarity to about 0.02. Fewer words than a shingle count as
-    one; texts without words are equal to each other and to nothing else, null counts as empty.
+    Texts link when the Jaccard similarity of their sets of lower-cased ``shingle``-word shingles
+    is at least ``similarity``, and they share a key. Fewer words than a shingle count as one; texts without words are equal to each other and to nothing else, null counts as empty.
     Rows with a null id are left out; rows of one id are one node. Equal fingerprints are
     one node, so copies are never expanded. Other columns are ignored; an empty table gives an
     empty result.
@@ -209,7 +275,7 @@ def similar_groups(
     scratch = Scratch(docs.sparkSession)
     all_ = scratch.table(wide_fingerprints(docs, id_col, text_col, shingle))
     nodes = scratch.table(
-        all_.groupBy("fp", "n").agg(F.min(F.struct("id", "near")).alias("m")).select(F.col("m.id").alias("id"), "n", "fp", F.col("m.near").alias("near"))
+        all_.groupBy("fp", "n").agg(F.min(F.struct("id", "near", "bands")).alias("m")).select("m.id", "n", "fp", "m.near", "m.bands")
     )
     rows = _key_rows(nodes)
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("hub")).where("c > 1")
@@ -217,12 +283,16 @@ def similar_groups(
     a = nodes.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("fp").alias("afp"))
     b = nodes.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("fp").alias("bfp"))
     pairs = met.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = scratch.table(pairs.join(a, "a").join(b, "b").where(_linked(similarity)).select("a", "b"))
+    close = scratch.table(pairs.join(a, "a").join(b, "b").where(_near(similarity)).select("a", "b"))
+    sets = lambda ids: shingle_rows(docs, ids, id_col, text_col, shingle)
+    of = scratch.table(sets(close.select(F.col("a").alias("id")).union(close.select("b")).distinct()))
+    asets, bsets = (of.select(F.col("id").alias(x), F.col("set").alias(f"{x}set")) for x in ("a", "b"))
+    stars = scratch.table(close.join(asets, "a").join(bsets, "b").where(_alike(similarity)).select("a", "b").distinct())
     comp = _joined(stars, scratch)
-    rest = _rest(met.where("c > 2").select("key", "id"), nodes, comp, similarity, scratch)
+    rest = _rest(met.where("c > 2").select("key", "id"), nodes, comp, similarity, scratch, sets)
     edges = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
     comp = scratch.table(connected_components(edges.unionByName(rest), scratch))
     rooted = nodes.join(comp, nodes["id"] == comp["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("component_id"))
     out = scratch.table(all_.select("id", "fp", "n").join(rooted, ["fp", "n"]).select(F.col("id").alias(id_col), "component_id"))
-    scratch.drop(all_, nodes, met)
+    scratch.drop(all_, nodes, met, close, of)
     return out

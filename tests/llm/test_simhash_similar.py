@@ -103,6 +103,37 @@ def test_recall_of_the_keys_at_the_threshold():
     assert np.mean(met) > 0.96
 
 
+def test_appended_and_truncated_copies_of_short_texts(spark):
+    rng = np.random.default_rng(21)
+    texts, linked = [], []
+    for a, b in [(4, 5), (5, 6), (6, 7), (12, 15), (14, 17), (20, 25), (28, 35), (60, 75), (100, 125), (128, 160), (4, 6), (11, 14), (59, 75)]:
+        for k in range(12):
+            w = [f"u{x}" for x in rng.integers(0, 1 << 40, b + 4)]
+            short = [w[: a + 4], w[b - a :]][k % 2]
+            texts += [" ".join(w), " ".join(short)][:: 1 - 2 * (k // 6)]
+            linked.append(a >= 0.8 * b)
+    got = {r.doc_id: r.component_id for r in S.similar_groups(table(spark, texts)).collect()}
+    assert [got[2 * i + 1] == got[2 * i] for i in range(len(linked))] == linked
+
+
+def test_similarity_below_the_threshold_does_not_link(spark):
+    rng = np.random.default_rng(22)
+    texts = []
+    for _ in range(40):
+        w = [f"u{x}" for x in rng.integers(0, 1 << 40, 404)]
+        texts += [" ".join(w), " ".join(w[: 4 + 316])]  # 316 of 400 shingles: 0.79
+    got = {r.doc_id: r.component_id for r in S.similar_groups(table(spark, texts)).collect()}
+    assert got == {i: i for i in range(80)}
+
+
+def test_recall_of_the_bands_at_the_threshold():
+    rng = np.random.default_rng(23)
+    for common in (4, 16, 64):
+        for _ in range(300):
+            h = rng.integers(0, 1 << 63, common * 5 // 4).astype(np.uint64)
+            assert (S.band_codes(S.mix(h)) == S.band_codes(S.mix(h[:common]))).any()
+
+
 def test_degenerate_texts(spark):
     long = " ".join(f"v{i}" for i in range(60_000))
     texts = ["", None, "  ", "one", "ONE", "two", "a b c d", "a b c d", "x " * 500, "x " * 600, long, long + " more", "é ü"]
