@@ -19,6 +19,8 @@ from quire.llm.common import Scratch
 from quire.llm.components import connected_components
 
 TABLES, PROBES, BLOCK = 4, 4, 512
+#: Two hashes must both be met, so each is probed more; with PROBES links of wide vectors would be lost.
+PROBES_OF_TWO = 8
 #: Above so many vectors of one label a key joins two hashes, for smaller buckets.
 ONE_HASH_UP_TO = 200_000
 
@@ -138,7 +140,7 @@ def embedding_groups(
     label_col: str = "label",
     threshold: float = 0.93,
     tables: int = TABLES,
-    probes: int = PROBES,
+    probes: int | None = None,
 ) -> DataFrame:
     """(id_col, n_links, component_id, kept) for every row.
 
@@ -163,6 +165,7 @@ def embedding_groups(
     )
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     hashes = 1 if most <= ONE_HASH_UP_TO else 2
+    probes = probes or (PROBES if hashes == 1 else PROBES_OF_TWO)
 
     def hash_rows(batches):
         for batch in batches:

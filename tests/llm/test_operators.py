@@ -285,6 +285,23 @@ def test_close_vectors_meet_in_a_bucket_with_one_hash_and_with_two(hashes):
     assert meet.any(1).mean() > 0.998
 
 
+def test_links_of_wide_vectors_are_kept_above_the_switch(spark, monkeypatch):
+    from quire.llm import embeddings
+
+    rng = np.random.default_rng(31)
+    a, b = rng.normal(size=(2, 2000, 768))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b = 0.931 * a + np.sqrt(1 - 0.931**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    x, y = (probe_codes(v, 2, probes=4) for v in (a, b))
+    lost = np.flatnonzero(~((x == y[:, :, :1]) | (y == x[:, :, :1])).any((1, 2)))
+    assert len(lost)
+    monkeypatch.setattr(embeddings, "ONE_HASH_UP_TO", 0)
+    rows = [(2 * k + s, v[i].tolist(), 1) for k, i in enumerate(lost.tolist()) for s, v in enumerate((a, b))]
+    got = embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == {i: 1 for i in range(len(rows))}
+
+
 def test_mixing_counts_words_between_any_white_space(spark):
     texts = [None, "", " \t", " a  b\t", "a\x0bb\nc", "  x", "a\u00a0b"]
     df = table(spark, texts).withColumn("__lang", F.lit("clash"))
