@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quire.llm import substring
 from quire.llm.chat import assemble_dialogues, rotate_perspectives
 from quire.llm.decontam import contaminated_passages, smith_waterman
-from quire.llm.embeddings import embedding_groups, probe_codes
 from quire.llm.htmltext import extract_pages, extract_text
 from quire.llm.langid import fit_languages, identify_language
 from quire.llm.licenses import scan_licenses
@@ -157,37 +156,6 @@ def test_simhash_links_every_distance(spark, bucket):
     assert components(len(fps), lambda i, j: frozenset((i, j)) in pairs) == want
 
 
-def test_embeddings_equal_brute_force(spark):
-    rng = np.random.default_rng(3)
-    base = rng.normal(size=(40, 16))
-    v = np.concatenate([base, base[:20] + 0.12 * rng.normal(size=(20, 16)), np.repeat(base[:1], 9, 0), base[1:2] + 0.05 * rng.normal(size=(60, 16))])
-    v = v.astype(np.float32).astype(float)
-    rows = [(i, x.tolist(), int(i % 2) if i < 60 else 0) for i, x in enumerate(v)]
-    n = len(rows)
-    rows += [(n, None, 0), (n + 1, [0.0] * 16, 0), (n + 2, [float("nan")] * 16, 0), (n + 3, [None] * 16, 0), (n + 4, v[0].tolist(), None), (n + 5, [], 0), (n + 6, [1.0], 0)]
-    u = v / np.linalg.norm(v, axis=1)[:, None]
-    near = lambda i, j: rows[i][2] == rows[j][2] and float(u[i] @ u[j]) >= 0.93
-    got = embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).orderBy("vec_id").collect()
-    assert [r.n_links for r in got[:n]] == [sum(near(i, j) for j in range(n) if i != j) for i in range(n)]
-    assert [r.component_id for r in got[:n]] == components(n, near)
-    assert all(r.n_links == 0 and r.kept and r.component_id == r.vec_id for r in got[n:])
-    empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
-    assert embedding_groups(empty).count() == 0
-
-
-def test_embedding_blocks(spark, monkeypatch):
-    from quire.llm import embeddings
-
-    monkeypatch.setattr(embeddings, "BLOCK", 8)
-    rng = np.random.default_rng(4)
-    v = rng.normal(size=(1, 16)) + 0.1 * rng.normal(size=(60, 16))
-    u = v.astype(np.float32).astype(float)
-    u /= np.linalg.norm(u, axis=1)[:, None]
-    m = u @ u.T >= 0.93
-    got = embedding_groups(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")).orderBy("vec_id").collect()
-    assert [r.n_links for r in got] == (m.sum(1) - 1).tolist()
-
-
 def test_decontamination_finds_copies_and_edits_only(spark):
     rng = np.random.default_rng(6)
     item = words(rng, 50, 5000)
@@ -273,35 +241,6 @@ def test_sharding_law(spark):
     assert len(few) == 3 and all(0 <= r.shard < 8 for r in few)
 
 
-@pytest.mark.parametrize("hashes", [1, 2])
-def test_close_vectors_meet_in_a_bucket_with_one_hash_and_with_two(hashes):
-    rng = np.random.default_rng(3)
-    a, r = rng.normal(size=(2, 1000, 64))
-    a /= np.linalg.norm(a, axis=1)[:, None]
-    r -= (r * a).sum(1)[:, None] * a
-    r /= np.linalg.norm(r, axis=1)[:, None]
-    x, y = probe_codes(a, hashes), probe_codes(0.93 * a + np.sqrt(1 - 0.93**2) * r, hashes)
-    meet = (x == y[:, :, :1]).any(2) | (y == x[:, :, :1]).any(2)
-    assert meet.any(1).mean() > 0.998
-
-
-def test_links_of_wide_vectors_are_kept_above_the_switch(spark, monkeypatch):
-    from quire.llm import embeddings
-
-    rng = np.random.default_rng(31)
-    a, b = rng.normal(size=(2, 2000, 768))
-    a /= np.linalg.norm(a, axis=1)[:, None]
-    b -= (a * b).sum(1)[:, None] * a
-    b = 0.931 * a + np.sqrt(1 - 0.931**2) * b / np.linalg.norm(b, axis=1)[:, None]
-    x, y = (probe_codes(v, 2, probes=4) for v in (a, b))
-    lost = np.flatnonzero(~((x == y[:, :, :1]) | (y == x[:, :, :1])).any((1, 2)))
-    assert len(lost)
-    monkeypatch.setattr(embeddings, "ONE_HASH_UP_TO", 0)
-    rows = [(2 * k + s, v[i].tolist(), 1) for k, i in enumerate(lost.tolist()) for s, v in enumerate((a, b))]
-    got = embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
-    assert {r.vec_id: r.n_links for r in got} == {i: 1 for i in range(len(rows))}
-
-
 def test_mixing_counts_words_between_any_white_space(spark):
     texts = [None, "", " \t", " a  b\t", "a\x0bb\nc", "  x", "a\u00a0b"]
     df = table(spark, texts).withColumn("__lang", F.lit("clash"))
