@@ -54,6 +54,17 @@ class Scratch:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(columns, *stems: str) -> list[str]:
+    """Names that none of ``columns`` has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for x in stems:
+        while x.lower() in taken:
+            x += "_"
+        taken.add(x.lower())
+        out.append(x)
+    return out
+
+
 # --- tokeniser -------------------------------------------------------------------------
 
 #: Bytes that separate words under the contract pattern [^\x20\x09-\x0D]+

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, mix, slices, string_buffers
+from quire.llm.common import LOWER, fresh, mix, slices, string_buffers
 
 #: Letters in, everything else a space: ASCII letters fold to lower case, UTF-8 bytes of
 #: other scripts are kept.
@@ -160,24 +160,26 @@ def language_scores(model: LanguageFilters, raw: np.ndarray, offsets: np.ndarray
     return np.maximum(0.0, (hits - n[:, None] * fp) / (1 - fp)), n
 
 
-def identify_language(docs: DataFrame, model: LanguageFilters, text_col: str = "text") -> DataFrame:
-    """Add lang_pred, score and coverage to every row, read from the whole text alone.
+def identify_language(docs: DataFrame, model: LanguageFilters, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "coverage")) -> DataFrame:
+    """Add lang_pred, score and coverage (or ``names``) to every row, read from the whole text alone.
 
     score is the best language's share of all corrected popcounts, coverage their share of the
     text's n-grams. ``und`` with score 0 for a null text or one with no letter. A text whose
     n-grams are unknown to every filter gets the language most frequent in training, with its
-    share there as the score. Columns of these three names are replaced.
+    share there as the score. Of languages with equal counts the first in alphabetical order wins. Repeated rows
+    are kept; columns of the three names are replaced; an empty table gives no rows.
     """
-    docs = docs.drop("lang_pred", "score", "coverage")
+    docs = docs.drop(*names)
+    letter_col = fresh([*docs.columns, *names], "__letter")[0]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*docs.columns, "__letter"]
+    width = len(docs.columns)
     at = docs.columns.index(text_col)
 
     def run(batches):
         m = shared.value
         for batch in batches:
             raw, off = string_buffers(batch.column(at))
-            letter = batch.column(len(names) - 1).to_numpy(zero_copy_only=False).astype(bool)
+            letter = batch.column(width).to_numpy(zero_copy_only=False).astype(bool)
             best, share, cover = np.zeros(len(batch), np.int64), np.zeros(len(batch)), np.zeros(len(batch))
             for lo, hi in slices(off):
                 if not m.languages:
@@ -192,9 +194,9 @@ def identify_language(docs: DataFrame, model: LanguageFilters, text_col: str = "
             pred = [m.languages[i] if x else "und" for i, x in zip(best, ok)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(np.where(ok, share, 0.0)), pa.array(np.where(ok, cover, 0.0))],
-                names=[*names[:-1], "lang_pred", "score", "coverage"],
+                names=[*batch.schema.names[:-1], *names],
             )
 
     schema = docs.schema
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "lang_pred string", "score double", "coverage double"])
-    return docs.withColumn("__letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, out)
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"`{n}` {k}" for n, k in zip(names, ("string", "double", "double")))])
+    return docs.withColumn(letter_col, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, out)

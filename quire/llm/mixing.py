@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 DataFrame operations only. Tokens are summed to cells of the raked columns; the cells'
-weights are raked to each marginal in turn; a document is sampled with its cell's calibrated
-probability.
+weights are raked to each marginal in turn until all are met; a document is sampled with its cell's calibrated
+probability. Nothing is gathered in one task: totals are aggregates, and the constant of the
+probabilities is found by a few of them instead of a sort of all cells.
 """
 
 from __future__ import annotations
@@ -16,11 +17,37 @@ from quire.llm.common import Scratch
 
 WORDS, SPACES = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 NONE = "(none)"
+#: Rounds between two looks at the error.
+STEP = 5
 
 
-def uniform(id_col: str) -> Column:
-    """A number in [0, 1) fixed by the id."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+def uniform(*columns: Column) -> Column:
+    """A number in [0, 1) fixed by the first of ``columns`` that is not null."""
+    named = F.coalesce(*(c.cast("string") for c in columns), F.lit(""))
+    return F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def rake(w: DataFrame, names: Sequence[str], scratch: Scratch, rounds: int, tolerance: float) -> tuple[DataFrame, float]:
+    """Cells ``w`` with weight w raked to the shares q<name>, and the greatest relative error left in a marginal.
+
+    Stops when the error is at most ``tolerance``, when it no longer falls, as with shares that contradict
+    each other, or after ``rounds``.
+    """
+    # a value's share is that of the first of its cells, so each value counts once
+    error, best = float("inf"), float("inf")
+    for done in range(0, rounds, STEP):
+        for _ in range(min(STEP, rounds - done)):
+            for name in names:
+                has = F.sum("w").over(Window.partitionBy(name))
+                w = w.withColumn("w", F.when(has > 0, F.col("w") * F.col(f"q{name}") / has).otherwise(F.lit(0.0)))
+        off = [F.when(F.col(f"q{k}") > 0, F.abs(F.sum("w").over(Window.partitionBy(k)) / F.col(f"q{k}") - 1)).otherwise(0.0) for k in names]
+        w = scratch.table(w.withColumn("off", F.greatest(*off) if len(off) > 1 else off[0]))
+        error = w.agg(F.max("off")).first()[0] or 0.0
+        w = w.drop("off")
+        if error <= tolerance or (error >= best and done >= 20 * STEP):
+            break
+        best = min(best, error)
+    return w, error
 
 
 def mix_sources(
@@ -29,70 +56,69 @@ def mix_sources(
     targets: Mapping[str, Mapping[str, float]] | None = None,
     temperature: float = 0.5,
     fraction: float = 0.5,
-    rounds: int = 10,
+    rounds: int = 200,
+    tolerance: float = 1e-9,
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: Sequence[str] | None = None,
+    prefix: str = "__",
 ) -> DataFrame:
     """All rows of ``docs`` and their columns, or those in ``keep``, with __tokens, __weight, __probability and __sampled added.
 
     ``dims`` names the raked marginals and how to read them, ``targets`` their shares of the
     tokens; a marginal without given shares gets its own, tokens to the power of
     ``temperature``, normalised (given shares are normalised over the values present; a
-    value without one gets 0). __weight is the raked share of a cell over its present share.
+    value without one gets 0). Raking ends when every marginal is met to ``tolerance``, or after
+    ``rounds``, as with shares that contradict each other. __weight is the raked share of a cell over its present share.
     Probabilities are the weights times a constant, at most 1, such that the expected tokens
     are ``fraction`` of all: where a cell would need more than all it has, it is kept whole
     and the others make up for it. Null values of a marginal form the value ``(none)``. Rows
-    without words have no weight and are never sampled; repeated rows share one decision; a
-    null id has a draw like any other; an empty table gives no rows. The columns are written to
-    the shared folder with their marginals and tokens, so that texts are read and counted once.
+    without words have no weight and are never sampled. A row's draw is fixed by its id, or by its text if that is null, so repeated rows
+    share one decision; cells of equal weight are treated alike; an empty table gives no rows. The columns are written to
+    the shared folder with their marginals and tokens, so that texts are read and counted once. Added names begin with
+    ``prefix``; columns of those names are replaced.
     """
     scratch = Scratch(docs.sparkSession)
-    names: Sequence[str] = [f"__{k}" for k in dims]
-    read = docs.withColumns({f"__{k}": F.coalesce(c.cast("string"), F.lit(NONE)) for k, c in dims.items()}).withColumn(
-        "__tokens", F.coalesce(F.size(F.array_remove(F.split(F.col(text_col), SPACES), "")), F.lit(0)).cast("long")
+    p = prefix
+    names: Sequence[str] = [f"{p}{k}" for k in dims]
+    read = docs.withColumns({n: F.coalesce(c.cast("string"), F.lit(NONE)) for n, c in zip(names, dims.values())}).withColumns(
+        {
+            f"{p}tokens": F.coalesce(F.size(F.array_remove(F.split(F.col(text_col), SPACES), "")), F.lit(0)).cast("long"),
+            f"{p}draw": uniform(F.col(id_col), F.col(text_col)),
+        }
     )
     held = list(dict.fromkeys([id_col, *(docs.columns if keep is None else keep)]))
-    read = scratch.table(read.select(*(c for c in held if c not in {*names, "__tokens"}), *names, "__tokens"))
-    cells = read.where("__tokens > 0").groupBy(*names).agg(F.sum("__tokens").alias("t"))
-    cells = scratch.table(cells.coalesce(1))
-    w = cells.withColumn("w", F.col("t") / F.sum("t").over(Window.partitionBy()))
+    added = [*names, f"{p}tokens", f"{p}draw"]
+    read = scratch.table(read.select(*(c for c in held if c not in added), *added))
+    cells = scratch.table(read.where(F.col(f"{p}tokens") > 0).groupBy(*names).agg(F.sum(f"{p}tokens").alias("t")))
+    total = cells.agg(F.sum("t")).first()[0] or 0
+    w = cells.withColumn("w", F.col("t") / F.lit(float(max(1, total))))
     for k, name in zip(dims, names):
-        own = F.sum("t").over(Window.partitionBy(name))
+        by = cells.groupBy(name).agg(F.sum("t").alias("own"))
         if targets and k in targets:
             given = F.create_map(*[F.lit(x) for kv in targets[k].items() for x in kv])
             share = F.coalesce(given[F.col(name)].cast("double"), F.lit(0.0))
         else:
-            share = F.pow(own, F.lit(temperature))
-        # a value's share is spread over its cells, so the shares of all values can be summed
-        n = F.count(F.lit(1)).over(Window.partitionBy(name))
-        w = w.withColumn(f"q{name}", share).withColumn("n", n)
-        w = w.withColumn(f"q{name}", F.col(f"q{name}") / F.sum(F.col(f"q{name}") / F.col("n")).over(Window.partitionBy())).drop("n")
-    w = scratch.table(w)
-    for done in range(rounds):
-        for name in names:
-            has = F.sum("w").over(Window.partitionBy(name))
-            w = w.withColumn("w", F.when(has > 0, F.col("w") * F.col(f"q{name}") / has).otherwise(F.lit(0.0)))
-        if done % 5 == 4:
-            w = scratch.table(w)
+            share = F.pow("own", F.lit(temperature))
+        by = scratch.table(by.select(name, share.cast("double").alias("s")))
+        every = by.agg(F.sum("s")).first()[0] or 1.0
+        w = w.join(by.select(name, (F.col("s") / F.lit(every)).alias(f"q{name}")), name)
+    w, _ = rake(scratch.table(w), names, scratch, rounds, tolerance)
     # given shares may leave part of the weight without cells
-    w = w.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy()))
-    everything = F.sum("t").over(Window.partitionBy())
-    w = w.withColumn("r", F.col("w") * everything / F.col("t")).withColumn("goal", everything * F.lit(fraction))
-    order = Window.partitionBy().orderBy(F.desc("r"), *names)
-    above = F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    below = F.sum(F.col("r") * F.col("t")).over(order.rowsBetween(0, Window.unboundedFollowing))
-    scale = F.when(below > 0, (F.col("goal") - above) / below)
-    w = w.withColumn("scale", scale).withColumn("place", F.row_number().over(order))
-    fits = F.when(F.col("scale") * F.col("r") <= 1 + 1e-12, F.struct("place", "scale"))
-    w = w.withColumn("k", F.min(fits).over(Window.partitionBy()))
-    p = F.when(F.col("k").isNull(), F.when(F.col("r") > 0, F.lit(1.0)).otherwise(F.lit(0.0))).when(F.col("place") < F.col("k.place"), F.lit(1.0))
-    w = scratch.table(w.select(*names, F.col("r").alias("__weight"), p.otherwise(F.least(F.lit(1.0), F.col("k.scale") * F.col("r"))).alias("__probability")))
-    some = F.col("__tokens") > 0
-    out = read.join(w, list(names), "left").withColumns(
-        {
-            "__weight": F.when(some, F.col("__weight")).otherwise(F.lit(0.0)),
-            "__probability": F.when(some, F.col("__probability")).otherwise(F.lit(0.0)),
-        }
-    )
-    return out.withColumn("__sampled", uniform(id_col) < F.col("__probability"))
+    every = w.agg(F.sum("w")).first()[0] or 1.0
+    w = w.withColumn("r", F.col("w") / F.lit(every) * F.lit(float(total)) / F.col("t"))
+    goal, scale = float(total) * fraction, None
+    while True:
+        whole = F.lit(False) if scale is None else F.col("r") * F.lit(scale) > 1 + 1e-12
+        full, rest = w.agg(F.coalesce(F.sum(F.when(whole, F.col("t"))), F.lit(0)).cast("double"), F.coalesce(F.sum(F.when(~whole, F.col("r") * F.col("t"))), F.lit(0.0))).first()
+        now = (goal - full) / rest if rest > 0 else None
+        # the constant only grows as more cells are whole, until no further one is
+        if now is None or scale is not None and now <= scale * (1 + 1e-15):
+            scale = scale if now is None else max(now, scale or now)
+            break
+        scale = now
+    probability = F.least(F.lit(1.0), F.col("r") * F.lit(scale if scale is not None else 0.0))
+    w = scratch.table(w.select(*names, F.col("r").alias(f"{p}weight"), probability.alias(f"{p}probability")))
+    some = F.col(f"{p}tokens") > 0
+    out = read.join(w, list(names), "left").withColumns({c: F.when(some, F.col(c)).otherwise(F.lit(0.0)) for c in (f"{p}weight", f"{p}probability")})
+    return out.withColumn(f"{p}sampled", F.col(f"{p}draw") < F.col(f"{p}probability")).drop(f"{p}draw")

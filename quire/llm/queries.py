@@ -66,10 +66,10 @@ def text_form():
     )
 
 
-def mixture(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def mixture(docs: DataFrame, keep: list[str] | None = None, prefix: str = "__") -> DataFrame:
     """The mix of the corpus: each marginal's target is its natural tokens to the power of 0.5."""
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": text_form()}
-    return mix_sources(docs, dims, temperature=0.5, fraction=0.5, keep=keep)
+    return mix_sources(docs, dims, temperature=0.5, fraction=0.5, keep=keep, prefix=prefix)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

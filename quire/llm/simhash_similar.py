@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, Scratch, grams, mix, slices, string_buffers, words
+from quire.llm.common import LOWER, Scratch, fresh, grams, mix, slices, string_buffers, words
 from quire.llm.components import connected_components
 
 SEGMENTS, BITS, NEAR = 34, 30, 6
@@ -75,8 +75,14 @@ def band_codes(h: np.ndarray) -> np.ndarray:
     return (grams(mix(low), ROWS)[::ROWS] >> np.uint64(32)).astype(np.uint32)
 
 
+def row_keys(id_col: str, text_col: str) -> list:
+    """128 bits that name a row by its id and text; a null text counts as empty."""
+    i, t = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(F.lit(1), i, t), F.xxhash64(t, F.lit(2), i)]
+
+
 def shingle_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, set): the sorted shingle hashes of the documents with one of ``ids``."""
+    """(id, set): the sorted shingle hashes of the documents named by ``ids(id, k1, k2)``."""
 
     def run(batches):
         for b in batches:
@@ -87,12 +93,14 @@ def shingle_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, sh
                 sets = [x.view(np.int64) for x in shingle_sets(h, doc, hi - lo, shingle)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return d.join(ids, "id", "left_semi").mapInArrow(run, "id long, set array<long>").distinct()
+    k1, k2 = row_keys(id_col, text_col)
+    d = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("t"))
+    return d.join(ids, ["k1", "k2"]).select("id", "t").mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, n, fp, near, bands): size of the shingle set, fingerprint, near places of each segment, and band codes."""
+    """(id, n, fp, near, bands, doc, k1, k2) of every row: a number of its own, size of the shingle set, fingerprint,
+    near places of each segment, band codes, and the row's id and keys."""
 
     def run(batches):
         for b in batches:
@@ -112,12 +120,14 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int)
                         pa.array(list(fp), pa.list_(pa.int64())),
                         pa.array([x.tobytes() for x in near], pa.binary()),
                         pa.array([band_codes(x).tobytes() for x in sets], pa.binary()),
+                        *(b.column(i).slice(lo, hi - lo) for i in (2, 3, 4)),
                     ],
-                    names=["id", "n", "fp", "near", "bands"],
+                    names=["id", "n", "fp", "near", "bands", "doc", "k1", "k2"],
                 )
 
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL")
-    return d.mapInArrow(run, "id long, n long, fp array<long>, near binary, bands binary")
+    k1, k2 = row_keys(id_col, text_col)
+    d = docs.select(F.monotonically_increasing_id().alias("id"), F.col(text_col).alias("t"), F.col(id_col).cast("long").alias("doc"), k1.alias("k1"), k2.alias("k2"))
+    return d.mapInArrow(run, "id long, n long, fp array<long>, near binary, bands binary, doc long, k1 long, k2 long")
 
 
 def segment_keys(fp: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -224,7 +234,7 @@ def _rest(met: DataFrame, nodes: DataFrame, comp: DataFrame, similarity: float,
     rows = rows.join(open_, "key")
     if sets:
         rows = scratch.table(rows)
-        nodes = nodes.join(scratch.table(sets(rows.select("id").distinct())), "id")
+        nodes = nodes.join(scratch.table(sets(nodes.join(rows.select("id").distinct(), "id", "left_semi").select("id", "k1", "k2"))), "id")
     rows = rows.join(nodes.select("id", "n", "fp", *(["set"] if sets else [])), "id")
     few, many = F.ceil((F.col("total") - F.col("top")) / MINOR).cast("int"), F.ceil(F.col("total") / MAJOR).cast("int")
     place, kept = F.xxhash64("id"), ["id", "comp", "n", "fp"] + (["set"] if sets else [])
@@ -261,38 +271,65 @@ def _joined(stars: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(rooted.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
-def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """One row per row with an id: (id_col, component_id), the smallest id reachable by links.
-
-    Texts link when the Jaccard similarity of their sets of lower-cased ``shingle``-word shingles
-    is at least ``similarity``, and they share a key. Fewer words than a shingle count as one; texts without words are equal to each other and to nothing else, null counts as empty.
-    Rows with a null id are left out; rows of one id are one node. Equal fingerprints are
-    one node, so copies are never expanded. Other columns are ignored; an empty table gives an
-    empty result.
-    """
-    scratch = Scratch(docs.sparkSession)
+def similar_rows(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(doc, k1, k2, root) of every row, written: its id and keys, and a number that the rows of its group share."""
     all_ = scratch.table(wide_fingerprints(docs, id_col, text_col, shingle))
-    nodes = scratch.table(
-        all_.groupBy("fp", "n").agg(F.min(F.struct("id", "near", "bands")).alias("m")).select("m.id", "n", "fp", "m.near", "m.bands")
-    )
+    nodes = scratch.table(all_.groupBy("fp", "n").agg(F.min(F.struct("id", "near", "bands", "k1", "k2")).alias("m")).select("m.*", "n", "fp"))
     rows = _key_rows(nodes)
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("hub")).where("c > 1")
-    met = scratch.table(rows.join(shared, "key"))
+    met = scratch.table(rows.join(scratch.table(shared), "key"))
     a = nodes.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("fp").alias("afp"))
     b = nodes.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("fp").alias("bfp"))
     pairs = met.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     close = scratch.table(pairs.join(a, "a").join(b, "b").where(_near(similarity)).select("a", "b"))
     sets = lambda ids: shingle_rows(docs, ids, id_col, text_col, shingle)
-    of = scratch.table(sets(close.select(F.col("a").alias("id")).union(close.select("b")).distinct()))
+    ends = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+    of = scratch.table(sets(nodes.join(ends, "id", "left_semi").select("id", "k1", "k2")))
     asets, bsets = (of.select(F.col("id").alias(x), F.col("set").alias(f"{x}set")) for x in ("a", "b"))
     stars = scratch.table(close.join(asets, "a").join(bsets, "b").where(_alike(similarity)).select("a", "b").distinct())
     comp = _joined(stars, scratch)
     rest = _rest(met.where("c > 2").select("key", "id"), nodes, comp, similarity, scratch, sets)
     edges = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
     comp = scratch.table(connected_components(edges.unionByName(rest), scratch))
-    rooted = nodes.join(comp, nodes["id"] == comp["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("component_id"))
-    out = scratch.table(all_.select("id", "fp", "n").join(rooted, ["fp", "n"]).select(F.col("id").alias(id_col), "component_id"))
-    scratch.drop(all_, nodes, met, close, of)
+    rooted = scratch.table(nodes.join(comp, nodes["id"] == comp["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("root")))
+    out = scratch.table(all_.select("doc", "k1", "k2", "fp", "n").join(rooted, ["fp", "n"]).select("doc", "k1", "k2", "root"))
+    scratch.drop(all_, nodes, met, close, of, rooted)
     return out
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """One row per input row: (id_col, component_id), the smallest id reachable by links.
+
+    Texts link when the Jaccard similarity of their sets of lower-cased ``shingle``-word shingles
+    is at least ``similarity``, and they share a key. Fewer words than a shingle count as one; texts without words are equal to each other and to nothing else, null counts as empty.
+    Rows are grouped by themselves, not by their ids: a null id or one that different texts share joins nothing, and
+    component_id is null only if every id of its group is. Equal fingerprints are one node, so copies are never expanded.
+    Other columns are ignored; an empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = similar_rows(docs, scratch, id_col, text_col, shingle, similarity)
+    least = scratch.table(rows.groupBy("root").agg(F.min("doc").alias("component_id")))
+    return rows.join(least, "root").select(F.col("doc").alias(id_col), "component_id")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of ``similar_groups``: that of smallest id, null last, then of smallest key.
+
+    Of rows with one id and text one stays, any of them if other columns differ. Rows are told apart by
+    128 bits of hash of id and text, so different texts of one id are different documents.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = similar_rows(docs, scratch, id_col, text_col, shingle, similarity)
+    order = F.struct(F.col("doc").isNull().alias("last"), "doc", "k1", "k2")
+    per = rows.groupBy("k1", "k2").agg(F.min(order).alias("me"), F.min("root").alias("root"), F.count(F.lit(1)).alias("times"))
+    per = scratch.table(per)
+    stays = scratch.table(per.groupBy("root").agg(F.min("me").alias("first")))
+    told = per.join(stays, "root").withColumn("stays", F.col("me") == F.col("first")).where("times > 1 OR NOT stays")
+    k1, k2 = fresh(docs.columns, "__k1", "__k2")
+    told = scratch.table(told.select(F.col("k1").alias(k1), F.col("k2").alias(k2), "stays"))
+    keyed = docs.withColumns(dict(zip((k1, k2), row_keys(id_col, text_col))))
+    once = keyed.join(told.drop("stays"), [k1, k2], "left_anti")
+    again = keyed.join(told.where("stays").drop("stays"), [k1, k2], "left_semi").dropDuplicates([k1, k2])
+    return once.unionByName(again).select(*docs.columns)

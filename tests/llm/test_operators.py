@@ -1,6 +1,7 @@
 """The training-data operators against brute force and on degenerate tables."""
 
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from quire.llm.htmltext import extract_pages, extract_text
 from quire.llm.langid import fit_languages, identify_language
 from quire.llm.licenses import scan_licenses
 from quire.llm.mixing import mix_sources
-from quire.llm.sharding import shard_documents
+from quire.llm.sharding import shard_documents, shard_rows, write_shards
 from quire.llm.simhash import simhash, simhash_groups
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, range int, shard int"
@@ -163,7 +164,7 @@ def test_decontamination_finds_copies_and_edits_only(spark):
     edited[5] = edited[17] = edited[30] = "other"
     pad = lambda n: " ".join(words(rng, n, 5000))
     texts = [pad(80), pad(30) + " " + " ".join(item).upper() + ", " + pad(30), pad(10) + "\n" + " ".join(edited), pad(3000) + " " + " ".join(item), None, "", pad(2)]
-    items = spark.createDataFrame([(7, " ".join(item), "x"), (8, "two words", "x"), (9, None, "x"), (10, pad(40), "x")], "item_id long, text string, doc_id string")
+    items = spark.createDataFrame([(7, " ".join(item), "x"), (8, "two wørds", "x"), (9, None, "x"), (10, pad(40), "x")], "item_id long, text string, doc_id string")
     got = {r.doc_id: r for r in contaminated_passages(table(spark, texts), items).collect()}
     assert sorted(got) == [1, 2, 3] and all(r.item_id == 7 for r in got.values())
     assert got[1].score == 1.0 and (got[1].start_word, got[1].end_word) == (30, 80)
@@ -187,7 +188,7 @@ def test_decontamination_needs_one_shared_seed(spark):
     texts = ["x a b c y", "x a b y c", "p0 p1 p2 q p4 p5 q p7 p8 q p10 p11"]
     items = spark.createDataFrame([(1, "a b c d e"), (2, " ".join(f"p{i}" for i in range(12)))], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.score for r in contaminated_passages(table(spark, texts), items).collect()}
-    assert got == {(0, 1): 0.6, (2, 2): 0.625}
+    assert got == {(0, 1): 0.6, (1, 1): 0.5, (2, 2): 0.625}
 
 
 def test_smith_waterman_equals_the_plain_recurrence():
@@ -241,6 +242,41 @@ def test_sharding_law(spark):
     assert len(few) == 3 and all(0 <= r.shard < 8 for r in few)
 
 
+def test_shards_against_a_plain_version(spark):
+    """Sizes, checksums and slots read off the rows; the order of a shard's slots is one order of all rows."""
+    rng = np.random.default_rng(19)
+    texts = [" ".join(words(rng, int(rng.integers(1, 40)))) for _ in range(900)] + ["hot text " * 5] * 700 + ["x" * 40_000, None, "", "é"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id"), (None, "no id"), (3, texts[3]), (900, texts[900])] + [(5000, "same row")] * 300
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    key = lambda i, n, c: (-1 if i is None else i, n, c)
+    assert sorted(key(r.doc_id, r.size, r.text_crc32) for r in got) == sorted(key(i, size(t), zlib.crc32((t or "").encode())) for i, t in rows)
+    total, by, held = sum(size(t) for _, t in rows), {}, {}
+    for r in sorted(got, key=lambda r: (r.shard, r.slot)):
+        by.setdefault(r.shard, []).append(r)
+        held.setdefault(r.text_crc32, set()).add(r.shard)
+    assert sorted(by) == list(range(5))
+    for x in by.values():
+        assert [r.slot for r in x] == list(range(len(x)))
+    sizes = [sum(r.size for r in x) for x in by.values()]
+    assert max(sizes) - min(sizes) < max(0.02 * total, 2 * 40_001)
+    small = 0.005 * total / 5
+    assert all(len(s) == 1 for c, s in held.items() if c and sum(size(t) for _, t in rows if zlib.crc32((t or "").encode()) == c) <= small)
+
+
+def test_written_shards_hold_every_row_with_its_text(spark, tmp_path):
+    rows = [(i % 50 if i % 7 else None, f"text {i % 61}", i, "mine") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int, slot string")
+    out = write_shards(df, str(tmp_path / "shards"), 3)
+    assert sorted((r.n, r.text, r.doc_id or -1) for r in out.collect()) == sorted((n, t, i or -1) for i, t, n, _ in rows)
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.shard, []).append(r.slot)
+    assert sorted(by) == [0, 1, 2] and all(sorted(x) == list(range(len(x))) for x in by.values())
+    assert sorted(p.name for p in (tmp_path / "shards").iterdir() if "=" in p.name) == ["shard=0", "shard=1", "shard=2"]
+    assert shard_rows(df.where("false")).columns == ["doc_id", "text", "n", "size", "text_crc32", "shard", "slot"]
+
+
 def test_mixing_counts_words_between_any_white_space(spark):
     texts = [None, "", " \t", " a  b\t", "a\x0bb\nc", "  x", "a\u00a0b"]
     df = table(spark, texts).withColumn("__lang", F.lit("clash"))

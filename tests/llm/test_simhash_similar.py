@@ -46,7 +46,7 @@ def test_groups_equal_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(S, "MAJOR", blocks[1])
     texts = corpus()
     got = {r.doc_id: r.component_id for r in S.similar_groups(table(spark, texts)).collect()}
-    fp = {r.id: r for r in S.wide_fingerprints(table(spark, texts), "doc_id", "text", 5).collect()}
+    fp = {r.doc: r for r in S.wide_fingerprints(table(spark, texts), "doc_id", "text", 5).collect()}
     bits = {i: np.array(r.fp, np.int64).view(np.uint64) for i, r in fp.items()}
     near = lambda i, j: np.bitwise_count(bits[i] ^ bits[j]).sum() <= S.farthest(fp[i].n, fp[j].n, 0.8)
     by_distance = roots(len(texts), near)
@@ -60,7 +60,7 @@ def test_groups_equal_brute_force(spark, monkeypatch, blocks):
 
 def test_blocks_join_components_that_do_not_meet_the_hub(spark):
     texts = corpus()
-    nodes = S.wide_fingerprints(table(spark, texts), "doc_id", "text", 5).where("id < 10 OR id >= 40")
+    nodes = S.wide_fingerprints(table(spark, texts), "doc_id", "text", 5).withColumn("id", S.F.col("doc")).where("id < 10 OR id >= 40")
     met = nodes.select(S.F.lit(7).cast("long").alias("key"), "id")
     comp = nodes.select(S.F.col("id").alias("node"), S.F.col("id").alias("root"))
     links = S._rest(met, nodes, comp, 0.8, S.Scratch(spark)).collect()
@@ -143,12 +143,24 @@ def test_degenerate_texts(spark):
 
 def test_null_and_repeated_ids_and_empty_table(spark):
     t = " ".join(f"v{i}" for i in range(50))
-    rows = [(None, t), (4, t), (4, t), (2, t), (9, "other words here")]
+    rows = [(None, t), (4, t), (4, t), (2, t), (9, "other words here"), (None, "nobody else has this"), (9, "another text of nine")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((r.doc_id, r.component_id) for r in S.similar_groups(d).collect()) == [(2, 2), (4, 2), (4, 2), (9, 9)]
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in S.similar_groups(d).collect())
+    assert got == [(-1, -1), (-1, 2), (2, 2), (4, 2), (4, 2), (9, 9), (9, 9)]
     assert S.similar_groups(d.where("false")).count() == 0
 
 
+def test_rows_are_dropped_by_themselves_not_by_their_ids(spark):
+    t, u, v = (" ".join(f"{x}{i}" for i in range(50)) for x in "tuv")
+    rows = [(1, t), (1, t), (2, u), (2, t), (None, u), (None, v), (None, v), (3, None), (4, ""), (5, u + " more")]
+    d = spark.createDataFrame([(i, x, "k", 1, 2) for i, x in rows], "doc_id long, text string, __k1 string, k1 int, root int")
+    kept = S.drop_similar(d)
+    assert kept.columns == d.columns
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect() if r.text) == [(-1, v), (1, t), (2, u)]
+    assert [r.doc_id for r in kept.collect() if not r.text] == [3]
+    assert S.drop_similar(d.where("false")).count() == 0
+
+
 def test_links_beside_the_least_hub_join_components(spark):
     rng = np.random.default_rng(9)
     pairs = sorted({(int(max(p)), int(min(p))) for p in rng.integers(0, 300, (260, 2)) if p[0] != p[1]} | {(500, 400), (500, 450), (501, 450)})
