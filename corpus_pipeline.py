@@ -1,9 +1,9 @@
 """Corpus pipeline: language ID, SimHash near-dedup, decontamination, mixing, sharding.
 
-Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of
-``documents``; the last returns each kept document's place in a shard. Every stage works on
-all that the one before kept. Document ids are taken to be unique; a document with a null id
-is nobody's copy and cannot be found contaminated, so only language ID and mixing can drop it.
+Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of ``documents`` as they
+were; the last adds each kept document's size, text_crc32, shard and slot. Every stage works on
+all that the one before kept. Rows are judged by themselves, not by their ids: a null id or one that different
+texts share changes nothing, and of equal rows near-dedup keeps one. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch
-from quire.llm.decontam import contaminated_passages
+from quire.llm.common import Scratch, fresh
+from quire.llm.decontam import drop_contaminated
 from quire.llm.langid import fit_languages, identify_language
 from quire.llm.queries import held_out, mixture
-from quire.llm.sharding import shard_documents
-from quire.llm.simhash_similar import similar_groups
+from quire.llm.sharding import shard_rows
+from quire.llm.simhash_similar import drop_similar
 
 #: A text of which the filters know fewer than this share of n-grams is in none of the languages.
 MIN_COVERAGE = 0.25
@@ -29,32 +29,32 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a learned language; those without letters or unknown to all filters go."""
     model = fit_languages(docs.where(~held_out(docs)))
-    told = identify_language(docs, model)
-    return told.where((F.col("lang_pred") != "und") & (F.col("coverage") >= MIN_COVERAGE)).select(*docs.columns)
+    pred, score, coverage = fresh(docs.columns, "lang_pred", "score", "coverage")
+    told = identify_language(docs, model, names=(pred, score, coverage))
+    return told.where((F.col(pred) != "und") & (F.col(coverage) >= MIN_COVERAGE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    gone = similar_groups(docs).where("doc_id != component_id").select("doc_id").distinct()
-    gone = Scratch(spark).table(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return drop_similar(docs).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a copied or edited benchmark item."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = Scratch(spark).table(contaminated_passages(docs, items).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sample documents to the raked weights of source, language and text form."""
-    return mixture(docs).where("__sampled").select(*docs.columns)
+    prefix = "__"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return mixture(docs, prefix=prefix).where(f"`{prefix}sampled`").select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of every document."""
-    return shard_documents(docs, SHARDS)
+    """Every document with its size, text_crc32, shard and slot."""
+    return shard_rows(docs, SHARDS)
 
 
 STAGES = [
