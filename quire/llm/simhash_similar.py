@@ -75,6 +75,14 @@ def band_codes(h: np.ndarray) -> np.ndarray:
     return (grams(mix(low), ROWS)[::ROWS] >> np.uint64(32)).astype(np.uint32)
 
 
+def _prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Fingerprints, near places of each segment, and band codes of some shingle sets."""
+    bits, far = (np.stack(x) for x in zip(*map(majorities, sets)))
+    order = far.reshape(-1, SEGMENTS, BITS).astype(np.int32) * BITS + np.arange(BITS, dtype=np.int32)
+    near = np.argpartition(order, NEAR - 1, axis=2)[:, :, :NEAR].astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64), near, [band_codes(x) for x in sets]
+
+
 def row_keys(id_col: str, text_col: str) -> list:
     """128 bits that name a row by its id and text; a null text counts as empty."""
     i, t = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
@@ -109,17 +117,13 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int)
                 part = offsets[lo : hi + 1]
                 doc, _, _, h = words(raw[part[0] : part[-1]], part - part[0], fold=LOWER)
                 sets = shingle_sets(h, doc, hi - lo, shingle)
-                bits, far = (np.stack(x) for x in zip(*map(majorities, sets)))
-                fp = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-                order = far.reshape(-1, SEGMENTS, BITS) * BITS + np.arange(BITS)
-                near = np.argpartition(order, NEAR - 1, axis=2)[:, :, :NEAR].astype(np.uint8)
+                fp, near, bands = zip(*(_prints(sets[i : i + 256]) for i in range(0, len(sets), 256)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, hi - lo),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(list(fp), pa.list_(pa.int64())),
-                        pa.array([x.tobytes() for x in near], pa.binary()),
-                        pa.array([band_codes(x).tobytes() for x in sets], pa.binary()),
+                        pa.array([x for part in fp for x in part], pa.list_(pa.int64())),
+                        *(pa.array([x.tobytes() for part in parts for x in part], pa.binary()) for parts in (near, bands)),
                         *(b.column(i).slice(lo, hi - lo) for i in (2, 3, 4)),
                     ],
                     names=["id", "n", "fp", "near", "bands", "doc", "k1", "k2"],
@@ -283,17 +287,30 @@ def similar_rows(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
     pairs = met.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     close = scratch.table(pairs.join(a, "a").join(b, "b").where(_near(similarity)).select("a", "b"))
     sets = lambda ids: shingle_rows(docs, ids, id_col, text_col, shingle)
-    ends = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-    of = scratch.table(sets(nodes.join(ends, "id", "left_semi").select("id", "k1", "k2")))
-    asets, bsets = (of.select(F.col("id").alias(x), F.col("set").alias(f"{x}set")) for x in ("a", "b"))
-    stars = scratch.table(close.join(asets, "a").join(bsets, "b").where(_alike(similarity)).select("a", "b").distinct())
-    comp = _joined(stars, scratch)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        of = scratch.table(sets(nodes.join(ends, "id", "left_semi").select("id", "k1", "k2")))
+        asets, bsets = (of.select(F.col("id").alias(x), F.col("set").alias(f"{x}set")) for x in ("a", "b"))
+        got = scratch.table(pairs.join(asets, "a").join(bsets, "b").where(_alike(similarity)).select("a", "b").distinct())
+        scratch.drop(of)
+        return got
+
+    # a text's least hub joins most of its group: only pairs between what that has not joined need their sets compared
+    least = scratch.table(close.groupBy("a").agg(F.min("b").alias("b")))
+    first = verified(least)
+    at = connected_components(first, scratch)
+    at = scratch.table(at)
+    a, b = (at.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
+    apart = close.join(least, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
+    apart = scratch.table(apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+    comp = _joined(scratch.table(first.unionByName(verified(apart))), scratch)
     rest = _rest(met.where("c > 2").select("key", "id"), nodes, comp, similarity, scratch, sets)
     edges = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
     comp = scratch.table(connected_components(edges.unionByName(rest), scratch))
     rooted = scratch.table(nodes.join(comp, nodes["id"] == comp["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("root")))
     out = scratch.table(all_.select("doc", "k1", "k2", "fp", "n").join(rooted, ["fp", "n"]).select("doc", "k1", "k2", "root"))
-    scratch.drop(all_, nodes, met, close, of, rooted)
+    scratch.drop(all_, nodes, met, close, least, first, apart, rooted)
     return out
 
 
