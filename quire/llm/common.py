@@ -80,7 +80,11 @@ _PINV = pow(_P, -1, 1 << 64)
 _BYTE = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=2)
+#: Bytes whose words are hashed at a time.
+_WORDS_BLOCK = 1 << 18
+
+
+@lru_cache(maxsize=4)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_P, _PINV):
@@ -127,24 +131,37 @@ def words(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACE, fold: n
     a maximal run of bytes outside ``sep`` within one document; ``fold`` maps the bytes
     before they are hashed.
     """
-    n = len(raw)
-    if not n:
+    parts, lo, n = [], 0, len(raw)
+    while lo < n:
+        # cut at a separator, so that temporaries stay small however long the texts are
+        hi = n
+        if n - lo > _WORDS_BLOCK:
+            gap = np.flatnonzero(sep[raw[lo + _WORDS_BLOCK : lo + 2 * _WORDS_BLOCK]])
+            hi = lo + _WORDS_BLOCK + int(gap[0]) if len(gap) else min(n, int(offsets[np.searchsorted(offsets, lo + _WORDS_BLOCK, "left")]))
+        parts.append(_words(raw[lo:hi], offsets, lo, sep, fold))
+        lo = hi
+    if not parts:
         e = np.zeros(0, np.int64)
         return e, e, e, e.astype(np.uint64)
+    starts, ends, h = (np.concatenate(x) for x in zip(*parts))
+    return np.searchsorted(offsets, starts, "right") - 1, starts, ends, h
+
+
+def _words(raw: np.ndarray, offsets: np.ndarray, at: int, sep: np.ndarray, fold: np.ndarray | None):
+    """(start, end, hash) of the words of a part that begins at byte ``at`` of all texts; no word crosses its ends."""
+    n = len(raw)
     inside = ~sep[raw]
+    edge = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, at + n, "right")] - at
     first = np.zeros(n + 1, bool)
-    first[offsets[:-1]] = True
+    first[edge] = True
     before = np.concatenate([[False], inside[:-1]])
     starts = np.flatnonzero(inside & (~before | first[:n]))
-    last = np.zeros(n + 1, bool)
-    last[offsets[1:]] = True
     after = np.concatenate([inside[1:], [False]])
-    ends = np.flatnonzero(inside & (~after | last[1:])) + 1
-    doc = np.searchsorted(offsets, starts, "right") - 1
-    pw, inv = powers(1 << max(21, int(n).bit_length()))
+    ends = np.flatnonzero(inside & (~after | first[1:])) + 1
+    pw, inv = powers(1 << max(12, int(n).bit_length()))
     acc = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[raw if fold is None else fold[raw]] * pw[:n], out=acc[1:])
-    return doc, starts, ends, mix((acc[ends] - acc[starts]) * inv[starts])
+    return starts + at, ends + at, mix((acc[ends] - acc[starts]) * inv[starts])
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
