@@ -5,83 +5,190 @@ DataFrame operations only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch
 
-# Notices and opening words of widely used public licences.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    (
-        "Apache-2.0",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    ),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license. Licensed under the BSD 3-Clause License."),
-    (
-        "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ),
-    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    ("MIT", "Released under the MIT License."),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        "(the Software), to deal in the Software without restriction",
-    ),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+
+@dataclass(frozen=True)
+class Template:
+    """A notice: its licence, the terms a passage must and must not hold to be that licence, and its text."""
+
+    license_id: str
+    must: tuple[str, ...]
+    never: tuple[str, ...]
+    text: str
+
+
+# Notices, headers and short full texts of widely used public licences, as their authors publish them.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAME = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS "
+    "OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, "
+    "OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in "
+    "the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
+    "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+)
+_MIT_END = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR '
+    "A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+    "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+_ISC_END = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND '
+    "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+    "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
+    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
 )
-#: Every template holds one of these, so a text without them resembles none.
-CUES = r"(?i)licen[sc]e|permission is hereby granted|redistribution and use|public domain|free software"
+_APACHE_END = (
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR '
+    "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+    "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+)
+
+
+def _gnu(name: str, version: str, what: str = "program") -> tuple[str, str]:
+    """The two parts of the notice that the GNU licences ask for."""
+    about = f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+    rest = (
+        f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        f"See the GNU {name} for more details. You should have received a copy of the GNU {name} along with this {what}. If not, see http://www.gnu.org/licenses/"
+    )
+    return about, about + rest
+
+
+def _family(license_id: str, must: tuple[str, ...], never: tuple[str, ...], *texts: str) -> list[Template]:
+    return [Template(license_id, must, never, t) for t in texts]
+
+
+_LICENSED = "This work is licensed under the"
+TEMPLATES: tuple[Template, ...] = (
+    *_family("AGPL-3.0", ("license", "affero", "3"), (), *_gnu("Affero General Public License", "3"), f"{_LICENSED} GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    *_family("Apache-2.0", ("license", "apache", "2.0"), (), "Licensed under the Apache License, Version 2.0.", _APACHE, _APACHE + _APACHE_END, "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    *_family("BSD-2-Clause", ("redistribution",), ("endorse", "neither"), _BSD, _BSD + _BSD_END),
+    *_family("BSD-2-Clause", ("license", "bsd", "2-clause"), (), "Licensed under the BSD 2-Clause License.", "BSD 2-Clause License"),
+    *_family("BSD-3-Clause", ("redistribution", "endorse"), (), _BSD + _BSD_NAME, _BSD + _BSD_NAME + _BSD_END),
+    *_family("BSD-3-Clause", ("license", "bsd", "3-clause"), (), "Licensed under the BSD 3-Clause License.", "BSD 3-Clause License"),
+    *_family("BSD-3-Clause", ("license", "bsd-style"), (), "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    *_family("CC-BY-4.0", ("license", "attribution", "4.0"), ("sharealike", "share-alike", "attribution-sharealike", "noncommercial", "attribution-noncommercial", "noderivatives"), f"{_LICENSED} Creative Commons Attribution 4.0 International License."),
+    *_family("CC-BY-SA-4.0", ("license", "attribution-sharealike", "4.0"), (), f"{_LICENSED} Creative Commons Attribution-ShareAlike 4.0 International License."),
+    *_family("CC0-1.0", ("domain", "cc0"), (), "This work is dedicated to the public domain under CC0 1.0 Universal."),
+    *_family("GPL-2.0", ("license", "general", "2"), ("lesser", "library", "affero", "3"), *_gnu("General Public License", "2"), f"{_LICENSED} GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    *_family("GPL-3.0", ("license", "general", "3"), ("lesser", "library", "affero", "2"), *_gnu("General Public License", "3"), f"{_LICENSED} GNU General Public License, version 3.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    *_family("ISC", ("permission", "fee"), (), _ISC, _ISC + _ISC_END),
+    *_family("ISC", ("license", "isc"), (), "Licensed under the ISC License.", "ISC License"),
+    *_family("LGPL-2.1", ("license", "lesser", "2.1"), (), *_gnu("Lesser General Public License", "2.1", "library"), f"{_LICENSED} GNU Lesser General Public License, version 2.1.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    *_family("LGPL-3.0", ("license", "lesser", "3"), ("2.1",), *_gnu("Lesser General Public License", "3", "library"), f"{_LICENSED} GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    *_family("MIT", ("permission", "sublicense"), (), _MIT, _MIT + _MIT_END),
+    *_family("MIT", ("license", "mit"), (), "Released under the MIT License.", "The MIT License (MIT)"),
+    *_family("MPL-2.0", ("license", "mozilla", "2.0"), (), "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"),
+    *_family("Unlicense", ("domain", "unencumbered"), (), _UNLICENSE),
+)
+#: Every template demands one of the terms license, permission, redistribution and domain, so a passage without these resembles none.
+CUES = r"(?i)license|permission|redistribution|domain"
 NOT_TERM = r"[^a-z0-9.+-]+"
+#: What begins a line of comment, and what ends one.
+COMMENT = r"[ \t]*(?://+|/\*+|\*+/?|#+|;+|--+|%+|<!--|\.\.)"
+#: Weight of a term that no template has.
+OTHER = 1.0
 
 
 def _terms(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), NOT_TERM), lambda x: F.btrim(x, F.lit(".+-"))), lambda x: x != "")
 
 
-def scan_notices(files: DataFrame, key: str, text_col: str = "text", min_score: float = 0.6) -> DataFrame:
+def _passages(text: Column) -> Column:
+    """The whole text, its blocks of comment, its paragraphs and its lines with a cue, without marks of comment."""
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?m)((?:^{COMMENT}[^\n]*(?:\n|$))+)"), F.lit(1))
+    paragraphs = F.split(text, r"\n(?:[ \t]*\n)+")
+    lines = F.split(text, r"\n")
+    every = F.filter(F.concat(F.array(text), blocks, paragraphs, lines), lambda x: x.rlike(CUES))
+    return F.array_distinct(F.transform(every, lambda x: F.regexp_replace(F.regexp_replace(x, rf"(?m)^{COMMENT}+", " "), r"\s+", " ")))
+
+
+def template_terms() -> list[tuple[int, str, str, int, bool, bool]]:
+    """(t, license_id, term, tf, must, never) of each template's terms, and of those it forbids, with tf 0."""
+    import re
+
+    out = []
+    for i, t in enumerate(TEMPLATES):
+        terms = [x.strip(".+-") for x in re.split(NOT_TERM, t.text.lower())]
+        tf = {x: terms.count(x) for x in terms if x}
+        out += [(i, t.license_id, x, n, x in t.must, False) for x, n in tf.items()]
+        out += [(i, t.license_id, x, 0, False, True) for x in t.never]
+    return out
+
+
+def scan_notices(files: DataFrame, key: str, text_col: str = "text", min_score: float = 0.6, min_margin: float = 0.01) -> DataFrame:
     """(key, license_id, score): the best template of each file that resembles one.
 
-    A file's passages are its lines with a licence cue, and its whole text if it has such a
-    line. Passages and templates are vectors of term counts times ln((1 + N) / (1 + df)) + 1,
-    with N and df over the passages of all files. Scores are rounded to 6 places; ties go to
+    A file's passages are its whole text, its blocks of comment, its paragraphs and its lines, so a header is one
+    however long the file is. Passages and templates are vectors of term counts times ln((1 + N) / (1 + df)) + 1,
+    with N and df over the passages of all files that hold a cue; terms of no template weigh ``OTHER``. A template counts only if the passage holds all
+    terms that its licence demands, such as the version, and none that it forbids, such as lesser. Every licence
+    demands a cue, so passages without one are left out and lose nothing. A passage that resembles another licence
+    within ``min_margin`` is told by neither. Scores are rounded to 6 places; ties between passages go to
     the smaller license_id. Equal keys are one file.
     """
-    scratch = Scratch(files.sparkSession)
+    scratch, spark = Scratch(files.sparkSession), files.sparkSession
     cued = files.where(F.col(text_col).rlike(CUES)).select(F.col(key).alias("k"), F.col(text_col).alias("t"))
-    lines = F.filter(F.array_distinct(F.split("t", r"\n")), lambda x: x.rlike(CUES))
-    passages = cued.select("k", F.explode(F.array_distinct(F.concat(F.array("t"), lines))).alias("p"))
-    passages = passages.select("k", F.md5("p").alias("m"), "p").dropDuplicates(["k", "m"])
+    passages = cued.select("k", F.explode(_passages(F.col("t"))).alias("p")).select("k", F.md5("p").alias("m"), "p").dropDuplicates(["k", "m"])
     tf = passages.select("k", "m", F.explode(_terms(F.col("p"))).alias("term")).groupBy("k", "m", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = scratch.table(tf)
     n = tf.select("k", "m").distinct().count()
-    df = scratch.table(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    # the templates and their terms are fixed and few, so they are broadcast: a word that every text has is no key of a shuffle
+    given = spark.createDataFrame(template_terms(), "t int, license_id string, term string, count int, must boolean, never boolean")
+    vocabulary = F.broadcast(given.select("term").distinct())
+    df = scratch.table(tf.join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     idf = F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1
-    own = tf.join(df, "term").select("k", "m", "term", (F.col("tf") * idf).alias("x"))
+    weighed = scratch.table(given.join(df, "term", "left").withColumn("idf", idf))
+    norm = weighed.groupBy("t").agg(F.sqrt(F.sum(F.pow(F.col("count") * F.col("idf"), F.lit(2.0)))).alias("norm"))
+    template = scratch.table(weighed.join(norm, "t").select("t", "license_id", "term", "must", "never", (F.col("count") * F.col("idf") / F.col("norm")).alias("y")))
+    asked = template.groupBy("t").agg(F.count_if("must").alias("asked"))
+    own = tf.join(F.broadcast(weighed.select("term", "idf").distinct()), "term", "left")
+    own = own.select("k", "m", "term", (F.col("tf") * F.coalesce("idf", F.lit(OTHER))).alias("x"), F.col("idf").isNotNull().alias("known"))
     size = own.groupBy("k", "m").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    spark = files.sparkSession
-    given = spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "t int, license_id string, text string")
-    words = given.select("t", "license_id", F.explode(_terms(F.col("text"))).alias("term")).groupBy("t", "license_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    words = words.join(df, "term", "left").select("t", "license_id", "term", (F.col("tf") * idf).alias("y"))
-    norm = words.groupBy("t").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
-    template = scratch.table(words.join(norm, "t").select("t", "license_id", "term", (F.col("y") / F.col("norm")).alias("y")))
-    dot = own.join(template, "term").groupBy("k", "m", "t", "license_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    score = F.round(F.least(F.lit(1.0), F.col("dot") / F.col("size")), 6)
-    best = dot.join(size, ["k", "m"]).withColumn("score", score).where(F.col("score") >= min_score)
-    return best.groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("s"), "license_id")).alias("b")).select(
-        F.col("k").alias(key), F.col("b.license_id").alias("license_id"), (-F.col("b.s")).alias("score")
+    dot = (
+        own.where("known")
+        .join(F.broadcast(template), "term")
+        .groupBy("k", "m", "t", "license_id")
+        .agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.count_if("must").alias("held"), F.count_if("never").alias("barred"))
+        .join(F.broadcast(asked), "t")
+        .where("held = asked AND barred = 0")
+        .join(size, ["k", "m"])
     )
+    score = F.round(F.least(F.lit(1.0), F.max(F.col("dot") / F.col("size"))), 6)
+    by = dot.groupBy("k", "m", "license_id").agg((-score).alias("s"))
+    # at most one row for each licence
+    ranked = by.groupBy("k", "m").agg(F.sort_array(F.collect_list(F.struct("s", "license_id"))).alias("r"))
+    best, second = F.col("r")[0], F.get("r", F.lit(1))
+    sure = (best["s"] <= -min_score) & (second.isNull() | (second["s"] - best["s"] >= min_margin))
+    return ranked.where(sure).groupBy("k").agg(F.min(best).alias("b")).select(F.col("k").alias(key), F.col("b.license_id").alias("license_id"), (-F.col("b.s")).alias("score"))
 
 
 def _parent(path: Column) -> Column:

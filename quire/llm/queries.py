@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.chat import rotate_perspectives
+from quire.llm.chat import NAME_CODES, render_dialogues, rotate_perspectives
 from quire.llm.decontam import contaminated_passages
 from quire.llm.embeddings import embedding_groups
 from quire.llm.htmltext import extract_pages
 from quire.llm.langid import fit_languages, identify_language
-from quire.llm.licenses import CUES, TEMPLATES, scan_licenses
+from quire.llm.licenses import COMMENT, CUES, OTHER, scan_licenses, template_terms
 from quire.llm.mixing import WORDS, mix_sources
 from quire.llm.sharding import shard_documents
 from quire.llm.simhash import simhash_groups
@@ -111,32 +111,47 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rotate_perspectives(_read(spark, sf_dir, "conversations"))
+#: Turns of a dialogue that make one row of the query's result.
+PART_TURNS = 64
 
 
-OP10_SQL = """
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue as each participant's, in parts of 64 turns; masks as text, such as 12-40,81-97."""
+    out = render_dialogues(rotate_perspectives(_read(spark, sf_dir, "conversations")), PART_TURNS)
+    masks = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return out.select("conv_id", "perspective", "part", "n_turns", "rendered", masks.alias("masks"))
+
+
+def _op10_sql() -> str:
+    name = "name"
+    for char, code in NAME_CODES:
+        given = f"chr({ord(char)})" if char in "\r\n" else f"'{char}'"
+        name = f"replace({name}, {given}, '{code}')"
+    return f"""
 WITH t AS (SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS name,
-                  coalesce(text, '') AS text FROM conversations),
+                  regexp_replace(coalesce(text, ''), '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS text FROM conversations),
 who AS (SELECT DISTINCT conv_id AS c, name AS perspective FROM t WHERE name <> 'system'),
 r AS (SELECT t.*, who.perspective,
              CASE WHEN name = perspective THEN 'assistant' WHEN name = 'system' THEN 'system' ELSE 'user' END AS role
       FROM t JOIN who ON t.conv_id IS NOT DISTINCT FROM who.c),
-h AS (SELECT *, '<|' || role || CASE WHEN role = 'user' THEN ' name=' || name ELSE '' END || '|>' || chr(10) AS head FROM r)
-SELECT conv_id, perspective, turn, role, name, head || text || '<|end|>' || chr(10) AS segment,
-       CAST(CASE WHEN role = 'assistant' THEN length(head) ELSE 0 END AS INTEGER) AS mask_start,
-       CAST(CASE WHEN role = 'assistant' THEN length(head) + length(text) + 7 ELSE 0 END AS INTEGER) AS mask_end
-FROM h
+h AS (SELECT *, '<|' || role || CASE WHEN role = 'user' THEN ' name=' || {name} ELSE '' END || '|>' || chr(10) AS head FROM r),
+s AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment, turn // {PART_TURNS} AS part FROM h),
+o AS (SELECT *, row_number() OVER w AS rn, coalesce(sum(length(segment)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+      FROM s WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn, name, segment))
+SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS n_turns, string_agg(segment, '' ORDER BY rn) AS rendered,
+       coalesce(string_agg(CAST(CAST(ahead + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(ahead + length(head) + length(text) + 7 AS BIGINT) AS VARCHAR), ',' ORDER BY rn)
+         FILTER (WHERE role = 'assistant'), '') AS masks
+FROM o GROUP BY conv_id, perspective, part
 """
 
 
-def _op6_sql(rounds: int = 10) -> str:
+def _op6_sql(rounds: int = 40) -> str:
     """The rake unrolled: one common table for each marginal of each round."""
     dims = ("source", "lang", "topic")
     head = """WITH d AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
   CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN (length(text) - length(translate(text, '#$%&*!', ''))) * 20 >= length(text) THEN 'symbols'
-  WHEN length(text) - length(replace(text, chr(10), '')) >= 8 THEN 'sections' WHEN length(text) < 400 THEN 'notes' ELSE 'prose' END AS topic FROM documents),
+  WHEN length(text) - length(replace(text, chr(10), '')) >= 8 THEN 'sections' WHEN length(text) < 400 THEN 'notes' ELSE 'prose' END AS topic, text FROM documents),
 c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS t FROM d WHERE n_tokens > 0 GROUP BY ALL)"""
     parts = [head]
     for k in dims:
@@ -158,30 +173,34 @@ c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS t FROM d WHER
         + """
 SELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(CASE WHEN n_tokens > 0 THEN r ELSE 0 END, 6) AS weight,
   round(CASE WHEN n_tokens > 0 THEN p ELSE 0 END, 6) AS probability,
-  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < CASE WHEN n_tokens > 0 THEN p ELSE 0 END AS sampled
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 8) AS BIGINT) / 4294967296.0 < CASE WHEN n_tokens > 0 THEN p ELSE 0 END AS sampled
 FROM d LEFT JOIN e USING (source, lang, topic)"""
     )
 
 
-def _op7_sql(min_score: float = 0.6) -> str:
-    terms = "list_filter(list_transform(string_split_regex(lower({}), '[^a-z0-9.+-]+'), lambda x: trim(x, '.+-')), lambda x: x <> '')"
-    given = ", ".join(f"({i}, '{k}', '{t.replace(chr(39), chr(39) * 2)}')" for i, (k, t) in enumerate(TEMPLATES))
+def _op7_sql(min_score: float = 0.6, min_margin: float = 0.01) -> str:
+    terms = "list_filter(list_transform(string_split_regex(lower(p), '[^a-z0-9.+-]+'), lambda x: trim(x, '.+-')), lambda x: x <> '')"
+    given = ", ".join(f"({t}, '{i}', '{w}', {n}, {m}, {v})" for t, i, w, n, m, v in template_terms())
     return f"""WITH f AS (SELECT doc_id, text, source, lang, CAST(doc_id // 100 AS VARCHAR) AS blk,
   coalesce(regexp_matches(text, '{CUES}') AND len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) <= 40, false) AS lic FROM documents),
 files AS (SELECT doc_id, text, lic, CASE WHEN NOT lic THEN concat(source, '/', lang, '/', blk) WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN concat(source, '/', lang)
   ELSE concat(source, '/', lang, '/', blk) END AS dir FROM f),
 named AS (SELECT *, concat(dir, CASE WHEN lic THEN '/LICENSE-' ELSE '/' END, doc_id) AS path FROM files),
-pass AS (SELECT DISTINCT path, p FROM (SELECT path, text AS p FROM named WHERE regexp_matches(text, '{CUES}')
-  UNION ALL SELECT path, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{CUES}'))) FROM named)),
-tf AS (SELECT path, p, term, count(*) AS tf FROM (SELECT path, p, unnest({terms.format("p")}) AS term FROM pass) GROUP BY ALL),
+raw AS (SELECT path, unnest(list_concat([text], regexp_extract_all(text, '(?m)((?:^{COMMENT}[^\\n]*(?:\\n|$))+)', 1), string_split_regex(text, '\\n(?:[ \\t]*\\n)+'), string_split(text, chr(10)))) AS p
+  FROM named WHERE regexp_matches(text, '{CUES}')),
+pass AS (SELECT DISTINCT path, regexp_replace(regexp_replace(p, '(?m)^{COMMENT}+', ' ', 'g'), '\\s+', ' ', 'g') AS p FROM raw WHERE regexp_matches(p, '{CUES}')),
+tf AS (SELECT path, p, term, count(*) AS tf FROM (SELECT path, p, unnest({terms}) AS term FROM pass) GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM (SELECT DISTINCT path, p FROM tf)), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-own AS (SELECT path, p, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1) AS x FROM tf JOIN df USING (term), n),
+g AS (SELECT v.*, ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1 AS idf FROM (VALUES {given}) v(t, l, term, c, must, never) LEFT JOIN df USING (term), n),
+tn AS (SELECT t, sqrt(sum(c * idf * c * idf)) AS norm, count_if(must) AS asked FROM g GROUP BY t),
+own AS (SELECT path, p, term, tf * coalesce(idf, {OTHER}) AS x FROM tf LEFT JOIN (SELECT DISTINCT term, idf FROM g) USING (term)),
 size AS (SELECT path, p, sqrt(sum(x * x)) AS size FROM own GROUP BY ALL),
-tt AS (SELECT i, l, term, count(*) AS tf FROM (SELECT i, l, unnest({terms.format("t")}) AS term FROM (VALUES {given}) v(i, l, t)) GROUP BY ALL),
-ty AS (SELECT i, l, term, tf * (ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1) AS y FROM tt LEFT JOIN df USING (term), n),
-tn AS (SELECT i, sqrt(sum(y * y)) AS norm FROM ty GROUP BY i),
-sc AS (SELECT path, p, i, l, round(least(1.0, sum(x * y / norm) / any_value(size)), 6) AS s FROM own JOIN ty USING (term) JOIN tn USING (i) JOIN size USING (path, p) GROUP BY ALL),
-best AS (SELECT path, l AS license_id, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY s DESC, l) AS rn FROM sc WHERE s >= {min_score}) WHERE rn = 1),
+sc AS (SELECT path, p, t, l, sum(x * c * idf / norm) / any_value(size) AS s, any_value(asked) AS asked, count_if(must) AS held, count_if(never) AS barred
+  FROM own JOIN g USING (term) JOIN tn USING (t) JOIN size USING (path, p) GROUP BY path, p, t, l),
+byl AS (SELECT path, p, l, round(least(1.0, max(s)), 6) AS s FROM sc WHERE held = asked AND barred = 0 GROUP BY path, p, l),
+top AS (SELECT *, row_number() OVER w AS rn, lead(s) OVER w AS second FROM byl WINDOW w AS (PARTITION BY path, p ORDER BY s DESC, l)),
+best AS (SELECT path, l AS license_id, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY s DESC, l) AS place FROM top
+  WHERE rn = 1 AND s >= {min_score} AND (second IS NULL OR s - second >= {min_margin})) WHERE place = 1),
 a AS (SELECT named.*, license_id AS own_id, score AS own_score FROM named LEFT JOIN best USING (path)),
 held AS (SELECT dir AS up, path AS hp, own_id AS hl, own_score AS hs FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) AS rn FROM a WHERE lic AND own_id IS NOT NULL) WHERE rn = 1),
 near AS (SELECT dir, hp, hl, hs FROM (SELECT d.dir, h.*, row_number() OVER (PARTITION BY d.dir ORDER BY length(up) DESC) AS rn FROM (SELECT DISTINCT dir FROM a) d JOIN held h ON d.dir = h.up OR starts_with(d.dir, concat(h.up, '/'))) WHERE rn = 1)
@@ -206,4 +225,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": _op6_sql(), "op7_licenses": _op7_sql(), "op10_chat": OP10_SQL}
+    return {"op6_mixing": _op6_sql(), "op7_licenses": _op7_sql(), "op10_chat": _op10_sql()}

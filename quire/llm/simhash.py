@@ -100,7 +100,9 @@ def fingerprint_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
         F.transform(ball1, lambda m: F.shiftleft(hi.bitwiseXOR(m), 1)),
         F.transform(ball1, lambda m: F.shiftleft(lo.bitwiseXOR(m), 1).bitwiseOR(F.lit(1))),
     )
-    rows = fps.select("fp", F.explode(keys).alias("key"))
+    # a small table comes in few partitions, and each row makes 66
+    spread = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = fps.repartition(spread, "fp").select("fp", F.explode(keys).alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = rows.join(shared, "key")
     small = (

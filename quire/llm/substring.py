@@ -243,11 +243,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int, shard_words:
     slim = docs.select("d", "x", F.md5("t").alias("m"))
     group = slim.groupBy("m").agg(F.min("d").alias("first_d"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = scratch.table(slim.join(group, "m").where("d > first_d").select("d", "x").distinct())
-    anchors = docs.select("d", "x", "t").mapInArrow(lambda it: _anchors(it, window), "a long, d long, xp long")
-    twice = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    anchors = scratch.table(docs.select("d", "x", "t").mapInArrow(lambda it: _anchors(it, window), "a long, d long, xp long"))
+    # what is joined back is written first: a join may split an anchor of very many places only if no side was dealt out before
+    twice = scratch.table(anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"))
     met = anchors.join(twice, "a").select("a", "d", F.shiftrightunsigned("xp", 32).alias("x"), F.col("xp").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("p"))
     met = scratch.table(met.join(copies, ["d", "x"], "left_anti"))
+    scratch.drop(anchors, twice)
     home = met.groupBy("a").agg(F.min(F.struct("d", "x", "p")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    home = scratch.table(home.select("a", "h"))
     by_doc = (
         met.join(home, "a")
         .groupBy("d", "x")
