@@ -24,6 +24,10 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
+#: Bytes of texts taken at a time: every byte needs some 80 of temporaries.
+_BLOCK = 1 << 18
+
+
 @dataclass(frozen=True)
 class LanguageFilters:
     """Fitted model: ``rows[i]`` holds the bits of the languages that set filter row i."""
@@ -92,7 +96,7 @@ def fit_languages(
         for batch in batches:
             raw, off = string_buffers(batch.column(1))
             lang = batch.column(0).to_numpy()
-            for lo, hi in slices(off):
+            for lo, hi in slices(off, _BLOCK):
                 doc, h = _ngrams(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
                 of = lang[lo:hi][doc]
                 for k in np.unique(of):
@@ -181,7 +185,7 @@ def identify_language(docs: DataFrame, model: LanguageFilters, text_col: str = "
             raw, off = string_buffers(batch.column(at))
             letter = batch.column(width).to_numpy(zero_copy_only=False).astype(bool)
             best, share, cover = np.zeros(len(batch), np.int64), np.zeros(len(batch)), np.zeros(len(batch))
-            for lo, hi in slices(off):
+            for lo, hi in slices(off, _BLOCK):
                 if not m.languages:
                     break
                 est, n = language_scores(m, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
