@@ -37,18 +37,22 @@ def norm_id(c) -> Column:
 
 
 def _kept(tokens: Column, stopwords: Sequence[str]) -> Column:
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    return F.filter(tokens, lambda x: (F.length(x) > 2) & ~F.array_contains(stop, x))
+    return F.filter(tokens, lambda x: (F.length(x) > 2) & ~x.isin(*stopwords))
 
 
 def tokenize_retrieval(c, stopwords: Sequence[str] = lx.RETRIEVAL_STOPWORDS) -> Column:
     """Lower-case alphanumeric tokens of three or more letters, duplicates kept."""
-    return _kept(F.split(F.regexp_replace(F.lower(_s(c)), r"[^a-zA-Z0-9À-ÿ]+", " "), " "), stopwords)
+    return _kept(F.split(F.lower(_s(c)), r"[^a-zA-Z0-9À-ÿ]+"), stopwords)
+
+
+def tokenize_demo(c, stopwords: Sequence[str] = lx.DEMO_STOPWORDS) -> Column:
+    """``tokenize_retrieval`` without the words of an app's menus, for the overlap retriever."""
+    return tokenize_retrieval(c, stopwords)
 
 
 def tokenize_evidence(c, stopwords: Sequence[str] = lx.EVIDENCE_STOPWORDS) -> Column:
     """As ``tokenize_retrieval``, with ``/ . -`` kept inside tokens."""
-    words = F.split(F.regexp_replace(F.lower(_s(c)), r"[^a-z0-9A-ZÀ-ÿ/.-]+", " "), " ")
+    words = F.split(F.lower(_s(c)), r"[^a-z0-9A-ZÀ-ÿ/.-]+")
     return _kept(F.transform(words, lambda x: F.btrim(x, F.lit(".-/"))), stopwords)
 
 

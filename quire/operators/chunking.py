@@ -9,32 +9,39 @@ from quire.functions import lexicon as lx
 from quire.functions import text as tx
 
 
-def sections(docs: DataFrame, key: str, text: str, structural: str = lx.STRUCTURAL_HEADING, upper: str = lx.UPPER_HEADING) -> DataFrame:
-    """(key, section_no, section, body): lines under each heading; a heading without lines goes.
+def section_array(text, structural: str = lx.STRUCTURAL_HEADING, upper: str = lx.UPPER_HEADING) -> Column:
+    """Array of (section, body): lines under each heading; a heading without lines goes.
 
-    The fold over a document's lines is an array expression, so no shuffle is needed.
+    Sections are slices between the places of headings, so the cost is in proportion to a text's lines.
     """
     lines = F.filter(F.transform(F.split(tx.clean_text(text), r"\n"), tx.strip), lambda x: x != "")
-    empty = F.array().cast("array<string>")
-    start = F.struct(
-        F.array().cast("array<struct<section:string,lines:array<string>>>").alias("done"), F.lit("General").alias("section"), empty.alias("lines")
-    )
-
-    def flushed(a):
-        return F.when(F.size(a["lines"]) > 0, F.concat(a["done"], F.array(F.struct(a["section"].alias("section"), a["lines"].alias("lines"))))).otherwise(a["done"])
 
-    def step(a, x):
-        head = tx.is_heading(x, structural, upper)
-        return F.struct(
-            F.when(head, flushed(a)).otherwise(a["done"]).alias("done"),
-            F.when(head, F.substring(x, 1, 140)).otherwise(a["section"]).alias("section"),
-            F.when(head, empty).otherwise(F.concat(a["lines"], F.array(x))).alias("lines"),
+    def bind(v, f):
+        return F.transform(F.array(v), f)[0]
+
+    def cut(ls, heads):
+        starts, ends = F.concat(F.array(F.lit(-1)), heads), F.concat(heads, F.array(F.size(ls)))
+        found = F.zip_with(
+            starts,
+            ends,
+            lambda s, e: F.struct(
+                F.when(s < 0, "General").otherwise(F.substring(F.get(ls, s), 1, 140)).alias("section"),
+                F.when(e - s > 1, F.array_join(F.slice(ls, s + 2, e - s - 1), "\n")).alias("body"),
+            ),
         )
+        return F.filter(found, lambda x: x["body"].isNotNull())
 
-    found = F.aggregate(lines, start, step, flushed)
-    return docs.select(key, F.posexplode(found).alias("no", "s")).select(
-        key, (F.col("no") + 1).alias("section_no"), F.col("s.section").alias("section"), F.array_join("s.lines", "\n").alias("body")
-    )
+    def placed(ls):
+        heads = F.array_compact(F.transform(ls, lambda x, i: F.when(tx.is_heading(x, structural, upper), i)))
+        return bind(heads, lambda h: cut(ls, h))
+
+    return bind(lines, placed)
+
+
+def sections(docs: DataFrame, key: str, text: str, structural: str = lx.STRUCTURAL_HEADING, upper: str = lx.UPPER_HEADING) -> DataFrame:
+    """(key, section_no, section, body) of every section, without a shuffle."""
+    found = docs.select(key, F.posexplode(section_array(text, structural, upper)).alias("no", "s"))
+    return found.select(key, (F.col("no") + 1).alias("section_no"), "s.section", "s.body")
 
 
 def word_windows(text, max_words: int = 220, overlap: int = 40) -> Column:
@@ -62,7 +69,10 @@ ELEMENT = {
 
 
 def build_chunks(elements: DataFrame, max_words: int = 220, overlap: int = 40) -> DataFrame:
-    """One row per chunk. ``doc_ord`` (from 1) is the element's place in its file and part of chunk ids."""
+    """One row per chunk. ``doc_ord`` (from 1) is the element's place in its file and part of chunk ids.
+
+    Elements are judged row by row: a repeated ordinal repeats an id, a null one reads "null" in it, and neither loses or mixes text.
+    """
     e = elements.select(*[(F.col(c) if c in elements.columns else F.lit(None)).cast(t).alias(c) for c, t in ELEMENT.items()])
     e = e.withColumns(
         {
@@ -74,12 +84,9 @@ def build_chunks(elements: DataFrame, max_words: int = 220, overlap: int = 40) -
         }
     )
     whole = (F.col("chunk_type") == "table") | _nonempty("section").isNotNull()
-    kept = e.where(whole).withColumns({"section_no": F.lit(1), "found": F.coalesce(_nonempty("section"), "base")})
-    rest = e.where(~whole)
-    split = rest.drop("body").join(
-        sections(rest, "doc_ord", "body").withColumnRenamed("section", "found"), "doc_ord"
-    )
-    both = kept.unionByName(split)
+    own = F.array(F.struct(F.coalesce(_nonempty("section"), "base").alias("section"), F.col("body").alias("body")))
+    both = e.select("*", F.posexplode(F.when(whole, own).otherwise(section_array("body"))).alias("no", "s"))
+    both = both.withColumns({"section_no": F.col("no") + 1, "found": F.col("s.section"), "body": F.col("s.body")}).drop("no", "s")
     plain = F.col("found") == "General"
     label = F.when(plain, F.col("base")).otherwise(F.col("found"))
     both = both.withColumns({"own": F.col("section"), "subtitle": F.when(~plain, F.col("found"))}).withColumn("section", label)

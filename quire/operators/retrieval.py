@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,40 +16,47 @@ from quire.functions import text as tx
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def _tokens(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    return df.select(F.col(key).alias("doc"), tokens.alias("tokens"))
+#: Distinct query terms up to which their list travels to all partitions of the corpus.
+BROADCAST_TERMS = 200_000
 
 
-def bm25_stats(corpus: DataFrame, key: str, tokens: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings(doc, term, tf, dl), terms(term, df, idf), totals(n, avgdl)) over the whole corpus."""
-    t = _tokens(corpus, key, tokens)
-    postings = (
-        t.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .groupBy("doc", "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    )
-    totals = t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def bm25_stats(corpus: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
+    """(terms(term, df, idf), totals(n, avgdl)) over the whole corpus, in one pass.
+
+    Every document adds one row of a null term, whose count is the number of documents.
+    """
+    t = corpus.select(tokens.alias("tokens"))
+    every = t.select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("tokens"))).alias("term"))
+    per = every.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words"))
+    totals = per.where("term IS NULL").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.join(F.broadcast(totals), F.lit(True)).select("term", "df", raw.alias("raw"))
+    idf = per.where("term IS NOT NULL").join(F.broadcast(totals), F.lit(True)).select("term", "df", raw.alias("raw"))
     mean = idf.agg(F.avg("raw").alias("mean"))
     terms = idf.join(F.broadcast(mean), F.lit(True)).select(
         "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")
     )
-    return postings, terms, totals
+    return terms, totals
 
 
 def bm25_search(queries: DataFrame, query_key: str, query_tokens: Column, corpus: DataFrame, key: str, tokens: Column, top_k: int = 5) -> DataFrame:
     """(query_key, doc, bm25_score, bm25_rank): best ``top_k`` documents, ties by key, then scores above 0 only.
 
-    Statistics cover the corpus; postings are joined to the queries' terms before scores are summed.
+    Statistics cover the corpus; postings are made of the queries' terms alone, combined before the shuffle.
     """
-    postings, terms, totals = bm25_stats(corpus, key, tokens)
+    terms, totals = bm25_stats(corpus, tokens)
     q = queries.select(F.col(query_key).alias("q"), F.explode(query_tokens).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    wanted = q.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    postings = (
+        corpus.select(F.col(key).alias("doc"), tokens.alias("tokens"))
+        .select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        .join(wanted, "term", "left_semi")
+        .groupBy("doc", "term")
+        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    )
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     score = (
-        q.join(terms, "term")
-        .join(postings, "term")
+        postings.join(q.join(terms, "term"), "term")
         .join(F.broadcast(totals), F.lit(True))
         .groupBy("q", "doc")
         .agg(F.round(F.sum(F.col("qtf") * weight), 9).alias("bm25_score"))
@@ -58,21 +69,67 @@ def _top(scored: DataFrame, score: str, rank: str, k: int) -> DataFrame:
     return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def _units(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, unit vectors in double) of the list column's rows that hold ``dim`` finite numbers; a zero vector stays zero."""
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(sizes == dim)
+    v = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+    good = np.isfinite(v).all(1)
+    at, v = at[good], v[good]
+    norm = np.sqrt((v * v).sum(1, keepdims=True))
+    return at, np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+
+def _best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, by score and then id, and the place of each among its row's."""
+    order = np.lexsort((ids, -scores, rows))
+    rows, scores, ids = rows[order], scores[order], ids[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    keep = place < k
+    return rows[keep], scores[keep], ids[keep], place[keep]
+
+
+def _block_search(q: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(q, doc, semantic_score): the k best of each partition of ``docs(doc, v)`` for each query of one block."""
+    held = q.where("size(qv) > 0").collect()
+    dim = max((len(r["qv"]) for r in held), default=0)
+    at, vecs = _units(pa.array([r["qv"] for r in held], pa.list_(pa.float64())), dim)
+    block = docs.sparkSession.sparkContext.broadcast((np.array([held[i]["q"] for i in at], np.int64), vecs))
+
+    def run(batches):
+        qids, qvecs = block.value
+        least = np.full(len(qids), -np.inf)
+        rows, scores, ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        for b in batches:
+            if not len(qids):
+                continue
+            at, v = _units(b.column(1), dim)
+            doc = b.column(0).take(pa.array(at)).to_numpy(zero_copy_only=False)
+            for lo in range(0, len(at), 1024):
+                s = np.round(qvecs @ v[lo : lo + 1024].T, 9)
+                r, c = np.nonzero(s >= least[:, None])
+                if len(r):
+                    new = (np.concatenate(x) for x in ((rows, r), (scores, s[r, c]), (ids, doc[lo + c])))
+                    rows, scores, ids, place = _best(*new, k)
+                    least[rows[place == k - 1]] = scores[place == k - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(qids[rows]), pa.array(ids), pa.array(scores)], names=["q", "doc", "semantic_score"])
+
+    return docs.mapInArrow(run, "q long, doc long, semantic_score double")
+
+
 def semantic_search(queries: DataFrame, query_key: str, query_vec: str, corpus: DataFrame, key: str, vec: str, top_k: int = 5, block: int = 1000) -> DataFrame:
-    """(query_key, doc, semantic_score, vector_rank): exact cosine top k of a stated query set.
+    """(query_key, doc, semantic_score, vector_rank): exact cosine top k of a stated query set, ties by key.
 
-    Queries travel in blocks of ``block``, each to all partitions of the corpus, which is read
-    once for each block and never shuffled before its local top k.
+    Queries travel in blocks of about ``block``, each to all partitions of the corpus, which is read once for each
+    block; vectors are normalised once and multiplied in blocks, and only each partition's best ``top_k`` are shuffled.
+    Keys are integers and not null. Vectors that are null, of another length than the queries' or not finite have no score and are left out.
     """
-    q = queries.select(F.col(query_key).alias("q"), F.col(query_vec).alias("qv"))
-    n = q.count()
-    parts = [q] if n <= block else [q.where(F.pmod(F.xxhash64("q"), F.lit(-(-n // block))) == i) for i in range(-(-n // block))]
-    out = None
-    for p in parts:
-        pairs = corpus.select(F.col(key).alias("doc"), F.col(vec).alias("dv")).join(F.broadcast(p), F.lit(True))
-        got = _top(pairs.select("q", "doc", F.round(tx.cosine(F.col("qv"), F.col("dv")), 9).alias("semantic_score")), "semantic_score", "vector_rank", top_k)
-        out = got if out is None else out.unionByName(got)
-    return out.withColumnRenamed("q", query_key)
+    q = queries.select(F.col(query_key).cast("long").alias("q"), F.col(query_vec).cast("array<double>").alias("qv")).where("q IS NOT NULL")
+    docs = corpus.select(F.col(key).cast("long").alias("doc"), F.col(vec).alias("v")).where("doc IS NOT NULL")
+    n = max(1, -(-q.count() // block))
+    parts = [q if n == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(n)) == i) for i in range(n)]
+    found = reduce(DataFrame.unionByName, [_block_search(p, docs, top_k) for p in parts])
+    return _top(found, "semantic_score", "vector_rank", top_k).withColumnRenamed("q", query_key)
 
 
 def rank_fusion(ranks: Sequence[DataFrame], by: Sequence[str], rank: str = "rank", k: int = 60) -> DataFrame:

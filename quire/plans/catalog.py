@@ -48,8 +48,8 @@ def _list(words):
     return "[" + ", ".join("'" + w + "'" for w in words) + "]"
 
 
-def q_retrieval(c):
-    return f"list_filter(string_split(regexp_replace(lower({c}), '[^a-zA-Z0-9À-ÿ]+', ' ', 'g'), ' '), lambda x: length(x) > 2 AND NOT list_contains({_list(lx.RETRIEVAL_STOPWORDS)}, x))"
+def q_retrieval(c, stopwords=lx.RETRIEVAL_STOPWORDS):
+    return f"list_filter(string_split(regexp_replace(lower({c}), '[^a-zA-Z0-9À-ÿ]+', ' ', 'g'), ' '), lambda x: length(x) > 2 AND NOT list_contains({_list(stopwords)}, x))"
 
 
 def q_evidence(c):
@@ -164,7 +164,10 @@ ASKED = (
 )
 
 
-@_query(f"SELECT item_id, concat_ws(' ', {ASKED}, {', '.join(f'CASE WHEN {q_match(ASKED, p)} THEN {chr(39)}{s}{chr(39)} END' for p, s in lx.QUERY_EXPANSIONS)}) AS query FROM benchmark")
+Q_EXPANDED = f"concat_ws(' ', {ASKED}, {', '.join(f'CASE WHEN {q_match(ASKED, p)} THEN {chr(39)}{s}{chr(39)} END' for p, s in lx.QUERY_EXPANSIONS)})"
+
+
+@_query(f"SELECT item_id, {Q_EXPANDED} AS query FROM benchmark")
 def expand_queries(spark, sf):
     return _t(spark, sf, "benchmark").withColumn("text", F.expr(ASKED)).select("item_id", tx.expand_query("text").alias("query"))
 
@@ -276,7 +279,7 @@ terms AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw)
 
 @_query(f"WITH {Q_TERMS} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_stats(spark, sf):
-    _, terms, _ = retrieval.bm25_stats(_t(spark, sf, "documents"), "doc_id", tx.tokenize_retrieval("text"))
+    terms, _ = retrieval.bm25_stats(_t(spark, sf, "documents"), tx.tokenize_retrieval("text"))
     return terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -296,11 +299,11 @@ def bm25_topk(spark, sf):
     return _bm25(spark, sf, 4).select("item_id", "doc", F.round("bm25_score", 6).alias("bm25_score"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
 
 
-@_query(f"""WITH q AS (SELECT item_id, list_distinct({q_retrieval('text')}) AS t FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct({q_retrieval('text')})) AS term FROM documents),
+@_query(f"""WITH q AS (SELECT item_id, list_distinct({q_retrieval('text', lx.DEMO_STOPWORDS)}) AS t FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct({q_retrieval('text', lx.DEMO_STOPWORDS)})) AS term FROM documents),
 s AS (SELECT item_id, doc_id, round(count(*) / greatest(1, any_value(n)), 9) AS score FROM (SELECT item_id, len(t) AS n, unnest(t) AS term FROM q) JOIN d USING (term) GROUP BY item_id, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, doc_id AS doc, round(score, 6) AS score, rank FROM r WHERE rank <= 4""")
 def overlap_topk(spark, sf):
-    toks = tx.tokenize_retrieval("text")
+    toks = tx.tokenize_demo("text")
     got = retrieval.overlap_search(_t(spark, sf, "benchmark"), "item_id", toks, _t(spark, sf, "documents"), "doc_id", toks)
     return got.select("item_id", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -350,6 +353,29 @@ def hybrid_filtered(spark, sf):
     return got.select("query_id", "doc", F.col("bm25_rank").cast("long").alias("bm25_rank"), F.col("vector_rank").cast("long").alias("vector_rank"), "rrf_score", F.col("position").cast("long").alias("position"))
 
 
+# the whole chain: expanded questions, BM25 over search texts and dense search, fused, filtered by type
+Q_SEARCHED = "concat_ws(' ', source, lang, text, text)"
+Q_CHAIN = Q_BM25.replace(q_retrieval("text"), q_retrieval(Q_SEARCHED), 1).replace(q_retrieval("text"), q_retrieval(Q_EXPANDED))
+
+
+@_query(f"""WITH {Q_CHAIN}, l AS (SELECT item_id, doc_id AS doc, bm25_rank FROM bm WHERE bm25_rank <= 20 AND s > 0),
+vs AS (SELECT q.vec_id AS item_id, d.vec_id AS doc, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 9) AS s FROM embeddings q, embeddings d WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+v AS (SELECT item_id, doc, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc) AS vector_rank FROM vs QUALIFY vector_rank <= 20),
+f AS (SELECT coalesce(v.item_id, l.item_id) AS item_id, coalesce(v.doc, l.doc) AS doc, l.bm25_rank, v.vector_rank, coalesce(1.0 / (60 + l.bm25_rank), 0) + coalesce(1.0 / (60 + v.vector_rank), 0) AS s
+FROM l FULL OUTER JOIN v ON l.item_id = v.item_id AND l.doc = v.doc),
+r AS (SELECT f.*, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, bm25_rank ASC NULLS LAST, vector_rank ASC NULLS FIRST, doc) AS position FROM f JOIN documents ON doc_id = doc WHERE doc_id % 5 <> 0)
+SELECT item_id, doc, bm25_rank, vector_rank, round(s, 6) AS rrf_score, position FROM r WHERE position <= 4""")
+def hybrid_chain(spark, sf):
+    docs, items, vecs = (_t(spark, sf, n) for n in ("documents", "benchmark", "embeddings"))
+    asked = items.withColumn("text", F.expr(ASKED)).select("item_id", tx.expand_query("text").alias("query"))
+    none = F.lit(None).cast("string")
+    listed = retrieval.bm25_search(asked, "item_id", tx.tokenize_retrieval("query"), docs, "doc_id", tx.tokenize_retrieval(tx.search_text("source", "lang", none, none, "text", "text")), 20)
+    near = retrieval.semantic_search(vecs.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi"), "vec_id", "embedding", vecs, "vec_id", "embedding", 20)
+    kinds = docs.select(F.col("doc_id").alias("doc"), F.when(F.col("doc_id") % 5 == 0, "table").otherwise("text").alias("chunk_type"))
+    got = retrieval.hybrid_retrieve(listed, near.withColumnRenamed("vec_id", "item_id"), kinds, "item_id", 4, ["text"])
+    return got.select("item_id", "doc", F.col("bm25_rank").cast("long").alias("bm25_rank"), F.col("vector_rank").cast("long").alias("vector_rank"), "rrf_score", F.col("position").cast("long").alias("position"))
+
+
 @_query()
 def prune_context(spark, sf):
     d = _t(spark, sf, "documents").select(F.floor(F.col("doc_id") / 4).alias("query_id"), (F.col("doc_id") % 4).alias("position"), "text")

@@ -4,6 +4,7 @@ import json
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,38 @@ def test_windows(spark):
         chunking.word_windows("t", 10, 10)
 
 
+def test_chunks_keep_rows_apart(spark):
+    rows = [("A", 7, "Cara satu\nisi satu\ntiga empat"), ("B", 7, "satu dua"), ("C", None, "lima"), ("D", 8, None), ("E", 9, "Cara saja")]
+    df = spark.createDataFrame(rows, "doc_id string, doc_ord long, text string")
+    got = {(r["doc_id"], r["section"], r["text"], r["chunk_id"]) for r in chunking.build_chunks(df).collect()}
+    assert got == {("A", "Cara satu", "isi satu\ntiga empat", "A_CARA_SATU_0007_01"), ("B", "General", "satu dua", "B_GENERAL_0007_01"), ("C", "General", "lima", "C_GENERAL_null_01")}
+    assert chunking.build_chunks(df.limit(0)).count() == 0
+
+
+def test_dense_search_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    v = {i: [float(x) for x in rng.integers(-2, 3, 6)] for i in range(3000)}
+    odd = {3000: None, 3001: [1.0], 3002: [float("nan")] * 6, 3003: [1.0, None, 1.0, 1.0, 1.0, 1.0], 3004: [0.0] * 6}
+    df = spark.createDataFrame([(i, x) for i, x in (v | odd).items()], "id long, v array<double>").repartition(3)
+    v[3004] = odd[3004]
+    want = set()
+    for q in range(0, 3001, 500):
+        a = np.array(v[q]) if q in v else None
+        if a is None:
+            continue
+        score = {}
+        for i, x in v.items():
+            b = np.array(x)
+            n = np.sqrt(a @ a) * np.sqrt(b @ b)
+            score[i] = round(float(a @ b / n), 9) if n else 0.0
+        want |= {(q, i, k + 1) for k, (i, _) in enumerate(sorted(score.items(), key=lambda p: (-p[1], p[0]))[:7])}
+    for block in (1000, 2):
+        got = retrieval.semantic_search(df.where("id % 500 = 0"), "id", "v", df, "id", "v", 7, block)
+        assert {(r["id"], r["doc"], r["vector_rank"]) for r in got.collect()} == want
+    assert retrieval.semantic_search(df.limit(0), "id", "v", df, "id", "v").count() == 0
+    assert retrieval.semantic_search(df, "id", "v", df.limit(0), "id", "v").count() == 0
+
+
 def test_router(spark):
     r = lambda q: one(spark, router.route_query("t"), t=q)
     assert r("Berapa jumlah obat?").intent == "computational" and r("Berapa jumlah obat?").filter_chunk_types == ["table"]
