@@ -16,21 +16,22 @@ from quire.functions import text as tx
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-#: Distinct query terms up to which their list travels to all partitions of the corpus.
+#: Terms of all queries up to which they travel to all partitions of the corpus.
 BROADCAST_TERMS = 200_000
 
 
 def bm25_stats(corpus: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
     """(terms(term, df, idf), totals(n, avgdl)) over the whole corpus, in one pass.
 
-    Every document adds one row of a null term, whose count is the number of documents.
+    Every document adds one row of a null term, whose count is the number of documents. ``words``, null but there, tells
+    it apart: a filter on the term itself would move below the aggregate, and each branch would read the corpus again.
     """
     t = corpus.select(tokens.alias("tokens"))
     every = t.select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("tokens"))).alias("term"))
     per = every.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words"))
-    totals = per.where("term IS NULL").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
+    totals = per.where("words IS NOT NULL").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = per.where("term IS NOT NULL").join(F.broadcast(totals), F.lit(True)).select("term", "df", raw.alias("raw"))
+    idf = per.where("words IS NULL").join(F.broadcast(totals), F.lit(True)).select("term", "df", raw.alias("raw"))
     mean = idf.agg(F.avg("raw").alias("mean"))
     terms = idf.join(F.broadcast(mean), F.lit(True)).select(
         "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")
@@ -41,22 +42,24 @@ def bm25_stats(corpus: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]
 def bm25_search(queries: DataFrame, query_key: str, query_tokens: Column, corpus: DataFrame, key: str, tokens: Column, top_k: int = 5) -> DataFrame:
     """(query_key, doc, bm25_score, bm25_rank): best ``top_k`` documents, ties by key, then scores above 0 only.
 
-    Statistics cover the corpus; postings are made of the queries' terms alone, combined before the shuffle.
+    Statistics cover the corpus; postings are made of the queries' terms alone. They are shuffled once, by document,
+    which serves their counts and the sums of scores; of those only each task's best ``top_k`` go on.
     """
     terms, totals = bm25_stats(corpus, tokens)
     q = queries.select(F.col(query_key).alias("q"), F.explode(query_tokens).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = q.select("term").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    near = F.broadcast if q.count() <= BROADCAST_TERMS else lambda x: x
+    wanted = near(q.select("term").distinct())
     postings = (
         corpus.select(F.col(key).alias("doc"), tokens.alias("tokens"))
         .select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         .join(wanted, "term", "left_semi")
+        .repartition("doc")
         .groupBy("doc", "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     )
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     score = (
-        postings.join(q.join(terms, "term"), "term")
+        postings.join(near(q.join(terms, "term")), "term")
         .join(F.broadcast(totals), F.lit(True))
         .groupBy("q", "doc")
         .agg(F.round(F.sum(F.col("qtf") * weight), 9).alias("bm25_score"))

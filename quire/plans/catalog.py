@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import html, lexicon as lx, text as tx
 from quire.operators import chunking, generation, reporting, retrieval, router, scoring, tables
+from quire.sources import io
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -33,7 +34,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _t(spark, sf, name) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return io.spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 # --- SQL fragments ---------------------------------------------------------------------

@@ -23,6 +23,16 @@ CATALOG_COLUMNS = (
 METADATA = "doc_id title institution source_type source_url version accessed_at format year scope".split()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out by rows if its scan has fewer partitions than there are cores.
+
+    A file of one row group is one task's work, whatever the number of partitions. A table of that few
+    partitions is small for its cluster, and so is the shuffle; larger ones stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Declared schema, blank lines skipped, malformed lines raise."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
