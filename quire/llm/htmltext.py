@@ -29,6 +29,16 @@ MARKS = frozenset(
     "promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe "
     "subscription toolbar topbar widget widgets alert aside".split()
 )
+#: Marks that begin names of subject matter too, such as share-price. Followed by a word that is neither a mark nor a
+#: helper they count only if half of the element's text is in links.
+DOUBTED = frozenset(
+    "alert banner disclaimer discussion form header hidden login menu notice overlay print promotion recommended related reply "
+    "respond search share sharing social sponsor subscription widget widgets".split()
+)
+HELPERS = frozenset(
+    "area bar block body bottom box button buttons center col column container content global group holder icons inner item items "
+    "left link links list main outer panel posts right row section site slot title top unit wrap wrapper zone".split()
+)
 OF_ARTICLE = frozenset("article entry post story page content".split())
 #: A start tag of the first closes an open element of the second.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -41,14 +51,16 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A winning path counts on a page only if it holds this share of the text of the page's own best container.
+LEAST_SHARE = 0.25
 _HIDE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Node:
-    __slots__ = ("blank", "good", "bad", "path", "tag", "depth")
+    __slots__ = ("blank", "doubt", "good", "bad", "path", "tag", "depth")
 
-    def __init__(self, tag, path, blank, depth):
-        self.tag, self.path, self.blank, self.depth = tag, path, blank, depth
+    def __init__(self, tag, path, blank, doubt, depth):
+        self.tag, self.path, self.blank, self.doubt, self.depth = tag, path, blank, doubt, depth
         self.good = self.bad = 0
 
 
@@ -57,21 +69,23 @@ def _open(tag: str, attrs: str, parent: _Node | None) -> _Node:
     names = " ".join(a.get("class", "").split())
     kinds = sorted({re.sub(r"\d+", "", x) for x in names.split()} - {""})
     step = ".".join([tag, *kinds])
-    blank = bool(parent and parent.blank) or tag in FURNITURE
+    blank, doubt = bool(parent and parent.blank) or tag in FURNITURE, False
     if not blank and a and tag not in NEVER:
         for value in (*names.split(), a.get("id", ""), a.get("role", "")):
             parts = [x.lower() for x in _PART.findall(value)]
-            if not MARKS.isdisjoint(parts) and not {"no", "has", "with", "without"} & set(parts):
-                blank = blank or not ("header" in parts and OF_ARTICLE & set(parts))
+            marks = MARKS.intersection(parts)
+            if marks and not {"no", "has", "with", "without"} & set(parts) and not ("header" in parts and OF_ARTICLE & set(parts)):
+                sure = not marks <= DOUBTED or parts[-1] in MARKS or parts[-1] in HELPERS
+                blank, doubt = blank or sure, doubt or not sure
         blank = blank or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(_HIDE.search(a.get("style", "")))
-    return _Node(tag, f"{parent.path}>{step}" if parent else step, blank, parent.depth + 1 if parent else 0)
+    return _Node(tag, f"{parent.path}>{step}" if parent else step, blank, doubt and not blank, parent.depth + 1 if parent else 0)
 
 
 def parse_blocks(page: str) -> tuple[list[tuple[str, tuple]], list[_Node]]:
     """(text, open containers) of every block of text outside furniture, and all containers."""
+    found: list[tuple[str, int, bool, tuple]] = []
     stack: list[_Node] = []
     nodes: list[_Node] = []
-    blocks: list[tuple[str, tuple]] = []
     buf: list[str] = []
     links = 0
     anchors = 0
@@ -82,16 +96,8 @@ def parse_blocks(page: str) -> tuple[list[tuple[str, tuple]], list[_Node]]:
             text = " ".join(html.unescape("".join(buf)).split())
             buf.clear()
             if text:
-                blank = bool(stack) and stack[-1].blank
-                inside = tuple(n for n in stack if n.tag in CONTAINER and not n.blank)
-                for n in inside:
-                    if blank:
-                        n.bad += len(text)
-                    else:
-                        n.good += len(text) - min(links, len(text))
-                        n.bad += min(links, len(text))
-                if not blank:
-                    blocks.append((text, inside))
+                inside = tuple(n for n in stack if (n.tag in CONTAINER or n.doubt) and not n.blank)
+                found.append((text, min(links, len(text)), bool(stack) and stack[-1].blank, inside))
         links = 0
 
     def close(upto: int):
@@ -186,7 +192,32 @@ def parse_blocks(page: str) -> tuple[list[tuple[str, tuple]], list[_Node]]:
             nodes.append(node)
         anchors = 0
     flush()
-    return blocks, nodes
+    return _weigh(found), nodes
+
+
+def _weigh(found: list[tuple[str, int, bool, tuple]]) -> list[tuple[str, tuple]]:
+    """(text, open containers) of the blocks outside furniture, after counting each container's text and furniture.
+
+    ``found`` has (text, characters in links, whether in sure furniture, open containers and doubtful elements).
+    """
+    size: dict[_Node, list[int]] = {}
+    for text, links, _, inside in found:
+        for n in inside:
+            if n.doubt:
+                got = size.setdefault(n, [0, 0])
+                got[0] += len(text)
+                got[1] += links
+    linked = {n for n, (chars, links) in size.items() if 2 * links >= chars}
+    blocks = []
+    for text, links, blank, inside in found:
+        blank = blank or not linked.isdisjoint(inside)
+        bad = len(text) if blank else links
+        for n in inside:
+            n.good += len(text) - bad
+            n.bad += bad
+        if not blank:
+            blocks.append((text, inside))
+    return blocks
 
 
 def _worth(n: _Node) -> float:
@@ -202,16 +233,16 @@ def best_path(page: str) -> tuple[str, float] | None:
 
 
 def extract_text(page: str, paths: list[str]) -> str:
-    """Blocks under the first of ``paths`` that holds text, else under the page's best container."""
+    """Blocks under the first of ``paths`` that holds ``LEAST_SHARE`` of the text of the page's best container, else under that container."""
     blocks, nodes = parse_blocks(page)
+    best = max(nodes, key=lambda n: (_worth(n), n.depth), default=None)
+    own = [t for t, inside in blocks if best is None or best.good <= 0 or best in inside]
+    least = LEAST_SHARE * sum(map(len, own))
     for path in paths:
         got = [t for t, inside in blocks if any(n.path == path for n in inside)]
-        if got:
+        if got and sum(map(len, got)) >= least:
             return "\n".join(got)
-    best = max(nodes, key=lambda n: (_worth(n), n.depth), default=None)
-    if best is None or best.good <= 0:
-        return "\n".join(t for t, _ in blocks)
-    return "\n".join(t for t, inside in blocks if best in inside)
+    return "\n".join(own)
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: float = 0.05) -> DataFrame:
@@ -243,7 +274,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(id_col, url_col, text) of every page, by the winning paths of its host.
 
     Blocks are in page order, one a line, white space folded, references decoded. A page that
-    has none of the paths falls back on its own best container. Null or empty html gives an
+    has none of the paths, or only a small part of its text under them, falls back on its own best container. Null or empty html gives an
     empty text; pages without a host in their url form one host; repeated rows are kept; other
     columns are ignored.
     """

@@ -403,6 +403,33 @@ def test_html_extraction(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_winning_paths_hold_the_article(spark):
+    part = "".join(f"<p>Part {i} of the long story.</p>" for i in range(40))
+    usual = f'<body><div class="content">{part}</div></body>'
+    other = f'<body><div class="content">Intro line.</div><div class="story">{part}</div></body>'
+    rows = [(i, "http://h/", usual) for i in range(9)] + [(9, "http://h/", other), (10, "http://h/", None), (9, "http://h/", other)]
+    got = [(r.page_id, r.text) for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    story = "\n".join(f"Part {i} of the long story." for i in range(40))
+    assert len(got) == 12 and all(t == "" if i == 10 else t.endswith(story) for i, t in got)
+    assert sorted(t for i, t in got if i < 9) == [story] * 9
+
+
+def test_html_names_that_only_begin_like_furniture():
+    text = "The price rose on Monday. " * 20
+    page = '<body><article><p>{0}</p><div class="share-price">Five pounds</div><p>At <span class="share-price">five</span> pounds</p>{1}</article></body>'
+    links = '<div class="share-tools"><a href="x">mail</a> <a href="y">post</a></div><ul class="related-reading"><li><a href="z">More</a></ul>'
+    sure = '<div class="share-buttons">Tell others</div><div class="cookie-policy-x">Ours</div><div class="price-share">Send</div><div class="comment-thread">Nice</div>'
+    assert extract_text(page.format(text, links + sure), []) == f"{text.strip()}\nFive pounds\nAt five pounds"
+
+
+def test_html_tied_votes_and_very_long_pages(spark):
+    a, b = (f'<body><div class="{c}"><p>{"Some words here. " * 9}</p></div></body>' for c in "ab")
+    long = f'<body><div class="a">{"<p>word</p>" * 200_000}</div></body>'
+    rows = [(0, "http://h/", a), (1, "http://h/", b), (2, "http://z/", long)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == got[1] == ("Some words here. " * 9).strip() and got[2] == "\n".join(["word"] * 200_000)
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (2, 0, None, "x"), (3, 0, "system", "only"), (None, 0, "ann", "n")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, name string")
