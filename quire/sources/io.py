@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import time
 from collections.abc import Callable
 from pathlib import Path
@@ -16,6 +15,7 @@ from pyspark.sql import types as T
 
 from quire.functions import html, lexicon
 from quire.functions.text import clean_text
+from quire.operators.tables import dedup_tables, table_to_structured_text
 
 CATALOG_COLUMNS = (
     "doc_id title institution source_type format year version source_url landing_page local_path accessed_at scope officiality risk_scope notes"
@@ -55,8 +55,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", "content", html.file_kind(F.col("content"), F.col("path")).alias("kind"))
 
 
-def pdf_reader() -> Callable[[bytes], list[tuple[int, str, str]]]:
-    """The first PDF library that is installed, as a function to (page, chunk_type, text) elements."""
+def pdf_reader() -> Callable[[bytes], list[tuple[int, str, str | list[list[str | None]]]]]:
+    """The first PDF library that is installed, as a function to (page, "text", text) and (page, "table", cells) elements."""
     try:
         import pdfplumber
 
@@ -64,9 +64,9 @@ def pdf_reader() -> Callable[[bytes], list[tuple[int, str, str]]]:
             out = []
             with pdfplumber.open(io.BytesIO(raw)) as pdf:
                 for n, page in enumerate(pdf.pages, 1):
-                    out.append((n, "text", page.extract_text() or ""))
+                    out.append((n, "text", page.extract_text(x_tolerance=1, y_tolerance=3) or ""))
                     tables = page.extract_tables({"vertical_strategy": "lines", "horizontal_strategy": "lines", "intersection_tolerance": 5})
-                    out += [(n, "table", json.dumps(t)) for t in tables or page.extract_tables() or []]
+                    out += [(n, "table", t) for t in tables or page.extract_tables() or []]
             return out
 
         return plumber
@@ -81,35 +81,62 @@ def pdf_reader() -> Callable[[bytes], list[tuple[int, str, str]]]:
 
 
 def extract_documents(catalog: DataFrame, files: DataFrame, reader: Callable | None = None) -> DataFrame:
-    """Elements (metadata, page, chunk_type, text, error) of the catalogue's files.
+    """Elements (metadata, page, section, subtitle, chunk_type, table_index, text, content, error) of the catalogue's files.
 
-    ``files(local_path, content, kind)``; missing and empty files are skipped. A PDF that
-    cannot be read falls back on its text and names the error; one file never fails the others.
+    ``files(local_path, content, kind)``; missing and empty files are skipped. ``reader`` gives the elements of a PDF as
+    ``pdf_reader`` does; the tables of a page become structured text, numbered from 1, without repeated ones. A PDF that cannot be
+    read falls back on its HTML or its text and names the error; one file never fails the others.
     """
     joined = catalog.join(files.where(F.length("content") > 0), "local_path")
-    text = F.decode("content", "UTF-8")
-    plain = joined.where(F.col("kind") != "pdf").select(
-        *METADATA,
-        F.lit(None).cast("int").alias("page"),
-        F.lit("text").alias("chunk_type"),
-        F.when(F.col("kind") == "html", html.html_text_dom(text)).otherwise(clean_text(text)).alias("text"),
-        F.lit(None).cast("string").alias("error"),
-    )
+    columns = [*METADATA, "page", "kind", "no", "raw", "cells", "error"]
+    none = {"page": "int", "no": "int", "cells": "array<array<string>>", "error": "string"}
+    plain = joined.where(F.col("kind") != "pdf").withColumn("raw", F.decode("content", "UTF-8")).withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
 
     def pages(batches):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                meta = [getattr(row, c) for c in METADATA]
+                meta, mine = [getattr(row, c) for c in METADATA], []
                 try:
-                    got = [(*meta, p, k, t, None) for p, k, t in (reader or pdf_reader())(bytes(row.content)) if t.strip()]
+                    seen: dict[int, int] = {}
+                    for page, kind, got in (reader or pdf_reader())(bytes(row.content)):
+                        if kind == "table":
+                            seen[page] = seen.get(page, 0) + 1
+                            mine.append((*meta, page, "table", seen[page], None, [[None if x is None else str(x) for x in r or ()] for r in got], None))
+                        else:
+                            mine.append((*meta, page, "text", None, got, None, None))
                 except Exception as e:
-                    got = [(*meta, None, "text", bytes(row.content).decode("utf-8", "ignore").replace("\x00", ""), str(e))]
-                out += got
-            yield pd.DataFrame(out, columns=[*METADATA, "page", "chunk_type", "text", "error"]).astype({"page": "Int32"})
+                    raw = bytes(row.content).decode("utf-8", "ignore")
+                    marked = any(m in raw.lower() for m in ("<html", "<!doctype"))
+                    mine = [(*meta, None, "html" if marked else "text", None, raw, None, str(e))]
+                out += mine
+            yield pd.DataFrame(out, columns=columns).astype({"page": "Int32", "no": "Int32"})
+
+    schema = ", ".join([*(f"{c} string" for c in METADATA), "page int, kind string, no int, raw string, cells array<array<string>>, error string"])
+    read = joined.where("kind = 'pdf'").select(*METADATA, "content").mapInPandas(pages, schema)
+    each = plain.select(*columns).unionByName(read)
+    table = F.col("kind") == "table"
+    each = each.withColumn("body", F.when(table, table_to_structured_text("cells")).when(F.col("kind") == "html", html.html_text_dom(F.col("raw"))).otherwise(clean_text(F.col("raw"))))
+    each = dedup_tables(each.where(table), ["doc_id", "page"], "no", "body").unionByName(each.where(~table))
+    label = F.format_string("Tabel %d", "no")
+    section = F.when(table, F.format_string("Tabel %d halaman %d", "no", "page"))
+    text = F.when(table, F.concat_ws("\n", section, "body")).otherwise(F.col("body"))
+    return each.where("body <> ''").select(
+        *METADATA,
+        "page",
+        section.alias("section"),
+        F.when(table, label).alias("subtitle"),
+        F.when(table, "table").otherwise("text").alias("chunk_type"),
+        F.col("no").alias("table_index"),
+        text.alias("text"),
+        text.alias("content"),
+        "error",
+    )
+
 
-    schema = ", ".join([*(f"{c} string" for c in METADATA), "page int, chunk_type string, text string, error string"])
-    return plain.unionByName(joined.where("kind = 'pdf'").select(*METADATA, "content").mapInPandas(pages, schema)).where(F.col("text") != "")
+def pdf_pages(elements: DataFrame) -> DataFrame:
+    """(doc_id, page, text) of extracted elements, tables included."""
+    return elements.where("page IS NOT NULL").select("doc_id", "page", F.col("content").alias("text"))
 
 
 def pick_source(spark: SparkSession, extracted: str, starter: str, schema) -> DataFrame:
