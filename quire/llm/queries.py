@@ -17,6 +17,7 @@ from quire.llm.mixing import WORDS, mix_sources
 from quire.llm.sharding import shard_documents
 from quire.llm.simhash import simhash_groups
 from quire.llm.substring import dedup_substrings
+from quire.llm.vector_codes import compress_vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -122,6 +123,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "perspective", "part", "n_turns", "rendered", masks.alias("masks"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(_read(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
 def _op10_sql() -> str:
     name = "name"
     for char, code in NAME_CODES:
@@ -209,6 +214,30 @@ SELECT doc_id, path, coalesce(own_id, hl) AS license_id, CASE WHEN own_id IS NOT
 FROM a LEFT JOIN near USING (dir)"""
 
 
+def _op12_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Lloyd rounds unrolled: one table of assignments and one codebook for each."""
+    out = [f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT max(len(v)) // {parts} AS w FROM e),
+p AS MATERIALIZED (SELECT vec_id, label, part, v[part * w + 1 : part * w + w] AS x FROM e, w, (SELECT unnest(range({parts})) AS part)),
+c0 AS MATERIALIZED (SELECT part, entry, x AS c FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM (SELECT vec_id FROM e ORDER BY vec_id LIMIT {entries})) USING (vec_id))"""]
+    for r in range(rounds + 1):
+        out.append(f"""d{r} AS (SELECT vec_id, label, p.part, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d, x
+  FROM p JOIN c{r} ON p.part = c{r}.part),
+a{r} AS MATERIALIZED (SELECT vec_id, part, any_value(label) AS label, min(d) AS d, arg_min(entry, struct_pack(d := d, entry := entry)) AS entry, any_value(x) AS x FROM d{r} GROUP BY vec_id, part)""")
+        if r < rounds:
+            out.append(f"""s{r} AS (SELECT part, entry, k, CAST(floor(sum(z) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS m
+  FROM (SELECT part, entry, unnest(range(len(x))) AS k, unnest(x) AS z FROM a{r}) GROUP BY part, entry, k),
+c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, c) AS c FROM c{r} LEFT JOIN (SELECT part, entry, list(m ORDER BY k) AS m FROM s{r} GROUP BY part, entry) USING (part, entry))""")
+    return (
+        ",\n".join(out)
+        + f""",
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+o AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o, h"""
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embeddings": op1_embeddings,
@@ -221,8 +250,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_html": op9_html,
         "op10_chat": op10_chat,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": _op6_sql(), "op7_licenses": _op7_sql(), "op10_chat": _op10_sql()}
+    return {"op6_mixing": _op6_sql(), "op7_licenses": _op7_sql(), "op10_chat": _op10_sql(), "op12_vector_codes": _op12_sql()}
