@@ -14,6 +14,7 @@ from quire.llm.htmltext import extract_pages
 from quire.llm.langid import fit_languages, identify_language
 from quire.llm.licenses import COMMENT, CUES, OTHER, scan_licenses, template_terms
 from quire.llm.mixing import WORDS, mix_sources
+from quire.llm.quality import fit_quality, score_quality
 from quire.llm.sharding import shard_documents
 from quire.llm.simhash import simhash_groups
 from quire.llm.substring import dedup_substrings
@@ -123,6 +124,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "perspective", "part", "n_turns", "rendered", masks.alias("masks"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = fit_quality(docs, labels.where(~held))
+    return score_quality(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(_read(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
 
@@ -250,6 +258,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_html": op9_html,
         "op10_chat": op10_chat,
+        "op11_quality": op11_quality,
         "op12_vector_codes": op12_vector_codes,
     }
 
