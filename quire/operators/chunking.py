@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,12 +70,14 @@ ELEMENT = {
 }
 
 
-def build_chunks(elements: DataFrame, max_words: int = 220, overlap: int = 40) -> DataFrame:
+def build_chunks(elements: DataFrame, max_words: int = 220, overlap: int = 40, keep: Sequence[str] = ()) -> DataFrame:
     """One row per chunk. ``doc_ord`` (from 1) is the element's place in its file and part of chunk ids.
 
+    Columns in ``keep`` go from each element to its chunks; no chunk has a column of such a name.
+
     Elements are judged row by row: a repeated ordinal repeats an id, a null one reads "null" in it, and neither loses or mixes text.
     """
-    e = elements.select(*[(F.col(c) if c in elements.columns else F.lit(None)).cast(t).alias(c) for c, t in ELEMENT.items()])
+    e = elements.select(*[(F.col(c) if c in elements.columns else F.lit(None)).cast(t).alias(c) for c, t in ELEMENT.items()], *keep)
     e = e.withColumns(
         {
             "title": F.coalesce(_nonempty("title"), "doc_id"),
@@ -121,6 +125,7 @@ def build_chunks(elements: DataFrame, max_words: int = 220, overlap: int = 40) -
         F.col("piece").alias("text"),
         F.col("piece").alias("content"),
         tx.approx_tokens("piece").alias("token_count_approx"),
+        *keep,
     )
 
 

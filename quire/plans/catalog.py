@@ -89,7 +89,13 @@ def norm_id(spark, sf):
 
 HEADED = "concat('Panduan ', source, chr(10), text, chr(10), '2. Langkah', chr(10), lang, chr(10), upper(concat('bagian akhir ', source)), chr(10), source)"
 Q_HEAD = r"(regexp_matches(l, '(?i)^(BAB\s+[IVXLC]+|[0-9]+[.)]\s+|Panduan\s+|Cara\s+|Fitur\s+)') OR regexp_matches(l, '^[A-Z0-9 ,/()\-]{8,}$'))"
-Q_LINES = f"SELECT doc_id, list_filter(list_transform(string_split({q_clean(HEADED)}, chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS ls FROM documents"
+
+
+def q_lines(text):
+    return f"SELECT doc_id, list_filter(list_transform(string_split({q_clean(text)}, chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS ls FROM documents"
+
+
+Q_LINES = q_lines(HEADED)
 
 
 def _headed(docs):
@@ -210,26 +216,30 @@ def file_kind(spark, sf):
 
 
 # --- chunking --------------------------------------------------------------------------
-Q_SECTIONS = f"""l AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS pos FROM ({Q_LINES})),
+def q_sections(lines):
+    return f"""l AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS pos FROM ({lines})),
 g AS (SELECT doc_id, l, pos, {Q_HEAD} AS h, sum(CASE WHEN {Q_HEAD} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM l),
 sec AS (SELECT doc_id, coalesce(max(CASE WHEN h THEN substr(l, 1, 140) END), 'General') AS section, string_agg(CASE WHEN NOT h THEN l END, chr(10) ORDER BY pos) AS body,
 row_number() OVER (PARTITION BY doc_id ORDER BY s) AS section_no FROM g GROUP BY doc_id, s HAVING count(CASE WHEN NOT h THEN 1 END) > 0)"""
 
 
+Q_SECTIONS = q_sections(Q_LINES)
+
+
 @_query(f"WITH {Q_SECTIONS} SELECT doc_id, section_no, section, body FROM sec")
 def sections(spark, sf):
     d = _headed(_t(spark, sf, "documents"))
     return chunking.sections(d, "doc_id", "text").select("doc_id", F.col("section_no").cast("long").alias("section_no"), "section", "body")
 
 
-def _q_windows(src, key, body):
+def q_windows(src, key, body):
     words = rf"list_filter(string_split_regex({body}, '\s+'), lambda x: x <> '')"
     return f"""w AS (SELECT {key}, {body} AS body, {words} AS ws FROM {src}),
 p AS (SELECT {key}, body, ws, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) <= 220 THEN [0] ELSE range(0, CAST(ceil((len(ws) - 220) / 180.0) AS BIGINT) * 180 + 1, 180) END) AS s FROM w),
 win AS (SELECT {key}, s, s // 180 + 1 AS part, CASE WHEN len(ws) <= 220 THEN body ELSE array_to_string(ws[s + 1 : s + 220], ' ') END AS piece FROM p)"""
 
 
-@_query(f"WITH {_q_windows('documents', 'doc_id', 'text')} SELECT doc_id, CAST(part AS BIGINT) AS part, piece FROM win")
+@_query(f"WITH {q_windows('documents', 'doc_id', 'text')} SELECT doc_id, CAST(part AS BIGINT) AS part, piece FROM win")
 def word_windows(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", F.posexplode(chunking.word_windows("text")).alias("part", "piece"))
     return d.select("doc_id", (F.col("part") + 1).cast("long").alias("part"), "piece")
@@ -259,7 +269,7 @@ b AS (SELECT *, coalesce(own, CASE WHEN page <> 0 THEN concat('page_', page) END
 f AS (SELECT b.*, 1 AS sno, coalesce(own, base) AS found, text AS sbody FROM b WHERE ctype = 'table' OR own IS NOT NULL
 UNION ALL SELECT b.*, s.section_no, s.section, s.body FROM b JOIN sec s ON s.doc_id = b.k WHERE NOT (ctype = 'table' OR own IS NOT NULL)),
 x AS (SELECT *, CASE WHEN found = 'General' THEN base ELSE found END AS section, CASE WHEN found <> 'General' THEN found END AS subtitle, row_number() OVER (ORDER BY k, sno) AS rid FROM f),
-{_q_windows('x', 'rid', 'sbody')}
+{q_windows('x', 'rid', 'sbody')}
 SELECT CASE WHEN own IS NOT NULL AND page IS NULL AND part = 1 THEN concat(did, '_', {Q_NORM}, '_', lpad(CAST(k + 1 AS VARCHAR), CAST(greatest(3, length(CAST(k + 1 AS VARCHAR))) AS INTEGER), '0'))
 ELSE concat(did, '_', {Q_NORM}, '_', lpad(CAST(k + 1 AS VARCHAR), CAST(greatest(4, length(CAST(k + 1 AS VARCHAR))) AS INTEGER), '0'), '_', lpad(CAST(part AS VARCHAR), CAST(greatest(2, length(CAST(part AS VARCHAR))) AS INTEGER), '0')) END AS chunk_id,
 section, array_to_string(list_filter([coalesce(title, did), section, subtitle], lambda v: v IS NOT NULL), ' > ') AS path, coalesce(title, did) AS source, ctype AS chunk_type,
