@@ -27,6 +27,10 @@ _SHAPES, _REPEATS = 1 << WORD_BITS, (1 << WORD_BITS) + (1 << SHAPE_BITS)
 _BLOCK = 1 << 18
 #: Texts compared with the labelled vectors at a time.
 _QUERIES = 256
+#: Tasks that sum over the sample: each sends a row of sums for every term that it meets.
+_TASKS = 4
+#: Sums of the sample are sent as whole numbers of this fraction, which add up alike in any order.
+_UNIT = float(1 << 24)
 #: Similarities that differ by less than this tie.
 TIE = 1e-9
 
@@ -184,14 +188,13 @@ def fit_quality(
     # no text is shuffled before the sample is drawn
     chosen = scratch.table(named.select("i", "k").join(marked, "i").distinct().orderBy(draw, "i", "k").limit(labelled))
     sample = named.join(F.broadcast(chosen), ["i", "k"]).dropDuplicates(["i", "k"])
-    sample = scratch.table(sample.repartition(8, "i", "k").sortWithinPartitions("i", "k"))
+    sample = scratch.table(sample.repartition(2 * _TASKS, "i", "k").sortWithinPartitions("i", "k")).coalesce(_TASKS)
     size = sample.count()
+    sums = _term_sums(docs, F.col(text_col)).toArrow()
     df = np.zeros(TERMS)
-    total = 0
-    for r in _term_sums(docs, F.col(text_col)).collect():
-        df[r["k"]] = r["n"]
-        total = max(total, r["n"])  # the text's own term is in every document
-    idf = np.log((1.0 + total) / (1.0 + df)) + 1
+    df[sums["k"].to_numpy()] = sums["n"].to_numpy()
+    # the text's own term is in every document
+    idf = np.log((1.0 + df.max()) / (1.0 + df)) + 1
     if not size:
         return QualityModel(idf, np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0), neighbours)
 
@@ -215,8 +218,7 @@ def fit_quality(
             at = np.flatnonzero(np.abs(out).sum(1))
             for lo in range(0, len(at), 1024):
                 part = out[at[lo : lo + 1024]]
-                # whole numbers of 2**-40 add up alike in any order
-                cells = pa.array(np.round(part.ravel() * float(1 << 40)).astype(np.int64))
+                cells = pa.array(np.round(part.ravel() * _UNIT).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + 1024]), pa.FixedSizeListArray.from_arrays(cells, part.shape[1]).cast(pa.list_(pa.int64()))], names=["k", "z"])
 
         return run
@@ -225,12 +227,12 @@ def fit_quality(
     basis = np.linalg.qr(np.random.default_rng(20260301).normal(size=(TERMS, columns)))[0]
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast((idf, basis))
-        sums = sample.select("t").mapInArrow(spread(shared), "k long, z array<long>").groupBy("k").agg(*[F.sum(F.col("z")[c]).alias(f"z{c}") for c in range(columns)])
+        parts = sample.select("t").mapInArrow(spread(shared), "k long, z array<long>")
+        sums = parts.groupBy("k").agg(*[F.sum(F.col("z")[c]).alias(f"z{c}") for c in range(columns)]).toArrow()
         z = np.zeros(basis.shape)
-        for r in sums.collect():
-            z[r[0]] = r[1:]
+        for c in range(columns):
+            z[sums["k"].to_numpy(), c] = sums[f"z{c}"].to_numpy() / _UNIT
         shared.unpersist()
-        z /= float(1 << 40)
         value, turn = np.linalg.eigh(basis.T @ z)
         previous, basis = basis, np.linalg.qr(z)[0]
     top = np.argsort(-value)[: min(rank, columns)]
@@ -247,9 +249,11 @@ def fit_quality(
             v = np.concatenate(v) if v else np.zeros((0, m.basis.shape[1]))
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(v), pa.list_(pa.float64()))], names=["y", "v"])
 
-    rows = sample.mapInArrow(place, "y double, v array<double>").collect()
-    rows = sorted((tuple(r["v"]), r["y"]) for r in rows)
-    return QualityModel(idf, basis, _unit(np.array([r[0] for r in rows])), np.array([r[1] for r in rows]), neighbours)
+    rows = sample.mapInArrow(place, "y double, v array<double>").toArrow().combine_chunks()
+    v = np.asarray(rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, len(top))
+    y = rows["y"].to_numpy()
+    order = np.lexsort((y, *v.T[::-1]))
+    return QualityModel(idf, basis, _unit(v[order]), y[order], neighbours)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
