@@ -2,23 +2,26 @@
 
 DataFrame operations only. Tokens are summed to cells of the raked columns; the cells'
 weights are raked to each marginal in turn until all are met; a document is sampled with its cell's calibrated
-probability. Nothing is gathered in one task: totals are aggregates, and the constant of the
-probabilities is found by a few of them instead of a sort of all cells.
+probability. Nothing is gathered in one task: a value's sum is combined in every task before it is shuffled, however many cells it has, and
+the constant of the probabilities is found by a few aggregates instead of a sort of all cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch
 
-WORDS, SPACES = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
+WORDS = r"[^\x20\x09-\x0D]+"
 NONE = "(none)"
-#: Rounds between two looks at the error.
-STEP = 5
+#: Rounds before an error that no longer falls ends the raking.
+PATIENCE = 100
+#: Values of a marginal up to which its factors are broadcast to the cells.
+BROADCAST_VALUES = 1 << 17
 
 
 def uniform(*columns: Column) -> Column:
@@ -27,27 +30,42 @@ def uniform(*columns: Column) -> Column:
     return F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def rake(w: DataFrame, names: Sequence[str], scratch: Scratch, rounds: int, tolerance: float) -> tuple[DataFrame, float]:
-    """Cells ``w`` with weight w raked to the shares q<name>, and the greatest relative error left in a marginal.
+def rake(cells: DataFrame, shares: Mapping[str, DataFrame], total: float, scratch: Scratch, rounds: int, tolerance: float) -> tuple[DataFrame, float]:
+    """``cells(names, t)`` with their raked weight w, and the greatest relative error that the last round found in a marginal.
 
-    Stops when the error is at most ``tolerance``, when it no longer falls, as with shares that contradict
-    each other, or after ``rounds``.
+    A cell's weight is its share of the tokens times a factor of each of its values. ``shares`` has (name, q) of every
+    marginal's values; a round sets each marginal's factors in turn to what its shares ask for, from sums over the cells, and is one
+    written table of factors. Ends when a round finds no error above ``tolerance``, when errors no longer
+    fall, as with shares that contradict each other, or after ``rounds``.
     """
-    # a value's share is that of the first of its cells, so each value counts once
+    names = list(shares)
+    near = {n: F.broadcast if q.count() <= BROADCAST_VALUES else lambda x: x for n, q in shares.items()}
+    factors = {n: q.select(n, "q", F.lit(1.0).alias(f"f{n}")) for n, q in shares.items()}
     error, best = float("inf"), float("inf")
-    for done in range(0, rounds, STEP):
-        for _ in range(min(STEP, rounds - done)):
-            for name in names:
-                has = F.sum("w").over(Window.partitionBy(name))
-                w = w.withColumn("w", F.when(has > 0, F.col("w") * F.col(f"q{name}") / has).otherwise(F.lit(0.0)))
-        off = [F.when(F.col(f"q{k}") > 0, F.abs(F.sum("w").over(Window.partitionBy(k)) / F.col(f"q{k}") - 1)).otherwise(0.0) for k in names]
-        w = scratch.table(w.withColumn("off", F.greatest(*off) if len(off) > 1 else off[0]))
-        error = w.agg(F.max("off")).first()[0] or 0.0
-        w = w.drop("off")
-        if error <= tolerance or (error >= best and done >= 20 * STEP):
+    for done in range(1, rounds + 1):
+        found = []
+        for name in names:
+            w = cells.withColumn("w", F.col("t") / F.lit(total))
+            for other in names:
+                if other != name:
+                    w = w.join(near[other](factors[other].select(other, f"f{other}")), other).withColumn("w", F.col("w") * F.col(f"f{other}"))
+            sums = w.groupBy(name).agg(F.sum("w").alias("has"))
+            new = F.when(F.col("has") > 0, F.col("q") / F.col("has")).otherwise(F.lit(0.0))
+            # the marginal was met up to the change of its factor
+            off = F.when(F.col("q") > 0, F.abs(F.try_divide(F.col(f"f{name}"), new) - 1)).otherwise(F.lit(0.0))
+            step = factors[name].join(near[name](sums), name).select(name, "q", new.alias("new"), F.coalesce(off, F.lit(0.0)).alias("off"))
+            factors[name] = step.select(name, "q", F.col("new").alias(f"f{name}"))
+            found.append(step.select(F.lit(name).alias("dim"), F.col(name).alias("value"), "q", "new", "off"))
+        table = scratch.table(reduce(DataFrame.unionByName, found))
+        factors = {n: table.where(F.col("dim") == n).select(F.col("value").alias(n), "q", F.col("new").alias(f"f{n}")) for n in names}
+        error = table.agg(F.max("off")).first()[0] or 0.0
+        if error <= tolerance or (error >= best and done >= PATIENCE):
             break
         best = min(best, error)
-    return w, error
+    w = cells.withColumn("w", F.col("t") / F.lit(total))
+    for name in names:
+        w = w.join(near[name](factors[name].select(name, f"f{name}")), name).withColumn("w", F.col("w") * F.col(f"f{name}")).drop(f"f{name}")
+    return scratch.table(w), error
 
 
 def mix_sources(
@@ -83,7 +101,7 @@ def mix_sources(
     names: Sequence[str] = [f"{p}{k}" for k in dims]
     read = docs.withColumns({n: F.coalesce(c.cast("string"), F.lit(NONE)) for n, c in zip(names, dims.values())}).withColumns(
         {
-            f"{p}tokens": F.coalesce(F.size(F.array_remove(F.split(F.col(text_col), SPACES), "")), F.lit(0)).cast("long"),
+            f"{p}tokens": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long"),
             f"{p}draw": uniform(F.col(id_col), F.col(text_col)),
         }
     )
@@ -92,7 +110,7 @@ def mix_sources(
     read = scratch.table(read.select(*(c for c in held if c not in added), *added))
     cells = scratch.table(read.where(F.col(f"{p}tokens") > 0).groupBy(*names).agg(F.sum(f"{p}tokens").alias("t")))
     total = cells.agg(F.sum("t")).first()[0] or 0
-    w = cells.withColumn("w", F.col("t") / F.lit(float(max(1, total))))
+    marginals = {}
     for k, name in zip(dims, names):
         by = cells.groupBy(name).agg(F.sum("t").alias("own"))
         if targets and k in targets:
@@ -102,8 +120,8 @@ def mix_sources(
             share = F.pow("own", F.lit(temperature))
         by = scratch.table(by.select(name, share.cast("double").alias("s")))
         every = by.agg(F.sum("s")).first()[0] or 1.0
-        w = w.join(by.select(name, (F.col("s") / F.lit(every)).alias(f"q{name}")), name)
-    w, _ = rake(scratch.table(w), names, scratch, rounds, tolerance)
+        marginals[name] = by.select(name, (F.col("s") / F.lit(every)).alias("q"))
+    w, _ = rake(cells, marginals, float(max(1, total)), scratch, rounds, tolerance)
     # given shares may leave part of the weight without cells
     every = w.agg(F.sum("w")).first()[0] or 1.0
     w = w.withColumn("r", F.col("w") / F.lit(every) * F.lit(float(total)) / F.col("t"))
