@@ -1,19 +1,15 @@
-"""What the jobs share: config files, tables that may have no rows yet, the shared folder, the command line's session."""
+"""What the jobs share: config files, tables that may have no rows yet, the command line's session."""
 
 from __future__ import annotations
 
 import json
 import logging
-import tempfile
-import uuid
 from collections.abc import Mapping
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 log = logging.getLogger("quire.jobs")
-_LOCAL: list[str] = []
 
 
 def settings(defaults: Mapping[str, object], given: Mapping[str, object]) -> dict[str, object]:
@@ -45,18 +41,6 @@ def overwrite_partitions(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of a new name under ``spark.checkpoint.dir``; a local session without that setting gets a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        if not _LOCAL:
-            _LOCAL.append(Path(tempfile.mkdtemp(prefix="quire-jobs-")).as_uri())
-        root = _LOCAL[0]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def part_of(column: str) -> F.Column:
     """A value that can name a folder: null and the empty text are ``none``."""
     c = F.col(column).cast("string")

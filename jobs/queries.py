@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs import knowledge_feed
-from jobs.common import new_folder
 from quire.plans import catalog
+from quire.sources.io import new_folder
 
 
 def job1_knowledge_feed(spark: SparkSession, sf_dir: str) -> DataFrame:

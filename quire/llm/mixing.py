@@ -20,6 +20,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 NONE = "(none)"
 #: Rounds before an error that no longer falls ends the raking.
 PATIENCE = 100
+#: Cells up to which one task sums them, without a shuffle.
+ONE_TASK = 1 << 15
 #: Values of a marginal up to which its factors are broadcast to the cells.
 BROADCAST_VALUES = 1 << 17
 
@@ -40,7 +42,10 @@ def rake(cells: DataFrame, shares: Mapping[str, DataFrame], total: float, scratc
     """
     names = list(shares)
     near = {n: F.broadcast if q.count() <= BROADCAST_VALUES else lambda x: x for n, q in shares.items()}
+    few = cells.count() <= ONE_TASK
     factors = {n: q.select(n, "q", F.lit(1.0).alias(f"f{n}")) for n, q in shares.items()}
+    if few:
+        cells = cells.coalesce(1)
     error, best = float("inf"), float("inf")
     for done in range(1, rounds + 1):
         found = []
@@ -56,7 +61,7 @@ def rake(cells: DataFrame, shares: Mapping[str, DataFrame], total: float, scratc
             step = factors[name].join(near[name](sums), name).select(name, "q", new.alias("new"), F.coalesce(off, F.lit(0.0)).alias("off"))
             factors[name] = step.select(name, "q", F.col("new").alias(f"f{name}"))
             found.append(step.select(F.lit(name).alias("dim"), F.col(name).alias("value"), "q", "new", "off"))
-        table = scratch.table(reduce(DataFrame.unionByName, found))
+        table = scratch.table(reduce(DataFrame.unionByName, found).coalesce(1) if few else reduce(DataFrame.unionByName, found))
         factors = {n: table.where(F.col("dim") == n).select(F.col("value").alias(n), "q", F.col("new").alias(f"f{n}")) for n in names}
         error = table.agg(F.max("off")).first()[0] or 0.0
         if error <= tolerance or (error >= best and done >= PATIENCE):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import html, lexicon as lx, text as tx
-from quire.operators import chunking, generation, reporting, retrieval, router, scoring, tables
+from quire.operators import chunking, generation, inverted, reporting, retrieval, router, scoring, tables
 from quire.sources import io
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -301,8 +301,10 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id
 
 
 def _bm25(spark, sf, k):
+    """The documents' index is built and kept in the shared folder; the search reads it alone."""
     toks = tx.tokenize_retrieval("text")
-    return retrieval.bm25_search(_t(spark, sf, "benchmark"), "item_id", toks, _t(spark, sf, "documents"), "doc_id", toks, k)
+    index = inverted.build_inverted(_t(spark, sf, "documents"), "doc_id", toks, io.new_folder(spark, "index"))
+    return index.search(_t(spark, sf, "benchmark"), "item_id", toks, k)
 
 
 @_query(f"WITH {Q_BM25} SELECT item_id, doc_id AS doc, round(s, 6) AS bm25_score, bm25_rank FROM bm WHERE bm25_rank <= 4 AND s > 0")

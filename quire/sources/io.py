@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
+import tempfile
 import time
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 from urllib import request
@@ -33,6 +36,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_LOCAL_ROOT: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of a new name under ``spark.checkpoint.dir``; a local session without that setting gets a temporary one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _LOCAL_ROOT:
+            _LOCAL_ROOT.append(Path(tempfile.mkdtemp(prefix="quire-")).as_uri())
+        root = _LOCAL_ROOT[0]
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Declared schema, blank lines skipped, malformed lines raise."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
