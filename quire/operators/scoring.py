@@ -30,11 +30,30 @@ def support(claim_tokens: Column, claim_numbers: Column, evidence_tokens: Column
     return F.when(F.size(evidence_tokens) == 0, 0.0).when(lacks, share * 0.35).otherwise(share)
 
 
-def claim_supports(answer, contexts, stopwords: Sequence[str] = lx.EVIDENCE_STOPWORDS) -> Column:
+def context_tokens(contexts, stopwords: Sequence[str] = lx.EVIDENCE_STOPWORDS) -> Column:
+    """Tokens of each context's fields, so that a text is tokenised once for all scores.
+
+    Fields are put together with a space, which no token holds: tokens of the whole are those of the fields, one after another.
+    """
+
+    def of(c):
+        fields = {"title": c["title"], "section": c["section"], "subsection": c["subsection"], "subtitle": c["subtitle"], "text": c["text"], "content": c["content"]}
+        return F.struct(*[tx.tokenize_evidence(v, stopwords).alias(k) for k, v in fields.items()])
+
+    return F.transform(contexts, of)
+
+
+def _joined(t: Column, *fields: str) -> Column:
+    return F.concat(*[t[f] for f in fields])
+
+
+def claim_supports(answer, contexts, stopwords: Sequence[str] = lx.EVIDENCE_STOPWORDS, tokens: Column | None = None) -> Column:
     """array<double>: best support of each claim of the answer by a context or by all of them together."""
     texts = F.transform(contexts, _text)
-    every = F.concat(F.array(F.array_join(texts, " ")), texts)
-    evidence = F.transform(every, lambda t: F.struct(F.array_distinct(tx.tokenize_evidence(t, stopwords)).alias("w"), tx.numeric_tokens(t).alias("n")))
+    numbers = F.transform(F.concat(F.array(F.array_join(texts, " ")), texts), lambda t: tx.numeric_tokens(t))
+    each = F.transform(context_tokens(contexts, stopwords) if tokens is None else tokens, lambda t: F.array_distinct(_joined(t, "title", "section", "subsection", "text", "content")))
+    words = _bind(each, lambda e: F.concat(F.array(F.array_distinct(F.flatten(e))), e))
+    evidence = F.zip_with(words, numbers, lambda w, n: F.struct(w.alias("w"), n.alias("n")))
     told = F.filter(tx.claims(answer), lambda c: ~tx.is_neutral(c))
 
     def one(ev):
@@ -108,21 +127,24 @@ def specificity(question, answer, attribution: Column, stopwords: Sequence[str]
     return _bind(_bind(parts, measured), score)
 
 
-def context_quality(question, contexts, domains: Sequence[str] = lx.OFFICIAL_DOMAINS, stopwords: Sequence[str] = lx.EVIDENCE_STOPWORDS) -> Column:
+def context_quality(question, contexts, domains: Sequence[str] = lx.OFFICIAL_DOMAINS, stopwords: Sequence[str] = lx.EVIDENCE_STOPWORDS, tokens: Column | None = None) -> Column:
     """struct<context_quality_score, warnings>. Contexts have chunk_id, title, section, subtitle, text, content, source_url, hierarchy_path."""
     asked = F.array_distinct(tx.tokenize_evidence(question, stopwords))
     n = F.size(contexts)
     official = F.size(F.filter(contexts, lambda c: tx.is_official_url(c["source_url"], domains))) / F.greatest(n, F.lit(1))
 
-    def relevance(c):
-        whole = tx.evidence_text(c["title"], c["section"], c["subtitle"], c["text"], c["content"])
-        return F.size(F.array_intersect(asked, tx.tokenize_evidence(whole, stopwords))) / F.greatest(F.lit(1), F.size(asked))
+    held = context_tokens(contexts, stopwords) if tokens is None else tokens
+
+    def measures(t, c):
+        whole = _joined(t, "title", "section", "subtitle", "text", "content")
+        relevance = F.size(F.array_intersect(asked, whole)) / F.greatest(F.lit(1), F.size(asked))
+        return F.struct(relevance.alias("r"), F.when(F.coalesce(c["text"], F.lit("")) != "", F.size(t["text"])).otherwise(F.size(t["content"])).alias("n"))
 
-    def length(c):
-        return F.size(tx.tokenize_evidence(F.when(F.coalesce(c["text"], F.lit("")) != "", c["text"]).otherwise(c["content"]), stopwords))
+    def score(m):
+        enough = F.least(F.aggregate(m, F.lit(0), lambda a, x: a + x["n"]) / F.lit(90.0), F.lit(1.0))
+        return 0.50 * official + 0.30 * F.array_max(F.transform(m, lambda x: x["r"])) + 0.20 * enough
 
-    enough = F.least(F.aggregate(F.transform(contexts, length), F.lit(0), lambda a, x: a + x) / F.lit(90.0), F.lit(1.0))
-    score = 0.50 * official + 0.30 * F.array_max(F.transform(contexts, relevance)) + 0.20 * enough
+    score = _bind(F.zip_with(held, contexts, measures), score)
 
     def warn(c):
         cid = F.coalesce(c["chunk_id"].cast("string"), F.lit("unknown"))
@@ -169,13 +191,14 @@ def evaluate(cases: DataFrame, semantic: Column | None = None, thresholds: Mappi
 
     Works on batch and streaming input alike. Without ``semantic`` the semantic score is 0.
     """
-    contexts = F.col("contexts")
-    out = cases.withColumn("__l", lexical_attribution(claim_supports("answer", contexts, stopwords))).withColumn(
+    contexts, tokens = F.col("contexts"), F.col("__t")
+    out = cases.withColumn("__t", context_tokens(contexts, stopwords))
+    out = out.withColumn("__l", lexical_attribution(claim_supports("answer", contexts, stopwords, tokens))).withColumn(
         "semantic_score", F.round(F.lit(0.0) if semantic is None else semantic, 3)
     )
     out = out.select("*", "__l.*").drop("__l").withColumn("attribution_score", blend(F.lit(0.0) if semantic is None else semantic, F.col("lexical_score")))
     out = out.withColumn("specificity_score", specificity("question", "answer", F.col("attribution_score"), stopwords))
-    out = out.withColumn("__c", context_quality("question", contexts, domains, stopwords)).select("*", "__c.*").drop("__c")
+    out = out.withColumn("__c", context_quality("question", contexts, domains, stopwords, tokens)).select("*", "__c.*").drop("__c", "__t")
     fails = hard_fails("question", "answer", F.col("attribution_score"), F.col("specificity_score"), F.col("total_claims"), F.col("warnings"), thresholds)
     out = out.withColumn("hard_fails", fails)
     return out.withColumn("route", decide_route(F.col("hard_fails"), F.col("attribution_score"), F.col("specificity_score"), F.col("context_quality_score"), thresholds))

@@ -171,7 +171,11 @@ ASKED = (
 )
 
 
-Q_EXPANDED = f"concat_ws(' ', {ASKED}, {', '.join(f'CASE WHEN {q_match(ASKED, p)} THEN {chr(39)}{s}{chr(39)} END' for p, s in lx.QUERY_EXPANSIONS)})"
+def q_expanded(c):
+    return f"concat_ws(' ', {c}, {', '.join(f'CASE WHEN {q_match(c, p)} THEN {chr(39)}{s}{chr(39)} END' for p, s in lx.QUERY_EXPANSIONS)})"
+
+
+Q_EXPANDED = q_expanded(ASKED)
 
 
 @_query(f"SELECT item_id, {Q_EXPANDED} AS query FROM benchmark")
@@ -280,11 +284,11 @@ def chunks(spark, sf):
 
 
 # --- retrieval -------------------------------------------------------------------------
-Q_TERMS = f"""t AS (SELECT doc_id, {q_retrieval('text')} AS tk FROM documents),
-tot AS (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM t),
-post AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(tk) AS dl, unnest(tk) AS term FROM t) GROUP BY ALL EXCLUDE (dl) ),
+Q_TERMS = f"""t AS MATERIALIZED (SELECT doc_id, {q_retrieval('text')} AS tk FROM documents),
+tot AS MATERIALIZED (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM t),
+post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(tk) AS dl, unnest(tk) AS term FROM t) GROUP BY ALL EXCLUDE (dl) ),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, tot),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, tot),
 terms AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)""".replace("GROUP BY ALL EXCLUDE (dl) ", "GROUP BY doc_id, term")
 
 
@@ -405,54 +409,122 @@ def prune_dedup(spark, sf):
 
 
 # --- evaluation ------------------------------------------------------------------------
-def _cases(spark, sf) -> DataFrame:
-    """Questions and the next assistant turn as answers; each document is the context of the conversation of half its number."""
+def _asked(spark, sf) -> DataFrame:
+    """(conv_id, turn, question, answer): each user's turn with the assistant's next one."""
     c = _t(spark, sf, "conversations").withColumn("text", F.expr(SAID))
     q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
-    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("said"))
-    d = _t(spark, sf, "documents").select(
-        F.floor(F.col("doc_id") / 2).alias("conv_id"), "doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("title"), F.col("lang").alias("section"), "text",
-        F.when(F.col("doc_id") % 3 == 0, "https://a.example.org/x").otherwise("https://example.com/").alias("source_url"),
+    return q.join(c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")), ["conv_id", "turn"])
+
+
+def _contexts(docs: DataFrame) -> DataFrame:
+    """Documents as contexts, with their doc_id: whole texts, a third of them from an official host."""
+    return docs.select(
+        "doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("title"), F.col("lang").alias("section"), F.lit("").alias("subsection"), F.lit("").alias("subtitle"),
+        "text", F.lit("").alias("content"), F.when(F.col("doc_id") % 3 == 0, "https://a.example.org/x").otherwise("https://example.com/").alias("source_url"), F.array("source").alias("hierarchy_path"),
     )
-    ctx = F.struct("chunk_id", "title", "section", F.lit("").alias("subsection"), F.lit("").alias("subtitle"), "text", F.lit("").alias("content"), "source_url", F.array("title").alias("hierarchy_path"))
-    got = q.join(a, ["conv_id", "turn"]).join(d, "conv_id")
-    # the answer quotes the start of its context, so that claims are supported
-    return got.select("conv_id", "turn", "doc_id", "question", F.concat(F.substring("text", 1, 200), F.lit(".\n"), "said").alias("answer"), F.array(ctx).alias("contexts"))
 
 
-Q_CASES = f"""cv AS (SELECT conv_id, turn, role, {SAID} AS text FROM conversations),
-cs AS (SELECT q.conv_id, q.turn, q.text AS question, concat(substr(d.text, 1, 200), '.', chr(10), a.text) AS answer, d.doc_id, d.source, d.lang, d.text AS dtext, CASE WHEN d.doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS official
-FROM cv q JOIN cv a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' JOIN documents d ON d.doc_id // 2 = q.conv_id WHERE q.role = 'user')"""
+def _cases(spark, sf) -> DataFrame:
+    """Every document is a context of the cases of one conversation: its number modulo their count."""
+    convs = _t(spark, sf, "conversations").agg((F.max("conv_id") + 1).alias("convs"))
+    c = _contexts(_t(spark, sf, "documents"))
+    fields = [x for x in c.columns if x != "doc_id"]
+    dealt = c.join(F.broadcast(convs), F.lit(True)).groupBy((F.col("doc_id") % F.col("convs")).alias("conv_id"))
+    lists = dealt.agg(F.array_sort(F.collect_list(F.struct("doc_id", F.struct(*fields).alias("c")))).alias("s"))
+    return _asked(spark, sf).join(lists.select("conv_id", F.transform("s", lambda x: x["c"]).alias("contexts")), "conv_id")
+
+
+Q_ASKED = f"""cv AS (SELECT conv_id, turn, role, {SAID} AS text FROM conversations),
+cs AS (SELECT q.conv_id, q.turn, concat(q.conv_id, '-', q.turn) AS k, q.text AS question, a.text AS answer FROM cv q JOIN cv a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user')"""
+Q_DEALT = "cx AS (SELECT k, doc_id AS pos, doc_id, source, lang, text AS dtext FROM cs JOIN documents ON doc_id % (SELECT max(conv_id) + 1 FROM conversations) = conv_id)"
+# letters beyond ASCII count as word characters on both sides
+Q_ASCII = "regexp_replace({}, '[^\\x00-\\x7F]', 'x', 'g')"
 
 
-@_query(f"""WITH {Q_CASES}, cl AS (SELECT conv_id, turn, doc_id, {q_evidence("concat_ws(' ', source, lang, '', dtext, '')")} AS ev, {q_numbers("concat_ws(' ', source, lang, '', dtext, '')")} AS en, unnest({q_claims('answer')}) AS c FROM cs),
-k AS (SELECT conv_id, turn, doc_id, ev, en, list_distinct({q_evidence('c')}) AS w, {q_numbers('c')} AS n, {" ".join(["regexp_replace(lower(c), '[*_`]+', '', 'g')"])} AS pl FROM cl),
-s AS (SELECT conv_id, turn, doc_id, CASE WHEN len(w) = 0 THEN 1.0 WHEN len(ev) = 0 THEN 0.0 ELSE len(list_intersect(w, ev)) / greatest(1, len(w)) * CASE WHEN len(list_filter(n, lambda x: NOT list_contains(en, x))) > 0 THEN 0.35 ELSE 1.0 END END AS s
-FROM k WHERE NOT (contains(pl, 'informasi lebih lanjut') AND (contains(pl, 'situs resmi') OR contains(pl, 'layanan pelanggan') OR contains(pl, 'hubungi')))),
-g AS (SELECT conv_id, turn, doc_id, avg(s) AS m, sum(CASE WHEN s >= 0.5 THEN 1 ELSE 0 END) AS ok, count(*) AS n FROM s GROUP BY ALL)
-SELECT conv_id, turn, doc_id, round(round((0.72 * m + 0.28 * ok / n) * CASE WHEN ok / n < 0.5 THEN greatest(0.25, ok / n) ELSE 1 END, 9), 3) AS lexical_score, CAST(ok AS BIGINT) AS supported_claims, n AS total_claims FROM g""")
+def q_count(c, pattern):
+    return f"len(regexp_extract_all({Q_ASCII.format(c)}, '{pattern}'))"
+
+
+def q_contains(c, marks):
+    return "(" + " OR ".join(f"contains(lower({c}), '{m}')" for m in marks) + ")"
+
+
+Q_NEUTRAL = "(contains(pl, 'informasi lebih lanjut') AND (contains(pl, 'situs resmi') OR contains(pl, 'layanan pelanggan') OR contains(pl, 'hubungi')))"
+Q_NO_ANSWER = (
+    "(contains(pl, 'tidak tersedia dalam konteks') OR contains(pl, 'tidak tersedia dalam dokumen') OR contains(pl, 'tidak tercantum dalam cuplikan') "
+    "OR contains(pl, 'tidak tersedia') AND contains(pl, 'konteks resmi') OR contains(pl, 'konteks resmi yang tersedia') AND contains(pl, 'tidak'))"
+)
+Q_PL = "regexp_replace(lower({}), '[*_`]+', '', 'g')"
+
+
+def q_lexical():
+    """Supports of the claims of ``cs`` by the contexts ``cx``, one by one and together."""
+    text = "concat_ws(' ', source, lang, '', dtext, '')"
+    return f"""tk AS MATERIALIZED (SELECT k, pos, doc_id, {text} AS body, {q_evidence(text)} AS ev, {q_numbers(text)} AS en, len({q_evidence('dtext')}) AS nt FROM cx),
+al AS (SELECT k, string_agg(body, ' ' ORDER BY pos) AS body, list_distinct(flatten(list(ev))) AS ev FROM tk GROUP BY k),
+e AS (SELECT k, list_distinct(ev) AS ev, en FROM tk UNION ALL SELECT k, ev, {q_numbers('body')} FROM al),
+cl AS (SELECT k, unnest({q_claims('answer')}) AS c, generate_subscripts({q_claims('answer')}, 1) AS cid FROM cs),
+w AS (SELECT k, cid, list_distinct({q_evidence('c')}) AS w, {q_numbers('c')} AS n FROM (SELECT *, {Q_PL.format('c')} AS pl FROM cl) WHERE NOT {Q_NEUTRAL}),
+s AS (SELECT k, cid, least(1.0, max(CASE WHEN len(w) = 0 THEN 1.0 WHEN e.ev IS NULL OR len(e.ev) = 0 THEN 0.0
+  ELSE len(list_intersect(w, e.ev)) / greatest(1, len(w)) * CASE WHEN len(list_filter(n, lambda x: NOT list_contains(e.en, x))) > 0 THEN 0.35 ELSE 1.0 END END)) AS s FROM w LEFT JOIN e USING (k) GROUP BY k, cid),
+g AS (SELECT k, avg(s) AS m, sum(CASE WHEN s >= 0.5 THEN 1 ELSE 0 END) AS ok, count(*) AS n FROM s GROUP BY k),
+lex AS (SELECT k, coalesce(round(round((0.72 * m + 0.28 * ok / n) * CASE WHEN ok / n < 0.5 THEN greatest(0.25, ok / n) ELSE 1 END, 9), 3), 0.0) AS lexical_score,
+  CAST(coalesce(ok, 0) AS BIGINT) AS supported_claims, coalesce(n, 0) AS total_claims FROM cs LEFT JOIN g USING (k))"""
+
+
+def q_quality(official):
+    return f"""cq AS (SELECT k, count(x.doc_id) AS nc, avg(CASE WHEN {official} THEN 1.0 ELSE 0.0 END) AS o, max(len(list_intersect(qt, x.ev)) / greatest(1, len(qt))) AS r, least(sum(x.nt) / 90.0, 1.0) AS n,
+  string_agg(CASE WHEN NOT ({official}) THEN concat('non_official_context:', doc_id) END, '|' ORDER BY pos) AS bad FROM (SELECT k, list_distinct({q_evidence('question')}) AS qt FROM cs) LEFT JOIN tk x USING (k) GROUP BY k),
+cqs AS (SELECT k, CASE WHEN nc > 0 THEN round(0.5 * o + 0.3 * r + 0.2 * n, 3) ELSE 0.0 END AS context_quality_score, CASE WHEN nc > 0 THEN coalesce(bad, '') ELSE 'no_retrieved_context' END AS warnings FROM cq)"""
+
+
+def q_specificity(attribution):
+    a, share = Q_ASCII.format("answer"), "least({} / {}, 1.0)"
+    steps = f"len(regexp_extract_all({a}, '(?m)^\\s*\\d+[.)]')) + {q_count('lower(answer)', lx.ACTIONS)}"
+    return rf"""sa AS (SELECT cs.k, {attribution} AS attr, {q_evidence('answer')} AS toks, list_distinct({q_evidence('question')}) AS asked, {steps} AS steps, {q_count('answer', '(?i)' + lx.DETAILS)} AS details, {q_any('answer', lx.UNSAFE_CLAIMS)} AS unsafe
+  FROM cs LEFT JOIN lex USING (k)),
+sb AS (SELECT *, len(list_intersect(asked, toks)) / greatest(1, len(asked)) AS overlap FROM sa),
+sc AS (SELECT *, 0.20 * {share.format('len(toks)', '60.0')} + 0.25 * {share.format('steps', '4.0')} + 0.35 * overlap + 0.20 * {share.format('details', '4.0')} AS v FROM sb),
+sd AS (SELECT *, CASE WHEN (overlap >= 0.55 AND steps >= 1 AND details >= 1) OR (attr >= 0.80 AND overlap >= 0.45) OR (details >= 1 AND overlap >= 0.35) THEN greatest(v, 0.52) ELSE v END AS v2 FROM sc),
+spec AS (SELECT k, CASE WHEN len(toks) = 0 THEN 0.0 ELSE round(greatest(0.0, least(CASE WHEN attr < 0.5 AND (steps >= 2 OR unsafe) THEN v2 * 0.45 ELSE v2 END, 1.0)), 3) END AS specificity_score FROM sd)"""
+
+
+def q_evaluated(official):
+    """The scores and routes of ``cs`` with contexts ``cx``, without semantic scores."""
+    t = lx.THRESHOLDS
+    fails = f"""list_filter([CASE WHEN {q_any('answer', lx.EXPLICIT_CLAIMS)} THEN 'explicit_clinical_claim' END, CASE WHEN asks AND NOT refused THEN 'individual_medical_advice_not_refused' END,
+  CASE WHEN asks AND refused THEN 'individual_medical_advice_request' END, CASE WHEN attribution_score < {t['review_a']} AND specificity_score >= {t['accept_s']} AND total_claims > 0 AND NOT {Q_NO_ANSWER} THEN 'low_attribution_specific_answer' END,
+  CASE WHEN contains(warnings, 'non_official_context') THEN 'non_official_context' END, CASE WHEN {q_any('answer', lx.UNSAFE_CLAIMS)} AND NOT refused THEN 'unsafe_actionable_medical_claim' END], lambda x: x IS NOT NULL)"""
+    return f"""{q_lexical()},
+{q_quality(official)},
+{q_specificity('round(0.4 * lexical_score, 3)')},
+al2 AS (SELECT cs.*, lexical_score, supported_claims, total_claims, round(0.4 * lexical_score, 3) AS attribution_score, specificity_score, context_quality_score, warnings,
+  {q_any('question', lx.MEDICAL_ADVICE)} AS asks, {q_contains('answer', lx.REFUSALS)} AS refused, {Q_PL.format('answer')} AS pl FROM cs JOIN lex USING (k) JOIN cqs USING (k) JOIN spec USING (k)),
+evaluated AS (SELECT *, array_to_string(fails, '|') AS hard_fails, CASE WHEN len(fails) > 0 THEN 'REJECT' WHEN attribution_score >= {t['accept_a']} AND specificity_score >= {t['accept_s']} AND context_quality_score >= {t['accept_c']} THEN 'ACCEPT'
+  WHEN (attribution_score >= {t['review_a']} AND context_quality_score >= {t['review_c']}) OR context_quality_score >= {t['accept_c']} THEN 'REVIEW' ELSE 'REJECT' END AS route FROM (SELECT *, {fails} AS fails FROM al2))"""
+
+
+@_query(f"WITH {Q_ASKED}, {Q_DEALT}, {q_lexical()} SELECT conv_id, turn, lexical_score, supported_claims, total_claims FROM lex JOIN cs USING (k)")
 def lexical_attribution(spark, sf):
-    got = _cases(spark, sf).select("conv_id", "turn", "doc_id", scoring.lexical_attribution(scoring.claim_supports("answer", F.col("contexts"))).alias("l"))
-    return got.select("conv_id", "turn", "doc_id", "l.lexical_score", F.col("l.supported_claims").cast("long").alias("supported_claims"), F.col("l.total_claims").cast("long").alias("total_claims"))
+    got = _cases(spark, sf).select("conv_id", "turn", scoring.lexical_attribution(scoring.claim_supports("answer", F.col("contexts"))).alias("l"))
+    return got.select("conv_id", "turn", "l.lexical_score", F.col("l.supported_claims").cast("long").alias("supported_claims"), F.col("l.total_claims").cast("long").alias("total_claims"))
 
 
-@_query(f"""WITH {Q_CASES}, k AS (SELECT *, list_distinct({q_evidence('question')}) AS qt, {q_evidence("concat_ws(' ', source, lang, '', dtext, '')")} AS ev, len({q_evidence("dtext")}) AS nt FROM cs)
-SELECT conv_id, turn, doc_id, round(0.5 * official + 0.3 * len(list_intersect(qt, ev)) / greatest(1, len(qt)) + 0.2 * least(nt / 90.0, 1.0), 3) AS context_quality_score,
-CASE WHEN official = 0 THEN concat('non_official_context:', doc_id) ELSE '' END AS warnings FROM k""")
+@_query(f"WITH {Q_ASKED}, {Q_DEALT}, {q_lexical()}, {q_quality('doc_id % 3 = 0')} SELECT conv_id, turn, context_quality_score, warnings FROM cqs JOIN cs USING (k)")
 def context_quality(spark, sf):
-    got = _cases(spark, sf).select("conv_id", "turn", "doc_id", scoring.context_quality("question", F.col("contexts"), ["example.org"]).alias("c"))
-    return got.select("conv_id", "turn", "doc_id", "c.context_quality_score", F.array_join("c.warnings", "|").alias("warnings"))
+    got = _cases(spark, sf).select("conv_id", "turn", scoring.context_quality("question", F.col("contexts"), ["example.org"]).alias("c"))
+    return got.select("conv_id", "turn", "c.context_quality_score", F.array_join("c.warnings", "|").alias("warnings"))
 
 
-@_query()
+@_query(f"WITH {Q_ASKED}, lex AS (SELECT k FROM cs), {q_specificity('0.6')} SELECT conv_id, turn, specificity_score FROM spec JOIN cs USING (k)")
 def specificity(spark, sf):
-    return _cases(spark, sf).select("conv_id", "turn", "doc_id", scoring.specificity("question", "answer", F.lit(0.6)).alias("specificity_score"))
+    return _asked(spark, sf).select("conv_id", "turn", scoring.specificity("question", "answer", F.lit(0.6)).alias("specificity_score"))
 
 
-@_query()
+@_query(f"WITH {Q_ASKED}, {Q_DEALT}, {q_evaluated('doc_id % 3 = 0')} SELECT conv_id, turn, route, attribution_score, specificity_score, context_quality_score, lexical_score, hard_fails, warnings FROM evaluated")
 def evaluate_cases(spark, sf):
     got = scoring.evaluate(_cases(spark, sf), domains=["example.org"])
-    return got.select("conv_id", "turn", "doc_id", "route", "attribution_score", "specificity_score", "context_quality_score", "lexical_score", F.array_join("hard_fails", "|").alias("hard_fails"), F.array_join("warnings", "|").alias("warnings"))
+    return got.select("conv_id", "turn", "route", "attribution_score", "specificity_score", "context_quality_score", "lexical_score", F.array_join("hard_fails", "|").alias("hard_fails"), F.array_join("warnings", "|").alias("warnings"))
 
 
 Q_PAIRS = "e AS (SELECT a.vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS s, (a.vec_id % 11) / 10.0 AS l FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
