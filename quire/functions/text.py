@@ -11,10 +11,24 @@ from pyspark.sql import functions as F
 from quire.functions import lexicon as lx
 
 
+def free_name(columns: Sequence[str], stem: str) -> str:
+    """``stem`` with underscores before it until none of ``columns`` has the name, whatever its case."""
+    name, taken = f"__{stem}", {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def _s(c) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def decode_utf8(content) -> Column:
+    """Bytes as text; bytes that aren't UTF-8 are left out, whatever else the file holds."""
+    t = (F.col(content) if isinstance(content, str) else content).cast("string")
+    return F.when(F.is_valid_utf8(t), t).otherwise(F.replace(F.make_valid_utf8(t), F.lit("\ufffd"), F.lit("")))
+
+
 def strip(c) -> Column:
     """Trim white space of any kind."""
     return F.regexp_replace(_s(c), r"(?U)^\s+|\s+$", "")

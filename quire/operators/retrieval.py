@@ -176,51 +176,39 @@ LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 def prune_context(ranked: DataFrame, query_key: str, position: str, text: str, max_tokens: int = 1200, max_chars: int | None = None) -> DataFrame:
     """(query_key, position, text): ranked texts without repeated lines, within token and character budgets.
 
-    A query's list is short by construction (its top k), so the fold runs over one array.
+    A line counts at its first place in the query's list, found as a least place over all rows, whatever a list's length. What is left of
+    the texts is then cut to the budgets one after another, which takes a fold over the texts of one query: a short list, its top k.
+    Rows with a null query or position are left out.
     """
     chars = max_tokens * 5 if max_chars is None else max_chars
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINES), tx.clean_line), lambda x: x != "")
-    listed = ranked.select(query_key, position, lines.alias("l")).groupBy(query_key).agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), "l"))).alias("c"))
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), LINES), tx.clean_line), lambda x: x != "")
+    each = ranked.where(F.col(query_key).isNotNull() & F.col(position).isNotNull()).select(F.col(query_key).alias("q"), F.col(position).alias("p"), F.posexplode(lines).alias("n", "line"))
+    first = each.groupBy("q", F.lower("line").alias("low")).agg(F.min(F.struct("p", "n", "line")).alias("f")).select("q", "f.*")
+    clean = first.groupBy("q", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("t"))
+    listed = clean.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("p", "t"))).alias("c"))
     start = F.struct(
-        F.array().cast("array<string>").alias("seen"),
         F.lit(0).alias("used"),
         F.lit(0).alias("chars"),
         F.lit(False).alias("done"),
         F.array().cast(f"array<struct<p:{dict(ranked.dtypes)[position]},t:string>>").alias("out"),
     )
 
-    def bind(v, f):
-        return F.transform(F.array(v), f)[0]
-
     def step(a, c):
-        fresh = F.aggregate(
-            c["l"],
-            F.struct(a["seen"].alias("seen"), F.array().cast("array<string>").alias("kept")),
-            lambda s, x: F.when(F.array_contains(s["seen"], F.lower(x)), s).otherwise(
-                F.struct(F.concat(s["seen"], F.array(F.lower(x))).alias("seen"), F.concat(s["kept"], F.array(x)).alias("kept"))
-            ),
+        left, room = F.lit(max_tokens) - a["used"], F.lit(chars) - a["chars"]
+        words = F.filter(F.split(c["t"], r"(?U)\s+"), lambda x: x != "")
+        cut = F.when(F.size(words) > left, F.array_join(F.slice(words, F.lit(1), F.greatest(left, F.lit(0))), " ")).otherwise(c["t"])
+        cut = F.substring(cut, F.lit(1), F.greatest(room, F.lit(0)))
+        stop = a["done"] | (left <= 0) | (room <= 0)
+        spent = F.struct(
+            (a["used"] + tx.approx_tokens(cut)).alias("used"),
+            (a["chars"] + F.length(cut)).alias("chars"),
+            F.lit(False).alias("done"),
+            F.concat(a["out"], F.array(F.struct(c["p"].alias("p"), cut.alias("t")))).alias("out"),
         )
+        return F.when(stop, F.struct(a["used"].alias("used"), a["chars"].alias("chars"), F.lit(True).alias("done"), a["out"].alias("out"))).otherwise(spent)
 
-        def spend(f):
-            clean = F.array_join(f["kept"], "\n")
-            left, room = F.lit(max_tokens) - a["used"], F.lit(chars) - a["chars"]
-            words = F.filter(F.split(clean, r"(?U)\s+"), lambda x: x != "")
-            cut = F.when(F.size(words) > left, F.array_join(F.slice(words, F.lit(1), F.greatest(left, F.lit(0))), " ")).otherwise(clean)
-            cut = F.substring(cut, F.lit(1), F.greatest(room, F.lit(0)))
-            stop = a["done"] | ((clean != "") & ((left <= 0) | (room <= 0)))
-            add = ~stop & (clean != "")
-            return F.struct(
-                f["seen"].alias("seen"),
-                F.when(add, a["used"] + tx.approx_tokens(cut)).otherwise(a["used"]).alias("used"),
-                F.when(add, a["chars"] + F.length(cut)).otherwise(a["chars"]).alias("chars"),
-                stop.alias("done"),
-                F.when(add, F.concat(a["out"], F.array(F.struct(c["p"].alias("p"), cut.alias("t"))))).otherwise(a["out"]).alias("out"),
-            )
-
-        return bind(fresh, spend)
-
-    folded = listed.select(query_key, F.aggregate("c", start, step)["out"].alias("out"))
-    return folded.select(query_key, F.explode("out").alias("o")).select(query_key, F.col("o.p").alias(position), F.col("o.t").alias("text"))
+    folded = listed.select("q", F.explode(F.aggregate("c", start, step)["out"]).alias("o"))
+    return folded.select(F.col("q").alias(query_key), F.col("o.p").alias(position), F.col("o.t").alias("text"))
 
 
 def embed_missing(chunks: DataFrame, cache: DataFrame, encode: Column, model: str, key: str = "chunk_id", text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import lexicon as lx
@@ -219,8 +219,14 @@ def with_pass(results: DataFrame) -> DataFrame:
     return results.withColumn("pass", F.when(has, F.col("route") == F.col("expected_route")))
 
 
-def zip_by_order(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
-    """Positional join: row n of one side with row n of the other, by explicit ordinals."""
-    a = left.withColumn("__n", F.row_number().over(Window.orderBy(left_order)))
-    b = right.withColumn("__n", F.row_number().over(Window.orderBy(right_order)))
-    return a.join(b, "__n").drop("__n")
+def semantic_scores(answered: DataFrame, key: str, encode, vectors: DataFrame) -> DataFrame:
+    """(key, semantic_score): the best cosine of each answer with one of its contexts, between 0 and 1.
+
+    Answers are encoded in batches; vectors of contexts come from ``vectors(chunk_id, embedding)``, such as an index's cache. A
+    context without a vector is passed over, an answer without any scores 0.
+    """
+    ids = answered.select(key, F.explode(F.transform("contexts", lambda c: c["chunk_id"])).alias("chunk_id")).distinct()
+    said = answered.select(key, encode(F.coalesce("answer", F.lit(""))).alias("__said"))
+    best = ids.join(vectors.select("chunk_id", "embedding"), "chunk_id").join(said, key).groupBy(key).agg(F.max(tx.cosine(F.col("__said"), F.col("embedding"))).alias("s"))
+    score = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("s"))), F.lit(0.0))
+    return answered.select(key).join(best, key, "left").select(key, score.alias("semantic_score"))

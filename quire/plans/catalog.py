@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import html, lexicon as lx, text as tx
-from quire.operators import chunking, generation, inverted, reporting, retrieval, router, scoring, tables
+from quire.operators import chunking, generation, inverted, ordering, reporting, retrieval, router, scoring, tables
 from quire.sources import io
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -393,21 +393,39 @@ def hybrid_chain(spark, sf):
     return got.select("item_id", "doc", F.col("bm25_rank").cast("long").alias("bm25_rank"), F.col("vector_rank").cast("long").alias("vector_rank"), "rrf_score", F.col("position").cast("long").alias("position"))
 
 
-@_query()
+Q_CLEAN_LINES = r"""l AS (SELECT doc_id // 4 AS query_id, doc_id % 4 AS position, unnest(ls) AS x, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r]') AS ls FROM documents)),
+c AS (SELECT query_id, position, n, regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS line FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(line) ORDER BY position, n) AS rn FROM c WHERE length(line) >= 3 AND NOT regexp_matches(line, '^[^\p{L}\p{N}]+$')),
+t AS (SELECT query_id, position, string_agg(line, chr(10) ORDER BY n) AS text FROM k WHERE rn = 1 GROUP BY query_id, position)"""
+
+
+@_query(rf"""WITH RECURSIVE {Q_CLEAN_LINES},
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS i FROM t),
+r AS (SELECT query_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS chars, false AS done, CAST(NULL AS BIGINT) AS position, '' AS cut FROM (SELECT DISTINCT query_id FROM o)
+UNION ALL SELECT query_id, i, CASE WHEN done THEN used ELSE used + len(regexp_extract_all(cut, '[\p{{L}}\p{{N}}_]+')) END, CASE WHEN done THEN chars ELSE chars + length(cut) END, done, CASE WHEN NOT done THEN position END, cut
+FROM (SELECT o.query_id, o.i, o.position, r.used, r.chars, r.done OR r.used >= 300 OR r.chars >= 1500 AS done,
+  substr(CASE WHEN len(ws) > 300 - r.used THEN array_to_string(ws[1 : greatest(300 - r.used, 0)], ' ') ELSE o.text END, 1, greatest(1500 - r.chars, 0)) AS cut
+  FROM r JOIN (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM o) o ON o.query_id = r.query_id AND o.i = r.i + 1))
+SELECT query_id, position, cut AS text FROM r WHERE position IS NOT NULL""")
 def prune_context(spark, sf):
     d = _t(spark, sf, "documents").select(F.floor(F.col("doc_id") / 4).alias("query_id"), (F.col("doc_id") % 4).alias("position"), "text")
     return retrieval.prune_context(d, "query_id", "position", "text", 300)
 
 
-@_query(r"""WITH l AS (SELECT doc_id // 4 AS query_id, doc_id % 4 AS position, unnest(ls) AS x, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r]') AS ls FROM documents)),
-c AS (SELECT query_id, position, n, regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS line FROM l),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(line) ORDER BY position, n) AS rn FROM c WHERE length(line) >= 3 AND NOT regexp_matches(line, '^[^\p{L}\p{N}]+$'))
-SELECT query_id, position, string_agg(line, chr(10) ORDER BY n) AS text FROM k WHERE rn = 1 GROUP BY query_id, position""")
+@_query(f"WITH {Q_CLEAN_LINES} SELECT query_id, position, text FROM t")
 def prune_dedup(spark, sf):
     d = _t(spark, sf, "documents").select(F.floor(F.col("doc_id") / 4).alias("query_id"), (F.col("doc_id") % 4).alias("position"), "text")
     return retrieval.prune_context(d, "query_id", "position", "text", 1 << 28, 1 << 30)
 
 
+@_query("""SELECT a.doc_id, b.vec_id, a.n AS place FROM (SELECT doc_id, row_number() OVER (ORDER BY text, doc_id) AS n FROM documents) a JOIN (SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) AS n FROM embeddings) b USING (n)""")
+def positional_zip(spark, sf):
+    """The n-th document by text with the n-th vector by label."""
+    d = ordering.numbered(_t(spark, sf, "documents").select("doc_id", "text"), ["text", "doc_id"], "n")
+    e = ordering.numbered(_t(spark, sf, "embeddings").select("vec_id", "label"), ["label", "vec_id"], "n")
+    return d.join(e, "n").select("doc_id", "vec_id", (F.col("n") + 1).alias("place"))
+
+
 # --- evaluation ------------------------------------------------------------------------
 def _asked(spark, sf) -> DataFrame:
     """(conv_id, turn, question, answer): each user's turn with the assistant's next one."""
@@ -542,6 +560,19 @@ def hybrid_attribution(spark, sf):
     return _pairs(spark, sf).select("vec_id", F.col("s").alias("semantic_score"), scoring.blend(F.col("s"), F.col("l")).alias("attribution_score"))
 
 
+@_query("""WITH c AS (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 4)
+SELECT vec_id AS case_id, round(greatest(0.0, least(1.0, max(s))), 6) AS semantic_score FROM c GROUP BY vec_id""")
+def semantic_cases(spark, sf):
+    """Each vector as an answer, the four after it as those of its contexts."""
+    e = _t(spark, sf, "embeddings")
+    ids = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct((F.col("vec_id") + i).cast("string").alias("chunk_id")))
+    answered = e.select(F.col("vec_id").alias("case_id"), F.col("vec_id").cast("string").alias("answer"), ids.alias("contexts"), "embedding")
+    vectors = e.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    held = answered.join(vectors.select((F.col("chunk_id").cast("long") - 1).alias("case_id")), "case_id", "left_semi")
+    got = scoring.semantic_scores(held, "case_id", lambda text: F.col("embedding"), vectors)
+    return got.select("case_id", F.round("semantic_score", 6).alias("semantic_score"))
+
+
 @_query("""SELECT doc_id, CASE WHEN toxic = 1 AND doc_id % 2 = 0 THEN 'REJECT' WHEN a >= 0.78 AND s >= 0.5 AND c >= 0.7 THEN 'ACCEPT' WHEN (a >= 0.45 AND c >= 0.45) OR c >= 0.7 THEN 'REVIEW' ELSE 'REJECT' END AS route
 FROM (SELECT doc_id, toxic, (doc_id % 101) / 100.0 AS a, (doc_id % 89) / 88.0 AS s, (doc_id % 53) / 52.0 AS c FROM labels)""")
 def decide_routes(spark, sf):

@@ -29,22 +29,28 @@ def build_chunk_table(elements: DataFrame, path: str, max_words: int = 220, over
     return elements.sparkSession.read.parquet(path)
 
 
-def run_eval(spark: SparkSession, cases: DataFrame, chunks: DataFrame, out: str | None = None, key: str = "question_id", ids: str = "retrieved_context_ids", thresholds=None) -> tuple[DataFrame, DataFrame]:
+def run_eval(spark: SparkSession, cases: DataFrame, chunks: DataFrame, out: str | None = None, key: str = "question_id", ids: str = "retrieved_context_ids", thresholds=None, index: HybridIndex | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, one-row summary) of cases with question, answer, expected_route and context ids; written under ``out`` if given."""
-    return run_experiment(spark, scoring.resolve_contexts(cases, key, ids, chunking.last_wins(chunks)), out, key, thresholds)[:2]
+    return run_experiment(spark, scoring.resolve_contexts(cases, key, ids, chunking.last_wins(chunks)), out, key, thresholds, index=index)[:2]
 
 
-def run_experiment(spark: SparkSession, answered: DataFrame, out: str | None = None, key: str = "question_id", thresholds=None, strict: bool = False) -> tuple[DataFrame, DataFrame, bool]:
+def run_experiment(spark: SparkSession, answered: DataFrame, out: str | None = None, key: str = "question_id", thresholds=None, strict: bool = False, index: HybridIndex | None = None) -> tuple[DataFrame, DataFrame, bool]:
     """(results, one-row summary, passed) of ``answered(key, question, answer, expected_route, contexts)``.
 
     ``out`` gets results, summary and, where contexts carry their ranks, a debug trace with previews of them. ``passed`` is
-    always true unless ``strict``, which asks that every case has its expected route.
+    always true unless ``strict``, which asks that every case has its expected route. With ``index`` answers are encoded by its
+    encoder and compared with its vectors of their contexts; without one semantic scores are 0. Keys are unique.
     """
     if out:
         # answers may come from a chat service: they are asked for once
         answered.write.mode("overwrite").parquet(f"{out}/answers")
         answered = spark.read.parquet(f"{out}/answers")
-    scored = scoring.with_pass(scoring.evaluate(answered, thresholds=thresholds or io.load_thresholds()))
+    semantic = None
+    if index is not None:
+        name = "__semantic"
+        answered = answered.join(scoring.semantic_scores(answered, key, index.encode, index.vectors).withColumnRenamed("semantic_score", name), key)
+        semantic = F.col(name)
+    scored = scoring.with_pass(scoring.evaluate(answered, semantic, thresholds=thresholds or io.load_thresholds())).drop("__semantic")
     results = scored.drop("contexts")
     if out:
         results.write.mode("overwrite").parquet(f"{out}/results")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import html, lexicon
-from quire.functions.text import clean_text
+from quire.functions.text import clean_text, decode_utf8
 from quire.operators.tables import dedup_tables, table_to_structured_text
 
 CATALOG_COLUMNS = (
@@ -57,8 +57,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def write_jsonl(df: DataFrame, path: str, order: str | None = None, single: bool = False) -> None:
-    out = df.orderBy(order).drop(order) if order else df
-    (out.coalesce(1) if single else out).write.option("ignoreNullFields", "false").mode("overwrite").json(path)
+    """JSON lines. With ``order`` the files' names sort as their rows do: reading them one after another gives the order.
+
+    Rows are range-partitioned by ``order``, so however many there are, no task gets them all; equal values stay in one file.
+    ``single`` is for reports of few rows.
+    """
+    if order:
+        df = df.repartitionByRange(order).sortWithinPartitions(order).drop(order)
+    (df.coalesce(1) if single else df).write.option("ignoreNullFields", "false").mode("overwrite").json(path)
 
 
 def read_catalog(spark: SparkSession, path: str, columns=CATALOG_COLUMNS) -> DataFrame:
@@ -103,16 +109,15 @@ def extract_documents(catalog: DataFrame, files: DataFrame, reader: Callable | N
 
     ``files(local_path, content, kind)``; missing and empty files are skipped. ``reader`` gives the elements of a PDF as
     ``pdf_reader`` does; the tables of a page become structured text, numbered from 1, without repeated ones. A PDF that cannot be
-    read falls back on its HTML or its text and names the error; one file never fails the others.
+    read falls back on its HTML or its text and names the error; one file never fails the others. Bytes that aren't UTF-8 are left out.
     """
     joined = catalog.join(files.where(F.length("content") > 0), "local_path")
     columns = [*METADATA, "page", "kind", "no", "raw", "cells", "error"]
     none = {"page": "int", "no": "int", "cells": "array<array<string>>", "error": "string"}
-    plain = joined.where(F.col("kind") != "pdf").withColumn("raw", F.decode("content", "UTF-8")).withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+    plain = joined.where(F.col("kind") != "pdf").withColumn("raw", decode_utf8("content")).withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
 
     def pages(batches):
         for pdf in batches:
-            out = []
             for row in pdf.itertuples(index=False):
                 meta, mine = [getattr(row, c) for c in METADATA], []
                 try:
@@ -127,8 +132,8 @@ def extract_documents(catalog: DataFrame, files: DataFrame, reader: Callable | N
                     raw = bytes(row.content).decode("utf-8", "ignore")
                     marked = any(m in raw.lower() for m in ("<html", "<!doctype"))
                     mine = [(*meta, None, "html" if marked else "text", None, raw, None, str(e))]
-                out += mine
-            yield pd.DataFrame(out, columns=columns).astype({"page": "Int32", "no": "Int32"})
+                # file by file: a batch's tables are not held together
+                yield pd.DataFrame(mine, columns=columns).astype({"page": "Int32", "no": "Int32"})
 
     schema = ", ".join([*(f"{c} string" for c in METADATA), "page int, kind string, no int, raw string, cells array<array<string>>, error string"])
     read = joined.where("kind = 'pdf'").select(*METADATA, "content").mapInPandas(pages, schema)
