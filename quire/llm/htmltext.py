@@ -51,8 +51,8 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: A winning path counts on a page only if it holds this share of the text of the page's own best container.
-LEAST_SHARE = 0.25
+#: A winning path inside the page's own best container counts only if it holds this share of that container's text.
+LEAST_SHARE = 0.8
 _HIDE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -233,16 +233,25 @@ def best_path(page: str) -> tuple[str, float] | None:
 
 
 def extract_text(page: str, paths: list[str]) -> str:
-    """Blocks under the first of ``paths`` that holds ``LEAST_SHARE`` of the text of the page's best container, else under that container."""
+    """Blocks under the first of ``paths`` that the page has, and what the page's own best container adds to them.
+
+    A path that lies within that container narrows it only if it holds ``LEAST_SHARE`` of its text, so an article in several parts is not
+    cut to one of them. A path beside it adds to it, since both are where articles of the host are; one around it takes its place.
+    """
     blocks, nodes = parse_blocks(page)
     best = max(nodes, key=lambda n: (_worth(n), n.depth), default=None)
-    own = [t for t, inside in blocks if best is None or best.good <= 0 or best in inside]
-    least = LEAST_SHARE * sum(map(len, own))
+    if best is None or best.good <= 0:
+        return "\n".join(t for t, _ in blocks)
+    own = [best in inside for _, inside in blocks]
+    whole = sum(len(t) for (t, _), x in zip(blocks, own) if x)
     for path in paths:
-        got = [t for t, inside in blocks if any(n.path == path for n in inside)]
-        if got and sum(map(len, got)) >= least:
-            return "\n".join(got)
-    return "\n".join(own)
+        won = [any(n.path == path for n in inside) for _, inside in blocks]
+        if any(won):
+            held = sum(len(t) for (t, _), x, y in zip(blocks, own, won) if x and y)
+            if held < LEAST_SHARE * whole:
+                won = [x or y for x, y in zip(own, won)]
+            return "\n".join(t for (t, _), x in zip(blocks, won) if x)
+    return "\n".join(t for (t, _), x in zip(blocks, own) if x)
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: float = 0.05) -> DataFrame:
@@ -274,7 +283,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(id_col, url_col, text) of every page, by the winning paths of its host.
 
     Blocks are in page order, one a line, white space folded, references decoded. A page that
-    has none of the paths, or only a small part of its text under them, falls back on its own best container. Null or empty html gives an
+    has none of the paths falls back on its own best container, and one that has more outside the path than in it keeps both. Null or empty html gives an
     empty text; pages without a host in their url form one host; repeated rows are kept; other
     columns are ignored.
     """

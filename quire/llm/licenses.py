@@ -97,7 +97,9 @@ TEMPLATES: tuple[Template, ...] = (
     *_family("BSD-3-Clause", ("license", "bsd-style"), (), "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     *_family("CC-BY-4.0", ("license", "attribution", "4.0"), ("sharealike", "share-alike", "attribution-sharealike", "noncommercial", "attribution-noncommercial", "noderivatives"), f"{_LICENSED} Creative Commons Attribution 4.0 International License."),
     *_family("CC-BY-SA-4.0", ("license", "attribution-sharealike", "4.0"), (), f"{_LICENSED} Creative Commons Attribution-ShareAlike 4.0 International License."),
+    *_family("CC-BY-NC-4.0", ("license", "attribution-noncommercial", "4.0"), (), f"{_LICENSED} Creative Commons Attribution-NonCommercial 4.0 International License."),
     *_family("CC0-1.0", ("domain", "cc0"), (), "This work is dedicated to the public domain under CC0 1.0 Universal."),
+    *_family("EPL-2.0", ("license", "eclipse", "2.0"), (), "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0.", "Eclipse Public License - v 2.0"),
     *_family("GPL-2.0", ("license", "general", "2"), ("lesser", "library", "affero", "3"), *_gnu("General Public License", "2"), f"{_LICENSED} GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     *_family("GPL-3.0", ("license", "general", "3"), ("lesser", "library", "affero", "2"), *_gnu("General Public License", "3"), f"{_LICENSED} GNU General Public License, version 3.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     *_family("ISC", ("permission", "fee"), (), _ISC, _ISC + _ISC_END),
@@ -111,6 +113,13 @@ TEMPLATES: tuple[Template, ...] = (
 )
 #: Every template demands one of the terms license, permission, redistribution and domain, so a passage without these resembles none.
 CUES = r"(?i)license|permission|redistribution|domain"
+#: A passage that says so of the work is no notice.
+NEGATED = r"(?i)\b(?:not|never|no longer)\s+(?:[a-z]+\s+){0,3}(?:licensed|released|distributed|published|available|covered)\s+(?:under|by)\b"
+#: An expression of identifiers; what follows WITH is an exception and no licence.
+DECLARED = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]+)"
+EXCEPTION, IDENTIFIER, OPERATOR = r"(?i)\bwith[ \t]+[A-Za-z0-9.-]+", r"[A-Za-z0-9][A-Za-z0-9.+-]*", r"(?i)^(?:and|or)$"
+#: What an identifier says of versions, which the templates' identifiers leave out.
+VERSIONS = r"(?i)(?:-only|-or-later|\+)$"
 NOT_TERM = r"[^a-z0-9.+-]+"
 #: What begins a line of comment, and what ends one.
 COMMENT = r"[ \t]*(?://+|/\*+|\*+/?|#+|;+|--+|%+|<!--|\.\.)"
@@ -127,10 +136,19 @@ def _passages(text: Column) -> Column:
     blocks = F.regexp_extract_all(text, F.lit(rf"(?m)((?:^{COMMENT}[^\n]*(?:\n|$))+)"), F.lit(1))
     paragraphs = F.split(text, r"\n(?:[ \t]*\n)+")
     lines = F.split(text, r"\n")
-    every = F.filter(F.concat(F.array(text), blocks, paragraphs, lines), lambda x: x.rlike(CUES))
+    every = F.filter(F.concat(F.array(text), blocks, paragraphs, lines), lambda x: x.rlike(CUES) & ~x.rlike(NEGATED))
     return F.array_distinct(F.transform(every, lambda x: F.regexp_replace(F.regexp_replace(x, rf"(?m)^{COMMENT}+", " "), r"\s+", " ")))
 
 
+def _declared(text: Column) -> Column:
+    """Identifiers of the text's SPDX expressions, those of templates in their spelling."""
+    known = F.create_map(*[F.lit(x) for i in sorted({t.license_id for t in TEMPLATES}) for x in (i.lower(), i)])
+    expressions = F.transform(F.regexp_extract_all(text, F.lit(DECLARED), F.lit(1)), lambda x: F.regexp_extract_all(F.regexp_replace(x, EXCEPTION, ""), F.lit(IDENTIFIER), F.lit(0)))
+    names = F.filter(F.flatten(expressions), lambda x: ~x.rlike(OPERATOR))
+    plain = F.transform(names, lambda x: F.regexp_replace(x, VERSIONS, ""))
+    return F.array_distinct(F.transform(plain, lambda x: F.coalesce(known[F.lower(x)], x)))
+
+
 def template_terms() -> list[tuple[int, str, str, int, bool, bool]]:
     """(t, license_id, term, tf, must, never) of each template's terms, and of those it forbids, with tf 0."""
     import re
@@ -145,9 +163,11 @@ def template_terms() -> list[tuple[int, str, str, int, bool, bool]]:
 
 
 def scan_notices(files: DataFrame, key: str, text_col: str = "text", min_score: float = 0.6, min_margin: float = 0.01) -> DataFrame:
-    """(key, license_id, score): the best template of each file that resembles one.
+    """(key, license_id, score, licenses) of each file that declares a licence or resembles a template.
 
-    A file's passages are its whole text, its blocks of comment, its paragraphs and its lines, so a header is one
+    Identifiers of SPDX-License-Identifier lines count as they are, with score 1; the smallest is the license_id. Without one it is the
+    best template's. ``licenses`` has all that are declared or that a passage resembles, in alphabetical order. A passage that says the
+    work is not under a licence is none. A file's passages are its whole text, its blocks of comment, its paragraphs and its lines, so a header is one
     however long the file is. Passages and templates are vectors of term counts times ln((1 + N) / (1 + df)) + 1,
     with N and df over the passages of all files that hold a cue; terms of no template weigh ``OTHER``. A template counts only if the passage holds all
     terms that its licence demands, such as the version, and none that it forbids, such as lesser. Every licence
@@ -188,7 +208,10 @@ def scan_notices(files: DataFrame, key: str, text_col: str = "text", min_score:
     ranked = by.groupBy("k", "m").agg(F.sort_array(F.collect_list(F.struct("s", "license_id"))).alias("r"))
     best, second = F.col("r")[0], F.get("r", F.lit(1))
     sure = (best["s"] <= -min_score) & (second.isNull() | (second["s"] - best["s"] >= min_margin))
-    return ranked.where(sure).groupBy("k").agg(F.min(best).alias("b")).select(F.col("k").alias(key), F.col("b.license_id").alias("license_id"), (-F.col("b.s")).alias("score"))
+    told = ranked.where(sure).select("k", F.lit(1).alias("kind"), best["s"].alias("s"), best["license_id"].alias("l"))
+    declared = cued.select("k", F.lit(0).alias("kind"), F.lit(-1.0).alias("s"), F.explode(_declared(F.col("t"))).alias("l"))
+    per = told.unionByName(declared).groupBy("k").agg(F.min(F.struct("kind", "s", "l")).alias("b"), F.array_sort(F.collect_set("l")).alias("licenses"))
+    return per.select(F.col("k").alias(key), F.col("b.l").alias("license_id"), (-F.col("b.s")).alias("score"), "licenses")
 
 
 def _parent(path: Column) -> Column:
@@ -196,7 +219,7 @@ def _parent(path: Column) -> Column:
 
 
 def inherit_licenses(files: DataFrame, path_col: str = "path") -> DataFrame:
-    """Fill license_id of ``files(path, license_id, score, is_license_file, ...)`` from the nearest ancestor directory.
+    """Fill license_id of ``files(path, license_id, score, licenses, is_license_file, ...)`` from the nearest ancestor directory.
 
     Adds origin (``own``, ``inherited`` or ``none``) and license_path. A file's own licence
     wins; else the licence file in its directory or the nearest one above it counts; of
@@ -225,19 +248,20 @@ def inherit_licenses(files: DataFrame, path_col: str = "path") -> DataFrame:
             "origin": F.when(own, "own").when(got, "inherited").otherwise("none"),
             "license_path": F.when(own, F.col(path_col)).otherwise(F.col("b.p")),
             "license_id": F.coalesce("license_id", F.col("b.l")),
+            "licenses": F.when(own, F.col("licenses")).when(got, F.array("b.l")),
             "score": F.when(own, F.col("score")).otherwise(-F.col("b.s")),
         }
     ).drop("__dir", "b")
 
 
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", license_file_pattern: str = r"(?i)(^|/)(licen[sc]e|copying)(\.[a-z]+)?$", min_score: float = 0.6) -> DataFrame:
-    """Own and inherited licences of ``files(path, text, ...)``: all rows, with license_id, score, origin, license_path.
+    """Own and inherited licences of ``files(path, text, ...)``: all rows, with license_id, score, licenses, origin, license_path.
 
     Null and empty texts have no licence of their own; files with a null path are only scanned
     if another column is given as key to ``scan_notices``; repeated rows are kept; columns of the
     added names are replaced; an empty table gives no rows.
     """
-    files = files.drop("license_id", "score", "origin", "license_path", "is_license_file")
+    files = files.drop("license_id", "score", "licenses", "origin", "license_path", "is_license_file")
     own = scan_notices(files.where(F.col(path_col).isNotNull()), path_col, text_col, min_score)
     named = F.coalesce(F.col(path_col).rlike(license_file_pattern), F.lit(False))
     return inherit_licenses(files.join(own, path_col, "left").withColumn("is_license_file", named), path_col).drop("is_license_file")

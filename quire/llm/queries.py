@@ -12,7 +12,7 @@ from quire.llm.decontam import contaminated_passages
 from quire.llm.embeddings import embedding_groups
 from quire.llm.htmltext import extract_pages
 from quire.llm.langid import fit_languages, identify_language
-from quire.llm.licenses import COMMENT, CUES, OTHER, scan_licenses, template_terms
+from quire.llm.licenses import COMMENT, CUES, DECLARED, EXCEPTION, IDENTIFIER, NEGATED, OPERATOR, OTHER, TEMPLATES, VERSIONS, scan_licenses, template_terms
 from quire.llm.mixing import WORDS, mix_sources
 from quire.llm.quality import fit_quality, score_quality
 from quire.llm.sharding import shard_documents
@@ -98,7 +98,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = F.when(level == 0, dirs[0]).when(level == 1, F.concat_ws("/", *dirs[:2])).otherwise(F.concat_ws("/", *dirs))
     path = F.when(is_license, F.concat(home, F.lit("/LICENSE-"), "doc_id")).otherwise(F.concat(F.concat_ws("/", *dirs), F.lit("/"), "doc_id"))
     out = scan_licenses(docs.withColumn("path", path), license_file_pattern=r"(^|/)LICENSE-\d+$")
-    return out.select("doc_id", "path", "license_id", "score", "origin", "license_path")
+    return out.select("doc_id", "path", "license_id", "score", F.array_join("licenses", ",").alias("licenses"), "origin", "license_path")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +194,7 @@ FROM d LEFT JOIN e USING (source, lang, topic)"""
 def _op7_sql(min_score: float = 0.6, min_margin: float = 0.01) -> str:
     terms = "list_filter(list_transform(string_split_regex(lower(p), '[^a-z0-9.+-]+'), lambda x: trim(x, '.+-')), lambda x: x <> '')"
     given = ", ".join(f"({t}, '{i}', '{w}', {n}, {m}, {v})" for t, i, w, n, m, v in template_terms())
+    known = ", ".join(f"('{i.lower()}', '{i}')" for i in sorted({t.license_id for t in TEMPLATES}))
     return f"""WITH f AS (SELECT doc_id, text, source, lang, CAST(doc_id // 100 AS VARCHAR) AS blk,
   coalesce(regexp_matches(text, '{CUES}') AND len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) <= 40, false) AS lic FROM documents),
 files AS (SELECT doc_id, text, lic, CASE WHEN NOT lic THEN concat(source, '/', lang, '/', blk) WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN concat(source, '/', lang)
@@ -201,7 +202,7 @@ files AS (SELECT doc_id, text, lic, CASE WHEN NOT lic THEN concat(source, '/', l
 named AS (SELECT *, concat(dir, CASE WHEN lic THEN '/LICENSE-' ELSE '/' END, doc_id) AS path FROM files),
 raw AS (SELECT path, unnest(list_concat([text], regexp_extract_all(text, '(?m)((?:^{COMMENT}[^\\n]*(?:\\n|$))+)', 1), string_split_regex(text, '\\n(?:[ \\t]*\\n)+'), string_split(text, chr(10)))) AS p
   FROM named WHERE regexp_matches(text, '{CUES}')),
-pass AS (SELECT DISTINCT path, regexp_replace(regexp_replace(p, '(?m)^{COMMENT}+', ' ', 'g'), '\\s+', ' ', 'g') AS p FROM raw WHERE regexp_matches(p, '{CUES}')),
+pass AS (SELECT DISTINCT path, regexp_replace(regexp_replace(p, '(?m)^{COMMENT}+', ' ', 'g'), '\\s+', ' ', 'g') AS p FROM raw WHERE regexp_matches(p, '{CUES}') AND NOT regexp_matches(p, '{NEGATED}')),
 tf AS (SELECT path, p, term, count(*) AS tf FROM (SELECT path, p, unnest({terms}) AS term FROM pass) GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM (SELECT DISTINCT path, p FROM tf)), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 g AS (SELECT v.*, ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1 AS idf FROM (VALUES {given}) v(t, l, term, c, must, never) LEFT JOIN df USING (term), n),
@@ -212,12 +213,16 @@ sc AS (SELECT path, p, t, l, sum(x * c * idf / norm) / any_value(size) AS s, any
   FROM own JOIN g USING (term) JOIN tn USING (t) JOIN size USING (path, p) GROUP BY path, p, t, l),
 byl AS (SELECT path, p, l, round(least(1.0, max(s)), 6) AS s FROM sc WHERE held = asked AND barred = 0 GROUP BY path, p, l),
 top AS (SELECT *, row_number() OVER w AS rn, lead(s) OVER w AS second FROM byl WINDOW w AS (PARTITION BY path, p ORDER BY s DESC, l)),
-best AS (SELECT path, l AS license_id, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY s DESC, l) AS place FROM top
-  WHERE rn = 1 AND s >= {min_score} AND (second IS NULL OR s - second >= {min_margin})) WHERE place = 1),
-a AS (SELECT named.*, license_id AS own_id, score AS own_score FROM named LEFT JOIN best USING (path)),
+told AS (SELECT path, 1 AS kind, s, l FROM top WHERE rn = 1 AND s >= {min_score} AND (second IS NULL OR s - second >= {min_margin})),
+ids AS (SELECT path, unnest(regexp_extract_all(regexp_replace(x, '{EXCEPTION}', '', 'g'), '{IDENTIFIER}')) AS i FROM (SELECT path, unnest(regexp_extract_all(text, '{DECLARED}', 1)) AS x FROM named)),
+decl AS (SELECT path, 0 AS kind, 1.0 AS s, coalesce(known, i) AS l FROM (SELECT path, regexp_replace(i, '{VERSIONS}', '') AS i FROM ids WHERE NOT regexp_matches(i, '{OPERATOR}')) LEFT JOIN (VALUES {known}) v(low, known) ON lower(i) = low),
+every AS (SELECT * FROM told UNION ALL SELECT * FROM decl),
+best AS (SELECT path, l AS license_id, s AS score, ls FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY kind, s DESC, l) AS place FROM every) JOIN
+  (SELECT path, array_to_string(list_sort(list_distinct(list(l))), ',') AS ls FROM every GROUP BY path) USING (path) WHERE place = 1),
+a AS (SELECT named.*, license_id AS own_id, score AS own_score, ls FROM named LEFT JOIN best USING (path)),
 held AS (SELECT dir AS up, path AS hp, own_id AS hl, own_score AS hs FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) AS rn FROM a WHERE lic AND own_id IS NOT NULL) WHERE rn = 1),
 near AS (SELECT dir, hp, hl, hs FROM (SELECT d.dir, h.*, row_number() OVER (PARTITION BY d.dir ORDER BY length(up) DESC) AS rn FROM (SELECT DISTINCT dir FROM a) d JOIN held h ON d.dir = h.up OR starts_with(d.dir, concat(h.up, '/'))) WHERE rn = 1)
-SELECT doc_id, path, coalesce(own_id, hl) AS license_id, CASE WHEN own_id IS NOT NULL THEN own_score ELSE hs END AS score,
+SELECT doc_id, path, coalesce(own_id, hl) AS license_id, CASE WHEN own_id IS NOT NULL THEN own_score ELSE hs END AS score, coalesce(ls, hl) AS licenses,
   CASE WHEN own_id IS NOT NULL THEN 'own' WHEN hl IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN own_id IS NOT NULL THEN path ELSE hp END AS license_path
 FROM a LEFT JOIN near USING (dir)"""
 
