@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from quire.functions import text as tx
 from quire.operators import chunking, retrieval
+from quire.operators.inverted import InvertedIndex, build_inverted
 from quire.sources import io
 
 CACHE = "model string, chunk_id string, digest string, embedding array<float>"
@@ -67,16 +68,22 @@ def build_index(chunks: DataFrame, path: str, encode: Callable[[Column], Column]
 
 @dataclass(frozen=True)
 class HybridIndex:
-    """Chunks, one of each id, with their vectors and the encoder for questions."""
+    """Chunks, one of each id, with their vectors, their kept inverted index and the encoder for questions."""
 
     chunks: DataFrame
     vectors: DataFrame
+    terms: InvertedIndex
     encode: Callable[[Column], Column]
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str, encode: Callable[[Column], Column], model: str, recreate: bool = False) -> HybridIndex:
+        """Vectors are kept at ``path``, the inverted index beside it, so that a search reads the texts of its results alone."""
         one = chunking.last_wins(chunks)
-        return cls(one, build_index(one, path, encode, model, recreate), encode)
+        ids = one.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.xxhash64("chunk_id")).alias("told")).first()
+        if ids["n"] != ids["told"]:
+            raise ValueError("two chunk ids have one 64-bit hash, by which vectors are found: rename one of them")
+        terms = build_inverted(one, "chunk_id", tx.tokenize_retrieval(search_text()), f"{path.rstrip('/')}_terms")
+        return cls(one, build_index(one, path, encode, model, recreate), terms, encode)
 
     @classmethod
     def from_jsonl(cls, spark: SparkSession, chunks: str, schema: T.StructType | str, path: str, encode: Callable[[Column], Column], model: str) -> HybridIndex:
@@ -85,15 +92,16 @@ class HybridIndex:
     def retrieve(self, questions: DataFrame, key: str, question: str, top_k: int = 4, candidate_k: int = 20, chunk_types: Sequence[str] | None = None, prune: bool = True) -> DataFrame:
         """(key, position, bm25_rank, vector_rank, rrf_score) and the columns of the chunk, best ``top_k`` of each question.
 
-        Expanded questions meet BM25 over search texts and exact cosine; both lists are fused, filtered by type after the fusion,
-        and pruned, which drops chunks that repeat others. Keys and chunks are numbered by a 64-bit hash of their ids; equal scores go by it.
+        Expanded questions meet the inverted index of the search texts and exact cosine; both lists are fused, filtered by type after the fusion,
+        and pruned, which drops chunks that repeat others. Equal scores go by the chunk's id, of vectors by its hash.
         Questions are unique by key; a null key is left out.
         """
         asked = questions.where(F.col(key).isNotNull()).select(F.col(key), F.xxhash64(key).alias("q"), tx.expand_query(question).alias("asked"))
-        docs = self.chunks.withColumn("doc", F.xxhash64("chunk_id"))
-        listed = retrieval.bm25_search(asked, "q", tx.tokenize_retrieval("asked"), docs, "doc", tx.tokenize_retrieval(search_text()), candidate_k)
-        vectors = self.vectors.select(F.xxhash64("chunk_id").alias("doc"), "embedding")
+        listed = self.terms.search(asked, "q", tx.tokenize_retrieval("asked"), candidate_k)
+        vectors = self.vectors.select(F.xxhash64("chunk_id").alias("doc"), "chunk_id", "embedding")
         near = retrieval.semantic_search(asked.select("q", self.encode(F.col("asked")).alias("v")), "q", "v", vectors, "doc", "embedding", candidate_k)
+        near = near.join(vectors.select("doc", "chunk_id"), "doc").drop("doc").withColumnRenamed("chunk_id", "doc")
+        docs = self.chunks.withColumn("doc", F.col("chunk_id"))
         found = retrieval.hybrid_retrieve(listed, near, docs, "q", top_k, chunk_types)
         got = found.join(asked.select(key, "q"), "q").join(docs, "doc").drop("q", "doc")
         if not prune:
