@@ -162,10 +162,15 @@ def hybrid_retrieve(bm25: DataFrame, dense: DataFrame, chunks: DataFrame, query_
 
 
 def overlap_search(queries: DataFrame, query_key: str, query_tokens: Column, corpus: DataFrame, key: str, tokens: Column, top_k: int = 4) -> DataFrame:
-    """Share of the query's distinct tokens that a document holds; best ``top_k`` above 0."""
+    """Share of the query's distinct tokens that a document holds; best ``top_k`` above 0.
+
+    Few terms travel to all partitions of the corpus, so that tokens of no query are not shuffled.
+    """
     q = queries.select(F.col(query_key).alias("q"), F.array_distinct(query_tokens).alias("t"))
+    q = q.select("q", F.size("t").alias("n"), F.explode("t").alias("term"))
+    near = F.broadcast if q.count() <= BROADCAST_TERMS else lambda x: x
     d = corpus.select(F.col(key).alias("doc"), F.explode(F.array_distinct(tokens)).alias("term"))
-    hit = q.select("q", F.size("t").alias("n"), F.explode("t").alias("term")).join(d, "term").groupBy("q", "doc", "n").agg(F.count(F.lit(1)).alias("m"))
+    hit = d.join(near(q), "term").groupBy("q", "doc", "n").agg(F.count(F.lit(1)).alias("m"))
     score = hit.select("q", "doc", F.round(F.col("m") / F.greatest(F.lit(1), F.col("n")), 9).alias("score"))
     return _top(score, "score", "rank", top_k).withColumnRenamed("q", query_key)
 

@@ -26,14 +26,21 @@ CATALOG_COLUMNS = (
 METADATA = "doc_id title institution source_type source_url version accessed_at format year scope".split()
 
 
+#: Bytes of a scan up to which it may be dealt out anew.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out by rows if its scan has fewer partitions than there are cores.
+    """``df``, dealt out by rows if its scan is small and has fewer partitions than there are cores.
 
-    A file of one row group is one task's work, whatever the number of partitions. A table of that few
-    partitions is small for its cluster, and so is the shuffle; larger ones stay as they are.
+    A file of one row group is one task's work, whatever the number of partitions. A larger table stays as it is: with
+    fewer partitions than cores it still gives every task enough, and a shuffle of it would cost more than idle cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES else df
 
 
 _LOCAL_ROOT: list[str] = []
