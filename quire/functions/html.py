@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from html.parser import HTMLParser
@@ -16,6 +17,9 @@ from quire.functions import lexicon as lx
 from quire.functions.text import clean_text
 
 
+_HREF = re.compile(r"""(?i)href=["']([^"']+)["']""")
+
+
 def file_kind(content: Column, path: Column) -> Column:
     """``pdf``, ``html`` or ``text`` by the first 4096 bytes (binary) and the suffix."""
     raw = F.regexp_replace(F.decode(F.substring(content, 1, 4096), "ISO-8859-1"), r"^[ \t\n\r\x0b\f]+", "")
@@ -71,6 +75,10 @@ def first_download_link(c, marks: Sequence[str] = lx.DOWNLOAD_MARKS) -> Column:
     return F.get(F.filter(links, lambda u: reduce(lambda a, b: a | b, [F.lower(u).contains(m) for m in marks])), F.lit(0))
 
 
-@F.pandas_udf(StringType())
-def resolve_link(base: pd.Series, link: pd.Series) -> pd.Series:
-    return pd.Series([urljoin(b or "", x) if x is not None else None for b, x in zip(base, link)])
+def download_link(base: str, page: str, marks: Sequence[str] = lx.DOWNLOAD_MARKS) -> str | None:
+    """The first link of a page with one of the marks, resolved against the page's address; None if there is none."""
+    for link in _HREF.findall(page):
+        url = urljoin(base, link)
+        if any(m in url.lower() for m in marks):
+            return url
+    return None

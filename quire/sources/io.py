@@ -9,7 +9,7 @@ import time
 import uuid
 from collections.abc import Callable
 from pathlib import Path
-from urllib import request
+from urllib import parse, request
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import html, lexicon
-from quire.functions.text import clean_text, decode_utf8
+from quire.functions.text import clean_text, decode_utf8, host
 from quire.operators.tables import dedup_tables, table_to_structured_text
 
 CATALOG_COLUMNS = (
@@ -198,30 +198,42 @@ def fetch(url: str, timeout: int = 60) -> bytes:
         return reply.read()
 
 
-def download_missing(catalog: DataFrame, have: DataFrame, get: Callable[[str], bytes] = fetch, pause: float = 1.0) -> DataFrame:
+def download_missing(catalog: DataFrame, have: DataFrame, get: Callable[[str], bytes] = fetch, pause: float = 1.0, tries: int = 3) -> DataFrame:
     """(local_path, content, status): files of the catalogue that ``have(local_path)`` lacks.
 
-    A landing page in place of a PDF is followed to its first download link.
+    All files of a host are one task's, which waits ``pause`` seconds between two requests to it, so the host is spared whatever the number of
+    tasks; hosts are fetched side by side. A request is tried up to ``tries`` times, each wait twice the one before. A landing page in
+    place of a PDF is followed to its first download link. Files that cannot be had have a status that says why.
     """
     want = catalog.join(have, "local_path", "left_anti").select("local_path", "source_url")
 
     def run(batches):
-        import re
-        from urllib.parse import urljoin
+        last: dict[str, float] = {}
+
+        def ask(url: str) -> bytes:
+            at = parse.urlsplit(url or "").netloc
+            for n in range(tries):
+                time.sleep(max(0.0, last.get(at, 0.0) + pause * 2**n - time.time()))
+                try:
+                    return get(url)
+                except Exception:
+                    if n + 1 == tries:
+                        raise
+                finally:
+                    last[at] = time.time()
+            raise ValueError("tries must be 1 at least")
 
         for pdf in batches:
-            rows = []
             for path, url in zip(pdf["local_path"], pdf["source_url"]):
                 try:
-                    raw = get(url)
+                    raw = ask(url)
                     if path.lower().endswith(".pdf") and not raw.startswith(b"%PDF"):
-                        links = [urljoin(url, h) for h in re.findall(r"""(?i)href=["']([^"']+)["']""", raw.decode("utf-8", "ignore"))]
-                        link = next((u for u in links if any(m in u.lower() for m in lexicon.DOWNLOAD_MARKS)), None)
-                        raw = get(link) if link else raw
-                    rows.append((path, raw, "ok"))
+                        link = html.download_link(url, raw.decode("utf-8", "ignore"))
+                        raw = ask(link) if link else raw
+                    row = (path, raw, "ok")
                 except Exception as e:
-                    rows.append((path, None, f"failed: {e}"))
-                time.sleep(pause)
-            yield pd.DataFrame(rows, columns=["local_path", "content", "status"])
+                    row = (path, None, f"failed: {e}")
+                yield pd.DataFrame([row], columns=["local_path", "content", "status"])
 
-    return want.mapInPandas(run, "local_path string, content binary, status string")
+    dealt = want.repartition(4 * want.sparkSession.sparkContext.defaultParallelism, host("source_url"))
+    return dealt.mapInPandas(run, "local_path string, content binary, status string")

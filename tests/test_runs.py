@@ -2,6 +2,9 @@
 
 import json
 import re
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
 import pytest
@@ -145,3 +148,37 @@ def test_chat_client_from_the_environment(monkeypatch):
     monkeypatch.setenv("CHAT_MODEL", "large")
     assert (make().base_url, make().model) == ("https://mine.example/v1/", "large")
     assert make().payload([])["temperature"] == 0.0
+
+
+def test_downloads_spare_each_host(spark, tmp_path):
+    log: list[tuple[str, str, float]] = []
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            log.append((self.headers["Host"].split(":")[0], self.path, time.time()))
+            again = sum(p == self.path for _, p, _ in log) > 1
+            if self.path == "/gone" or (self.path == "/flaky" and not again):
+                self.send_error(503)
+                return
+            body = {"/a.pdf": b"<a href='x.html'>x</a> <a href='files/b.PDF'>b</a>", "/files/b.PDF": b"%PDF-1.4"}.get(self.path, self.path.encode())
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    site = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=site.serve_forever, daemon=True).start()
+    names = ["a.pdf", "flaky", "gone", "c", "d", "e"]
+    rows = [(f"{h}/{n}", f"http://{h}:{site.server_port}/{n}") for h in ("127.0.0.1", "localhost") for n in names]
+    catalog = spark.createDataFrame([*rows, ("null.txt", None)], "local_path string, source_url string").repartition(6)
+    got = {r["local_path"]: r for r in io.download_missing(catalog, spark.createDataFrame([("localhost/e",)], "local_path string"), pause=0.05, tries=2).cache().collect()}
+    site.shutdown()
+    assert len(got) == 12 and bytes(got["127.0.0.1/a.pdf"]["content"]) == b"%PDF-1.4" == bytes(got["localhost/a.pdf"]["content"])
+    assert got["localhost/c"]["status"] == "ok" and bytes(got["localhost/c"]["content"]) == b"/c"
+    assert all(got[f"{h}/gone"]["status"].startswith("failed: ") and got[f"{h}/gone"]["content"] is None for h in ("127.0.0.1", "localhost"))
+    assert got["127.0.0.1/flaky"]["status"] == got["localhost/flaky"]["status"] == "ok" and got["null.txt"]["status"].startswith("failed")
+    for h in ("127.0.0.1", "localhost"):
+        times = sorted(t for x, _, t in log if x == h)
+        assert min(b - a for a, b in zip(times, times[1:])) > 0.04, sorted((t, x, p) for x, p, t in log)
