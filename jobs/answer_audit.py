@@ -73,14 +73,14 @@ def audit(spark: SparkSession, conversations: str, documents: str, out: str, con
     empty = {c: F.coalesce(c, F.array().cast(lists.schema[c].dataType)) for c in ("contexts", "context_ids")}
     scored = scoring.evaluate(cases.join(lists, "case_id", "left").withColumns(empty), domains=str(config["official_domains"]).split())
     columns = [c.split()[0] for c in CASES.split(", ")]
-    # few columns go to the sort of the write, and each route gets files of its own
+    # contexts' texts are not written again
     scored.select(*columns).write.mode("overwrite").partitionBy("route").parquet(f"{out}/cases")
     cases = spark.read.schema(CASES).parquet(f"{out}/cases")
     report = cases.groupBy("route").agg(F.count(F.lit(1)).alias("cases"), *[F.round(F.avg(c), 3).alias(c) for c in SCORES], F.count_if(F.size("hard_fails") > 0).alias("failed")).orderBy("route")
     report.coalesce(1).write.mode("overwrite").json(f"{out}/summary")
     read = index.totals()["n"]
     log.info("read %d documents of %s and the turns of %s", read, documents, conversations)
-    for r in spark.read.json(f"{out}/summary").orderBy("route").collect():
+    for r in spark.read.schema(report.schema).json(f"{out}/summary").orderBy("route").collect():
         log.info("wrote %d cases with route %s to %s/cases, %d of them with a hard fail", r["cases"], r["route"], out, r["failed"])
     return cases
 

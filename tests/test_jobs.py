@@ -115,6 +115,16 @@ def test_audit_scores_and_repeats(spark, tmp_path):
     assert sorted(x for x in os.listdir(f"{out}/cases") if x.startswith("route=")) == ["route=REJECT", "route=REVIEW"]
 
 
+def test_audit_of_empty_tables(spark, tmp_path):
+    docs, turns = str(tmp_path / "docs"), str(tmp_path / "turns")
+    spark.createDataFrame([], DOCS).write.parquet(docs)
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(turns)
+    assert answer_audit.audit(spark, turns, docs, str(tmp_path / "a")).collect() == []
+    spark.createDataFrame([(1, 0, "user", "Apa?"), (1, 1, "assistant", "Tidak ada dokumen.")], "conv_id long, turn long, role string, text string").write.mode("overwrite").parquet(turns)
+    only = answer_audit.audit(spark, turns, docs, str(tmp_path / "b")).collect()
+    assert [(r["route"], r["context_ids"], r["warnings"]) for r in only] == [("REJECT", [], ["no_retrieved_context"])]
+
+
 def test_command_line(spark, tmp_path):
     docs, out = str(tmp_path / "docs"), str(tmp_path / "out")
     add(spark, docs, [(1, LONG, "id", "s")])
