@@ -3,6 +3,7 @@ shared folder, and a vectorised tokeniser over Arrow string buffers."""
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,17 +34,27 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive the loss of executors."""
+    """Tables written to the shared folder: they cut lineage and survive the loss of executors.
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    With ``batch_rows`` Python takes at most so many rows at a time while a table is written, since both sides hold a batch's texts.
+    """
+
+    def __init__(self, spark: SparkSession, batch_rows: int | None = None):
+        self.spark, self.batch_rows = spark, batch_rows
         self.root = f"{scratch_root(spark)}/quire-{uuid.uuid4().hex}"
         self._n = 0
 
     def table(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.parquet(path)
+        rows = self.spark.conf.get(_BATCH)
+        if self.batch_rows and not 0 < int(rows) <= self.batch_rows:
+            self.spark.conf.set(_BATCH, str(self.batch_rows))
+        try:
+            df.write.parquet(path)
+        finally:
+            if self.spark.conf.get(_BATCH) != rows:
+                self.spark.conf.set(_BATCH, rows)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
@@ -65,6 +77,14 @@ def fresh(columns, *stems: str) -> list[str]:
     return out
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers are kept for later tasks, and idle ones should be small."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 # --- tokeniser -------------------------------------------------------------------------
 
 #: Bytes that separate words under the contract pattern [^\x20\x09-\x0D]+

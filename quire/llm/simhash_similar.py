@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, Scratch, fresh, grams, mix, slices, string_buffers, words
+from quire.llm.common import LOWER, Scratch, fresh, grams, mix, slices, string_buffers, trim, words
 from quire.llm.components import connected_components
 
 SEGMENTS, BITS, NEAR = 34, 30, 6
@@ -42,6 +42,10 @@ SLACK = 0.05
 #: Shares are compared with this tolerance, for products like 0.8 * 15 in floating point.
 EXACT = 1e-9
 MINOR, MAJOR = 128, 512
+#: Rows that Python takes at a time.
+BATCH_ROWS = 1000
+#: Bits of a bitmap of keys, 8 MB at any size. With more keys than it can tell apart more rows pass; none is lost.
+SLOTS = 1 << 26
 
 _SALTS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) for i in range(WORDS64)], np.uint64)
 _BAND_XOR, _BAND_ODD = np.random.default_rng(20260102).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
@@ -90,20 +94,26 @@ def row_keys(id_col: str, text_col: str) -> list:
 
 
 def shingle_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, set): the sorted shingle hashes of the documents named by ``ids(id, k1, k2)``."""
+    """(id, set): the sorted shingle hashes of the documents named by ``ids(id, k1, k2)``.
+
+    A bitmap of the wanted keys tells most other documents apart where they are read, so their texts are neither cut nor shuffled.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.col("k1").bitwiseAND(F.lit(SLOTS - 1)).alias("s"))))
 
     def run(batches):
         for b in batches:
-            raw, offsets = string_buffers(b.column(1))
+            b = b.filter(pa.array(_set(wanted.value, b.column(0).to_numpy() & (SLOTS - 1))))
+            raw, offsets = string_buffers(b.column(2))
             for lo, hi in slices(offsets):
                 part = offsets[lo : hi + 1]
                 doc, _, _, h = words(raw[part[0] : part[-1]], part - part[0], fold=LOWER)
                 sets = [x.view(np.int64) for x in shingle_sets(h, doc, hi - lo, shingle)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(sets, pa.list_(pa.int64()))], names=["k1", "k2", "set"])
+        trim()
 
     k1, k2 = row_keys(id_col, text_col)
-    d = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("t"))
-    return d.join(ids, ["k1", "k2"]).select("id", "t").mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
+    d = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("t")).mapInArrow(run, "k1 long, k2 long, set array<long>")
+    return d.join(ids, ["k1", "k2"]).select("id", "set").dropDuplicates(["id"])
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -128,6 +138,7 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int)
                     ],
                     names=["id", "n", "fp", "near", "bands", "doc", "k1", "k2"],
                 )
+        trim()
 
     k1, k2 = row_keys(id_col, text_col)
     d = docs.select(F.monotonically_increasing_id().alias("id"), F.col(text_col).alias("t"), F.col(id_col).cast("long").alias("doc"), k1.alias("k1"), k2.alias("k2"))
@@ -143,7 +154,37 @@ def segment_keys(fp: np.ndarray, near: np.ndarray) -> np.ndarray:
     return np.concatenate([base[:, :, None], flips], axis=2).reshape(len(fp), -1)
 
 
-def _key_rows(nodes: DataFrame) -> DataFrame:
+def _slot(key):
+    """Place of a key in the bitmap of repeated keys, of numbers as of Columns: segment and code mixed by shifts."""
+    if isinstance(key, np.ndarray):
+        code = key & 0xFFFFFFFF
+        return (code ^ (code >> 13) ^ ((key >> 32) * 2097593)) & (SLOTS - 1)
+    code = key.bitwiseAND(F.lit(0xFFFFFFFF))
+    return code.bitwiseXOR(F.shiftright(code, 13)).bitwiseXOR(F.shiftright(key, 32) * 2097593).bitwiseAND(F.lit(SLOTS - 1))
+
+
+def bitmap(slots: DataFrame) -> np.ndarray:
+    """``SLOTS`` bits with those of ``slots(s)`` set. However many rows there are, the driver gets its words at most."""
+    found = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(s & 63 AS INT))")).alias("bits")).toArrow()
+    words64 = np.zeros(SLOTS // 64, np.int64)
+    words64[found["w"].to_numpy()] = found["bits"].to_numpy()
+    return words64
+
+
+def _set(words64: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (words64[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def _key_rows(nodes: DataFrame, slots: np.ndarray | None = None) -> DataFrame:
+    """(id, key) of every node; with ``slots`` those alone whose key can be a repeated one, before anything is shuffled."""
+    held = None if slots is None else nodes.sparkSession.sparkContext.broadcast(slots)
+
+    def out(ids, keys):
+        if held is not None:
+            some = _set(held.value, _slot(keys))
+            ids, keys = ids[some], keys[some]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys)], names=["id", "key"])
+
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
@@ -151,15 +192,15 @@ def _key_rows(nodes: DataFrame) -> DataFrame:
                 ids = c.column(0).to_numpy()
                 codes = np.frombuffer(b"".join(c.column(4).to_pylist()), np.uint32).reshape(-1, BANDS)
                 bands = codes.astype(np.int64) | (np.arange(SEGMENTS, SEGMENTS + BANDS, dtype=np.int64) << 32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(bands.ravel())], names=["id", "key"])
+                yield out(np.repeat(ids, BANDS), bands.ravel())
                 c = c.filter(pa.array(c.column(1).to_numpy() >= SHORT))
                 if not c.num_rows:
                     continue
                 fp = np.stack(c.column(2).to_numpy(zero_copy_only=False))
                 near = np.frombuffer(b"".join(c.column(3).to_pylist()), np.uint8)
                 keys = segment_keys(np.ascontiguousarray(fp, np.int64), near)
-                ids = np.repeat(c.column(0).to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel())], names=["id", "key"])
+                yield out(np.repeat(c.column(0).to_numpy(), keys.shape[1]), keys.ravel())
+        trim()
 
     return nodes.select("id", "n", "fp", "near", "bands").mapInArrow(run, "id long, key long")
 
@@ -279,14 +320,14 @@ def similar_rows(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
     """(doc, k1, k2, root) of every row, written: its id and keys, and a number that the rows of its group share."""
     all_ = scratch.table(wide_fingerprints(docs, id_col, text_col, shingle))
     nodes = scratch.table(all_.groupBy("fp", "n").agg(F.min(F.struct("id", "near", "bands", "k1", "k2")).alias("m")).select("m.*", "n", "fp"))
-    rows = _key_rows(nodes)
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("hub")).where("c > 1")
-    met = scratch.table(rows.join(scratch.table(shared), "key"))
+    shared = scratch.table(_key_rows(nodes).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("hub")).where("c > 1"))
+    # few keys are repeated: the bitmap leaves out most rows before they are shuffled once more
+    met = scratch.table(_key_rows(nodes, bitmap(shared.select(_slot(F.col("key")).alias("s")))).join(shared, "key"))
     a = nodes.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("fp").alias("afp"))
     b = nodes.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("fp").alias("bfp"))
     pairs = met.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     close = scratch.table(pairs.join(a, "a").join(b, "b").where(_near(similarity)).select("a", "b"))
-    sets = lambda ids: shingle_rows(docs, ids, id_col, text_col, shingle)
+    sets = lambda ids: shingle_rows(docs, scratch.table(ids), id_col, text_col, shingle)
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -325,7 +366,7 @@ def similar_groups(
     component_id is null only if every id of its group is. Equal fingerprints are one node, so copies are never expanded.
     Other columns are ignored; an empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, BATCH_ROWS)
     rows = similar_rows(docs, scratch, id_col, text_col, shingle, similarity)
     least = scratch.table(rows.groupBy("root").agg(F.min("doc").alias("component_id")))
     return rows.join(least, "root").select(F.col("doc").alias(id_col), "component_id")
@@ -337,7 +378,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Of rows with one id and text one stays, any of them if other columns differ. Rows are told apart by
     128 bits of hash of id and text, so different texts of one id are different documents.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, BATCH_ROWS)
     rows = similar_rows(docs, scratch, id_col, text_col, shingle, similarity)
     order = F.struct(F.col("doc").isNull().alias("last"), "doc", "k1", "k2")
     per = rows.groupBy("k1", "k2").agg(F.min(order).alias("me"), F.min("root").alias("root"), F.count(F.lit(1)).alias("times"))

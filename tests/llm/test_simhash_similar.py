@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import simhash_similar as S
 
@@ -171,3 +172,16 @@ def test_links_beside_the_least_hub_join_components(spark):
         for a, b in pairs:
             up[a] = up[b] = min(up[a], up[b])
     assert got == up and got[501] == 400
+
+
+def test_bitmap_of_repeated_keys(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    keys = rng.integers(0, 1 << 32, 3000, dtype=np.int64) | (rng.integers(0, S.SEGMENTS + S.BANDS, 3000) << 32)
+    for bits in (26, 8):
+        monkeypatch.setattr(S, "SLOTS", 1 << bits)
+        df = spark.createDataFrame([(int(k),) for k in keys], "key long")
+        assert [r[0] for r in df.select(S._slot(F.col("key"))).collect()] == S._slot(keys).tolist()
+        held = S.bitmap(df.limit(100).select(S._slot(F.col("key")).alias("s")))
+        at = S._slot(keys[:100])
+        assert S._set(held, at).all()
+        assert 0 < np.bitwise_count(held.view(np.uint64)).sum() <= min(100, 1 << bits)
