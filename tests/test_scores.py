@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import inverted, scores
+from quire.operators import inverted, retrieval, scores, scoring
 from tests.test_inverted import plain, search
 
 
@@ -53,3 +53,34 @@ def test_tokens_are_runs_of_token_characters(spark):
     row = spark.createDataFrame([(text,), (None,), ("",)], "text string").select(tx.tokenize_retrieval("text", ["foo"]), tx.tokenize_evidence("text", ["foo"])).collect()
     assert row[0][0] == ["été", "école", "naïve×y÷z", "abc", "tis", "bcd"] and row[0][1] == ["été", "école", "naïve×y÷z", "abc", "x1-2/3.4", "tis", "bcd"]
     assert [list(r) for r in row[1:]] == [[[], []], [[], []]]
+
+
+def test_searches_of_texts_make_no_row_of_a_pair(spark, monkeypatch):
+    """Their only sums by query and document are in arrays: ranks are the one shuffle by query, counts of terms the one by term."""
+    monkeypatch.setattr(retrieval, "DOCS", 7)
+    rng = np.random.default_rng(5)
+    docs = [(i, " ".join(f"w{min(int(x), 60)}" for x in rng.zipf(1.4, int(rng.integers(1, 30))))) for i in range(100)] + [(100, None), (101, "")]
+    asked = [(f"q{i}", " ".join(f"w{min(int(x), 70)}" for x in rng.zipf(1.4, 6))) for i in range(9)] + [("none", "absent"), ("empty", "")]
+    d, q = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(asked, "q string, text string")
+    tokens = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "")
+    got = retrieval.bm25_search(q, "q", tokens, d, "id", tokens, 3)
+    assert sorted((r["q"], r["doc"], round(r["bm25_score"], 6), r["bm25_rank"]) for r in got.collect()) == plain(docs, asked, 3)
+    near = retrieval.overlap_search(q, "q", tokens, d, "id", tokens, 3)
+    want = []
+    for i, text in asked:
+        t = set(text.split())
+        hit = [(-round(len(t & set((x or "").split())) / len(t), 9), n) for n, x in docs if t & set((x or "").split())]
+        want += [(i, n, -s, r) for r, (s, n) in enumerate(sorted(hit)[:3], 1)]
+    assert sorted((r["q"], r["doc"], r["score"], r["rank"]) for r in near.collect()) == sorted(want)
+    for found in (got, near):
+        assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+
+
+def test_claims_meet_only_words_of_the_answer(spark):
+    """Words of the contexts are looked up once for an answer: claims that many contexts support score as each alone."""
+    contexts = [{"text": t} for t in ("alpha beta gamma 500 mg", "delta epsilon zeta", "", None)]
+    schema = "answer string, contexts array<struct<title:string,section:string,subsection:string,subtitle:string,text:string,content:string>>"
+    rows = [("Alpha beta gamma delta. Delta epsilon 700 mg zeta. Unknown words nowhere.", contexts), ("Alpha beta gamma delta.", [{"text": ""}]), ("Alpha beta gamma delta.", [])]
+    df = spark.createDataFrame([(a, [(None, None, None, None, c["text"], None) for c in cs]) for a, cs in rows], schema)
+    got = [r[0] for r in df.select(scoring.claim_supports("answer", F.col("contexts"))).collect()]
+    assert got[0] == pytest.approx([1.0, 0.35 * 3 / 4, 0.0]) and got[1:] == [[0.0], [0.0]]
