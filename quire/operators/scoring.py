@@ -55,19 +55,24 @@ def claim_supports(answer, contexts, stopwords: Sequence[str] = lx.EVIDENCE_STOP
     words = _bind(each, lambda e: F.concat(F.array(F.array_distinct(F.flatten(e))), e))
     evidence = F.zip_with(words, numbers, lambda w, n: F.struct(w.alias("w"), n.alias("n")))
     told = F.filter(tx.claims(answer), lambda c: ~tx.is_neutral(c))
+    asked = F.transform(told, lambda c: F.struct(F.array_distinct(tx.tokenize_evidence(tx.normalize_claim(c), stopwords)).alias("w"), tx.numeric_tokens(c).alias("n")))
 
-    def one(ev):
-        def best(c):
-            def score(k):
-                return F.when(F.size(k["w"]) == 0, 1.0).otherwise(
-                    F.least(F.lit(1.0), F.array_max(F.transform(ev, lambda e: support(k["w"], k["n"], e["w"], e["n"]))))
-                )
+    def one(p):
+        def best(k):
+            def score(e):
+                return F.when(e["none"], 0.0).otherwise(support(k["w"], k["n"], F.concat(e["w"], F.array(F.lit(""))), e["n"]))
 
-            return _bind(F.struct(F.array_distinct(tx.tokenize_evidence(tx.normalize_claim(c), stopwords)).alias("w"), tx.numeric_tokens(c).alias("n")), score)
+            return F.when(F.size(k["w"]) == 0, 1.0).otherwise(F.least(F.lit(1.0), F.array_max(F.transform(p["ev"], score))))
 
-        return F.transform(told, best)
+        return F.transform(p["cl"], best)
 
-    return _bind(evidence, one)
+    def narrowed(p):
+        """Of an evidence's words only those of the answer matter: the claims' tokens meet these few, not the whole text each. No token is empty."""
+        words = F.array_distinct(F.flatten(F.transform(p["cl"], lambda k: k["w"])))
+        held = _bind(words, lambda w: F.transform(p["ev"], lambda e: F.struct((F.size(e["w"]) == 0).alias("none"), F.array_intersect(w, e["w"]).alias("w"), e["n"].alias("n"))))
+        return F.struct(held.alias("ev"), p["cl"].alias("cl"))
+
+    return _bind(_bind(F.struct(evidence.alias("ev"), asked.alias("cl")), narrowed), one)
 
 
 def lexical_attribution(supports: Column) -> Column:
