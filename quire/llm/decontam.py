@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, grams, slices, string_buffers, words
+from quire.llm.common import LOWER, Scratch, grams, slices, string_buffers, trim, words
 
 #: Words are runs of ASCII letters, digits and non-ASCII bytes, in lower case.
 NOT_WORD = np.ones(256, bool)
@@ -28,6 +28,8 @@ SEED_WORDS, LONGEST_SEED, RARE = 2, 6, 16
 #: A place needs one in so many of an item's seeds, one at least.
 SEED_SHARE = 8
 BLOCK_WORDS = 500_000
+#: Rows that Python takes at a time where it hands them back.
+BATCH_ROWS = 1000
 FOUND = "doc_id long, item_id long, score double, start_word long, end_word long"
 
 
@@ -259,20 +261,27 @@ def contaminated_passages(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that ``contaminated_passages`` finds a passage in, judged row by row, whatever their ids or the items'."""
+    """``docs`` without the rows that ``contaminated_passages`` finds a passage in, judged row by row, whatever their ids or the items'.
+
+    What is left is written to the shared folder, so that Python takes few rows at a time: both sides hold a batch's texts and what is kept of them.
+    """
+    scratch = Scratch(docs.sparkSession, BATCH_ROWS)
     items = items.select(F.lit(0).alias(item_col), item_text_col)
     at = docs.columns.index(text_col)
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for seeds in _blocks(items, item_col, item_text_col):
 
         def clean(batches, seeds=seeds):
+            # what an earlier task of this worker has left
+            trim()
             for batch in batches:
                 keep = np.ones(len(batch), bool)
                 for lo, bounds, h in _tokens(batch.column(at)):
                     keep[[lo + x[0] for x in _align(seeds.value, bounds, h, min_score)]] = False
                 yield batch.filter(pa.array(keep))
+            trim()
 
-        docs = docs.mapInArrow(clean, kind)
+        docs = scratch.table(docs.mapInArrow(clean, kind))
     return docs
 
 
