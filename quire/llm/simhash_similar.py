@@ -13,7 +13,7 @@ keys of ``BANDS`` MinHash bands, which meet at a similarity of 0.8 but for one p
 
 Buckets never form their pairs. Members are first compared with the least member of each of
 their buckets, which joins most of a group of copies. Only buckets of three or more that still hold more than
-one component are gone through again: all members outside a bucket's largest component are compared,
+one component are gone through again: all members outside the component of a bucket's least member are compared,
 block by block, with all members of it, so no link of a shared bucket is lost.
 """
 
@@ -42,6 +42,8 @@ SLACK = 0.05
 #: Shares are compared with this tolerance, for products like 0.8 * 15 in floating point.
 EXACT = 1e-9
 MINOR, MAJOR = 128, 512
+#: Texts in the buckets of a component up to which its buckets are gone through together.
+WHOLE = 8192
 #: Rows that Python takes at a time.
 BATCH_ROWS = 1000
 #: Bits of a bitmap of keys, 8 MB at any size. With more keys than it can tell apart more rows pass; none is lost.
@@ -113,7 +115,8 @@ def shingle_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, sh
 
     k1, k2 = row_keys(id_col, text_col)
     d = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("t")).mapInArrow(run, "k1 long, k2 long, set array<long>")
-    return d.join(ids, ["k1", "k2"]).select("id", "set").dropDuplicates(["id"])
+    # rows of one id have the same keys: by all three, what the join has dealt by the keys is not dealt anew
+    return d.join(ids, ["k1", "k2"]).dropDuplicates(["k1", "k2", "id"]).select("id", "set")
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -229,7 +232,7 @@ def _alike(similarity: float):
 
 
 def _block_links(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Links that join the components of one block: minor members against all. Without sets the distance decides."""
+    """Links that join the components of one block: minor members against all that share a key. Without sets the distance decides."""
     few, many = pdf[pdf["small"]], pdf[~pdf["small"]]
     out: list[tuple[int, int]] = []
     if len(few) and len(many):
@@ -243,12 +246,15 @@ def _block_links(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
 
         ids, comps, sizes = (many[c].to_numpy() for c in ("id", "comp", "n"))
         fps = np.stack(many["fp"].to_list()).view(np.uint64)
+        keys = [set(np.asarray(x).tolist()) for x in many["keys"]]
         sets = [many["set"].to_numpy(), few["set"].to_numpy()] if "set" in pdf else None
-        for k, (i, c, n, fp) in enumerate(zip(few["id"].tolist(), few["comp"].tolist(), few["n"].tolist(), few["fp"])):
-            d = np.bitwise_count(fps ^ np.asarray(fp).view(np.uint64)).sum(1, dtype=np.int64)
-            for h in np.flatnonzero(d <= farthest(float(n), sizes.astype(float), similarity)).tolist():
+        for k, (i, c, n, fp, mine) in enumerate(zip(few["id"].tolist(), few["comp"].tolist(), few["n"].tolist(), few["fp"], few["keys"])):
+            at = np.flatnonzero(comps != c)
+            d = np.bitwise_count(fps[at] ^ np.asarray(fp).view(np.uint64)).sum(1, dtype=np.int64)
+            mine = np.asarray(mine).tolist()
+            for h in at[d <= farthest(float(n), sizes[at].astype(float), similarity)].tolist():
                 p, q = top(c), top(int(comps[h]))
-                if p == q:
+                if p == q or keys[h].isdisjoint(mine):
                     continue
                 if sets:
                     x, y = sets[0][h], sets[1][k]
@@ -260,36 +266,63 @@ def _block_links(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def _open_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` with those of their ``keys`` alone that a minor row may have too; rows without any go."""
+    keys = rows.where("comp != main").select(F.explode("keys").alias("key"))
+    held = rows.sparkSession.sparkContext.broadcast(bitmap(keys.select(_slot(F.col("key")).alias("s"))))
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(3)
+            flat = lists.flatten()
+            own = pa.array(np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy()))
+            some = _set(held.value, _slot(flat.to_numpy())) if len(flat) else np.zeros(0, bool)
+            left = np.bincount(own.to_numpy()[some], minlength=b.num_rows)
+            ends = np.concatenate([[0], np.cumsum(left)]).astype(np.int32)
+            open_ = pa.ListArray.from_arrays(pa.array(ends), flat.filter(pa.array(some)))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), open_], names=["main", "id", "comp", "keys"]).filter(pa.array(left > 0))
+
+    return rows.select("main", "id", "comp", "keys").mapInArrow(run, "main long, id long, comp long, keys array<long>")
+
+
 def _rest(met: DataFrame, nodes: DataFrame, comp: DataFrame, similarity: float, scratch: Scratch, sets=None) -> DataFrame:
     """Links between the components of each bucket of three or more that holds more than one.
 
-    ``sets`` gives (id, set) of a table of ids. Of buckets with the same members one is gone through.
+    ``sets`` gives (id, set) of a table of ids. A bucket goes to the component of its hub, its least member. Members of
+    other components are minor, and each is compared with all members of buckets it is in. A text has hundreds of
+    buckets, mostly of one component, so it is sent once to each component and not once to each bucket; components with more than
+    ``WHOLE`` texts in their buckets are gone through bucket by bucket, lest each text of them meet all others.
     """
-    rows = scratch.table(met.join(comp, met["id"] == comp["node"], "left").select("key", "id", F.coalesce("root", "id").alias("comp")))
-    marks = [F.sum(F.shiftrightunsigned(F.xxhash64("id", F.lit(k)), 24)).alias(f"m{k}") for k in range(2)]
-    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), *marks)
-    open_ = (
-        per.groupBy("key")
-        .agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("total"), F.max("c").alias("top"), F.sum("m0").alias("m0"), F.sum("m1").alias("m1"))
-        .where("total > top")
-        .groupBy("total", "m0", "m1")
-        .agg(F.min(F.struct("key", "main", "top")).alias("k"))
-        .select("k.*", "total")
-    )
-    rows = rows.join(open_, "key")
+    if "hub" not in met.columns:
+        met = met.join(met.groupBy("key").agg(F.min("id").alias("hub")), "key")
+    of, hubs = comp.select(F.col("node").alias("id"), "root"), comp.select(F.col("node").alias("hub"), F.col("root").alias("top"))
+    rows = met.groupBy("id", "hub").agg(F.collect_list("key").alias("keys")).join(of, "id", "left").join(hubs, "hub", "left")
+    rows = rows.select(F.coalesce("top", "hub").alias("main"), "id", F.coalesce("root", "id").alias("comp"), "keys")
+    rows = scratch.table(rows)
+    rows = _open_keys(rows).groupBy("main", "id").agg(F.first("comp").alias("comp"), F.flatten(F.collect_list("keys")).alias("keys"))
+    rows = scratch.table(rows)
+    held = rows.groupBy("main").agg(F.count(F.lit(1)).alias("total"))
+    large = held.where(F.col("total") > WHOLE).select("main")
+    each = rows.join(large, "main", "left_semi").withColumn("bucket", F.explode("keys")).withColumn("keys", F.array("bucket"))
+    rows = rows.join(large, "main", "left_anti").withColumn("bucket", F.lit(None).cast("long")).unionByName(each)
+    # a bucket number of its own for what is gone through as a whole
+    rows = scratch.table(rows.withColumn("bucket", F.coalesce("bucket", F.lit(-1))))
+    minor = F.col("comp") != F.col("main")
+    open_ = rows.groupBy("main", "bucket").agg(F.count(F.lit(1)).alias("total"), F.count_if(minor).alias("others")).where("others > 0 AND total > 1")
     if sets:
-        rows = scratch.table(rows)
-        nodes = nodes.join(scratch.table(sets(nodes.join(rows.select("id").distinct(), "id", "left_semi").select("id", "k1", "k2"))), "id")
-    rows = rows.join(nodes.select("id", "n", "fp", *(["set"] if sets else [])), "id")
-    few, many = F.ceil((F.col("total") - F.col("top")) / MINOR).cast("int"), F.ceil(F.col("total") / MAJOR).cast("int")
-    place, kept = F.xxhash64("id"), ["id", "comp", "n", "fp"] + (["set"] if sets else [])
-    minor = rows.where("comp != main").select(
-        "key", F.pmod(place, few).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), many - 1)).alias("y"), F.lit(True).alias("small"), *kept
+        wanted = nodes.join(rows.select("id").distinct(), "id", "left_semi").select("id", "k1", "k2")
+        nodes = nodes.join(scratch.table(sets(wanted)), "id")
+    rows = rows.join(open_, ["main", "bucket"]).join(nodes.select("id", "n", "fp", *(["set"] if sets else [])), "id")
+    few, many = F.ceil(F.col("others") / MINOR).cast("int"), F.ceil(F.col("total") / MAJOR).cast("int")
+    place, kept = F.xxhash64("id"), ["id", "comp", "n", "fp", "keys"] + (["set"] if sets else [])
+    by = ["main", "bucket", "x", "y"]
+    minor = rows.where(minor).select(
+        "main", "bucket", F.pmod(place, few).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), many - 1)).alias("y"), F.lit(True).alias("small"), *kept
     )
     major = rows.select(
-        "key", F.explode(F.sequence(F.lit(0), few - 1)).alias("x"), F.pmod(place, many).cast("int").alias("y"), F.lit(False).alias("small"), *kept
+        "main", "bucket", F.explode(F.sequence(F.lit(0), few - 1)).alias("x"), F.pmod(place, many).cast("int").alias("y"), F.lit(False).alias("small"), *kept
     )
-    links = minor.unionByName(major).groupBy("key", "x", "y").applyInPandas(lambda pdf: _block_links(pdf, similarity), "a long, b long")
+    links = minor.unionByName(major).groupBy(*by).applyInPandas(lambda pdf: _block_links(pdf, similarity), "a long, b long")
     return links.distinct()
 
 
@@ -346,12 +379,14 @@ def similar_rows(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
     apart = close.join(least, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
     apart = scratch.table(apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
     comp = _joined(scratch.table(first.unionByName(verified(apart))), scratch)
-    rest = _rest(met.where("c > 2").select("key", "id"), nodes, comp, similarity, scratch, sets)
+    rest = _rest(met.where("c > 2").select("key", "id", "hub"), nodes, comp, similarity, scratch, sets)
     edges = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
     comp = scratch.table(connected_components(edges.unionByName(rest), scratch))
-    rooted = scratch.table(nodes.join(comp, nodes["id"] == comp["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("root")))
-    out = scratch.table(all_.select("doc", "k1", "k2", "fp", "n").join(rooted, ["fp", "n"]).select("doc", "k1", "k2", "root"))
-    scratch.drop(all_, nodes, met, close, least, first, apart, rooted)
+    # 128 bits stand for a fingerprint and size, which are too wide to shuffle for every row
+    same = [F.xxhash64(F.lit(1), "n", "fp").alias("f1"), F.xxhash64("fp", "n", F.lit(2)).alias("f2")]
+    rooted = nodes.select("id", *same).join(comp, nodes["id"] == comp["node"], "left").select("f1", "f2", F.coalesce("root", "id").alias("root"))
+    out = scratch.table(all_.select("doc", "k1", "k2", *same).join(rooted, ["f1", "f2"]).select("doc", "k1", "k2", "root"))
+    scratch.clear(out)
     return out
 
 
@@ -387,7 +422,18 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     told = per.join(stays, "root").withColumn("stays", F.col("me") == F.col("first")).where("times > 1 OR NOT stays")
     k1, k2 = fresh(docs.columns, "__k1", "__k2")
     told = scratch.table(told.select(F.col("k1").alias(k1), F.col("k2").alias(k2), "stays"))
-    keyed = docs.withColumns(dict(zip((k1, k2), row_keys(id_col, text_col))))
-    once = keyed.join(told.drop("stays"), [k1, k2], "left_anti")
-    again = keyed.join(told.where("stays").drop("stays"), [k1, k2], "left_semi").dropDuplicates([k1, k2])
-    return once.unionByName(again).select(*docs.columns)
+    scratch.clear(told)
+    # a bitmap of the keys tells most other rows apart where they are read: they stay and are not shuffled
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(told.select(F.col(k1).bitwiseAND(F.lit(SLOTS - 1)).alias("s"))))
+
+    @F.pandas_udf("boolean")
+    def may_go(key: pd.Series) -> pd.Series:
+        return pd.Series(_set(held.value, key.to_numpy() & (SLOTS - 1)))
+
+    keys = row_keys(id_col, text_col)
+    once = docs.where(~may_go(keys[0]))
+    some = docs.where(may_go(keys[0])).withColumns(dict(zip((k1, k2), keys)))
+    # rows that are not told of are there once
+    (stays,) = fresh([*docs.columns, k1, k2], "__stays")
+    some = some.join(told.withColumnRenamed("stays", stays), [k1, k2], "left").where(F.coalesce(F.col(stays), F.lit(True))).dropDuplicates([k1, k2])
+    return once.select(*docs.columns).unionByName(some.select(*docs.columns))

@@ -185,3 +185,64 @@ def test_bitmap_of_repeated_keys(spark, monkeypatch):
         at = S._slot(keys[:100])
         assert S._set(held, at).all()
         assert 0 < np.bitwise_count(held.view(np.uint64)).sum() <= min(100, 1 << bits)
+
+
+@pytest.mark.parametrize("whole", [8192, 3])
+def test_rest_sends_a_text_once_to_a_component_not_to_each_bucket(spark, monkeypatch, whole):
+    monkeypatch.setattr(S, "WHOLE", whole)
+    texts = corpus()
+    nodes = S.wide_fingerprints(table(spark, texts), "doc_id", "text", 5).withColumn("id", F.col("doc")).where("id < 10 OR id >= 40")
+    met = nodes.select("id").crossJoin(spark.range(50).toDF("key"))
+    comp = nodes.select(F.col("id").alias("node"), F.col("id").alias("root"))
+    sizes = []
+
+    class Counted(S.Scratch):
+        def table(self, df):
+            out = super().table(df)
+            sizes.append(out.count())
+            return out
+
+    links = S._rest(met, nodes, comp, 0.8, Counted(spark)).collect()
+    up = roots(len(texts), lambda i, j: any({i, j} == {r.a, r.b} for r in links))
+    assert len({up[40 + 8 * b + k] for b in range(10) for k in range(3)} | {up[b] for b in range(10)}) == 10
+    assert whole == 3 or max(sizes) <= nodes.count()
+
+
+def test_rest_links_only_texts_that_share_an_open_bucket(spark):
+    t = " ".join(f"v{i}" for i in range(60))
+    nodes = S.wide_fingerprints(table(spark, [t, t.upper(), "x y z", t + " ", "p q r"]), "doc_id", "text", 5).withColumn("id", F.col("doc"))
+    # 0 to 4 by their buckets: 1 and 3 are alike and meet in bucket 8, 0 and 1 are alike but meet nowhere
+    met = spark.createDataFrame([(7, 0), (7, 2), (7, 4), (8, 1), (8, 2), (8, 3)], "key long, id long")
+    comp = nodes.select(F.col("id").alias("node"), F.col("id").alias("root"))
+    assert {frozenset((r.a, r.b)) for r in S._rest(met, nodes, comp, 0.8, S.Scratch(spark)).collect() if {r.a, r.b} <= {0, 1, 3}} == {frozenset((1, 3))}
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    rng = np.random.default_rng(31)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 60, 600)) for _ in range(60)]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, texts[0], texts[1]])], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    try:
+        kept = S.drop_similar(d)
+        began = written()
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
+        assert written() - began < 0.2 * sum(map(len, texts)) / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_tables_that_nobody_reads_are_removed(spark):
+    scratch = S.Scratch(spark)
+    a, b = (scratch.table(spark.range(n).toDF("x")) for n in (3, 4))
+    path = a.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+    scratch.clear(b)
+    import os
+
+    assert os.listdir(path) == ["2"] and b.count() == 4
