@@ -11,8 +11,9 @@ the one expected rules a pair out, and the exact Jaccard similarity of the two s
 Majorities of few shingles say little, so sets below ``SHORT`` have no such keys and no distance test. Every text has
 keys of ``BANDS`` MinHash bands, which meet at a similarity of 0.8 but for one pair in ten million, at any size.
 
-Buckets never form their pairs. Members are first compared with the least member of each of
-their buckets, which joins most of a group of copies. Only buckets of three or more that still hold more than
+Buckets never form their pairs. A text is first compared with one other, the least member of most of its bands'
+buckets, then with the least members of its bands' buckets and of its buckets of two that are still in another component; a
+group of near copies has too many other buckets, each with a least member of its own, to meet those one by one. Only buckets of three or more that still hold more than
 one component are gone through again: all members outside the component of a bucket's least member are compared,
 block by block, with all members of it, so no link of a shared bucket is lost.
 """
@@ -349,6 +350,12 @@ def _joined(stars: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(rooted.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
+def hub_pairs(met: DataFrame) -> DataFrame:
+    """(a, b, times) of ``met(id, key, c, hub)``: how often text a meets hub b in buckets of bands and in buckets of two, which ``_rest`` doesn't take."""
+    some = met.where((F.col("id") != F.col("hub")) & ((F.shiftright("key", 32) >= SEGMENTS) | (F.col("c") == 2)))
+    return some.groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+
+
 def similar_rows(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(doc, k1, k2, root) of every row, written: its id and keys, and a number that the rows of its group share."""
     all_ = scratch.table(wide_fingerprints(docs, id_col, text_col, shingle))
@@ -358,27 +365,26 @@ def similar_rows(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
     met = scratch.table(_key_rows(nodes, bitmap(shared.select(_slot(F.col("key")).alias("s")))).join(shared, "key"))
     a = nodes.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("fp").alias("afp"))
     b = nodes.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("fp").alias("bfp"))
-    pairs = met.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    close = scratch.table(pairs.join(a, "a").join(b, "b").where(_near(similarity)).select("a", "b"))
     sets = lambda ids: shingle_rows(docs, scratch.table(ids), id_col, text_col, shingle)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    def linked(pairs: DataFrame) -> DataFrame:
+        close = scratch.table(pairs.join(a, "a").join(b, "b").where(_near(similarity)).select("a", "b"))
+        ends = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
         of = scratch.table(sets(nodes.join(ends, "id", "left_semi").select("id", "k1", "k2")))
         asets, bsets = (of.select(F.col("id").alias(x), F.col("set").alias(f"{x}set")) for x in ("a", "b"))
-        got = scratch.table(pairs.join(asets, "a").join(bsets, "b").where(_alike(similarity)).select("a", "b").distinct())
+        got = scratch.table(close.join(asets, "a").join(bsets, "b").where(_alike(similarity)).select("a", "b").distinct())
         scratch.drop(of)
         return got
 
-    # a text's least hub joins most of its group: only pairs between what that has not joined need their sets compared
-    least = scratch.table(close.groupBy("a").agg(F.min("b").alias("b")))
-    first = verified(least)
-    at = connected_components(first, scratch)
-    at = scratch.table(at)
-    a, b = (at.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
-    apart = close.join(least, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-    apart = scratch.table(apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
-    comp = _joined(scratch.table(first.unionByName(verified(apart))), scratch)
+    pairs = scratch.table(hub_pairs(met))
+    # the hub that a text meets most often joins most of its group: only pairs between what that has not joined are looked at
+    most = scratch.table(pairs.groupBy("a").agg(F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b")))
+    first = linked(most)
+    at = scratch.table(connected_components(first, scratch))
+    at_a, at_b = (at.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
+    apart = pairs.join(at_a, "a", "left").join(at_b, "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    apart = scratch.table(apart.select("a", "b").join(most, ["a", "b"], "left_anti"))
+    comp = _joined(scratch.table(first.unionByName(linked(apart))), scratch)
     rest = _rest(met.where("c > 2").select("key", "id", "hub"), nodes, comp, similarity, scratch, sets)
     edges = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
     comp = scratch.table(connected_components(edges.unionByName(rest), scratch))

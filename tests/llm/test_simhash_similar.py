@@ -246,3 +246,34 @@ def test_tables_that_nobody_reads_are_removed(spark):
     import os
 
     assert os.listdir(path) == ["2"] and b.count() == 4
+
+
+def test_a_group_of_near_copies_does_not_meet_the_hub_of_each_bucket(spark, monkeypatch):
+    rng = np.random.default_rng(41)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 400)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for p in rng.choice(400, 3, replace=False):
+            w[p] = f"e{rng.integers(1 << 40)}"
+        texts.append(" ".join(w))
+    compared = []
+
+    class Counted(S.Scratch):
+        def table(self, df):
+            out = super().table(df)
+            if out.columns == ["a", "b"]:
+                compared.append(out.count())
+            return out
+
+    monkeypatch.setattr(S, "Scratch", Counted)
+    got = {r.doc_id: r.component_id for r in S.similar_groups(table(spark, texts)).collect()}
+    assert got == dict.fromkeys(range(120), 0)
+    assert compared and max(compared) <= 2 * len(texts)
+
+
+def test_hub_pairs_are_of_bands_and_of_buckets_of_two(spark):
+    ball, band = 5, (S.SEGMENTS << 32) + 5
+    met = [(1, ball, 3, 1), (2, ball, 3, 1), (3, ball, 3, 1), (4, ball + 1, 2, 4), (5, ball + 1, 2, 4), (1, band, 3, 1), (2, band, 3, 1), (6, band, 3, 1), (2, band + 1, 2, 1)]
+    pairs = S.hub_pairs(spark.createDataFrame(met, "id long, key long, c long, hub long"))
+    assert sorted(tuple(r) for r in pairs.collect()) == [(2, 1, 2), (5, 4, 1), (6, 1, 1)]
