@@ -49,14 +49,24 @@ def _joined(t: Column, *fields: str) -> Column:
 
 def claim_supports(answer, contexts, stopwords: Sequence[str] = lx.EVIDENCE_STOPWORDS, tokens: Column | None = None) -> Column:
     """array<double>: best support of each claim of the answer by a context or by all of them together."""
-    texts = F.transform(contexts, _text)
-    numbers = F.transform(F.concat(F.array(F.array_join(texts, " ")), texts), lambda t: tx.numeric_tokens(t))
-    each = F.transform(context_tokens(contexts, stopwords) if tokens is None else tokens, lambda t: F.array_distinct(_joined(t, "title", "section", "subsection", "text", "content")))
-    words = _bind(each, lambda e: F.concat(F.array(F.array_distinct(F.flatten(e))), e))
-    evidence = F.zip_with(words, numbers, lambda w, n: F.struct(w.alias("w"), n.alias("n")))
+    none = F.array().cast("array<string>")
+    held = F.transform(context_tokens(contexts, stopwords) if tokens is None else tokens, lambda t: _joined(t, "title", "section", "subsection", "text", "content"))
     told = F.filter(tx.claims(answer), lambda c: ~tx.is_neutral(c))
     asked = F.transform(told, lambda c: F.struct(F.array_distinct(tx.tokenize_evidence(tx.normalize_claim(c), stopwords)).alias("w"), tx.numeric_tokens(c).alias("n")))
 
+    def narrowed(p):
+        """Of the contexts' words and numbers only those of the answer matter: texts meet these few once, and numbers are looked for if a claim has one. No token is empty."""
+        words = F.array_distinct(F.flatten(F.transform(p["cl"], lambda k: k["w"])))
+        each = _bind(words, lambda w: F.transform(p["ev"], lambda e: F.struct((F.size(e) == 0).alias("none"), F.array_intersect(e, w).alias("w"))))
+        texts = F.when(F.exists(p["cl"], lambda k: F.size(k["n"]) > 0), F.transform(contexts, _text))
+        numbers = _bind(texts, lambda x: F.transform(F.concat(F.array(F.array_join(x, " ")), x), lambda v: tx.numeric_tokens(v)))
+        return F.struct(each.alias("ev"), F.coalesce(numbers, F.array().cast("array<array<string>>")).alias("n"), p["cl"].alias("cl"))
+
+    def whole(p):
+        """The contexts together before each of them."""
+        every = F.struct(F.forall(p["ev"], lambda e: e["none"]).alias("none"), F.array_distinct(F.flatten(F.transform(p["ev"], lambda e: e["w"]))).alias("w"))
+        return F.struct(F.zip_with(F.concat(F.array(every), p["ev"]), p["n"], lambda e, n: F.struct(e["none"].alias("none"), e["w"].alias("w"), F.coalesce(n, none).alias("n"))).alias("ev"), p["cl"].alias("cl"))
+
     def one(p):
         def best(k):
             def score(e):
@@ -66,13 +76,7 @@ def claim_supports(answer, contexts, stopwords: Sequence[str] = lx.EVIDENCE_STOP
 
         return F.transform(p["cl"], best)
 
-    def narrowed(p):
-        """Of an evidence's words only those of the answer matter: the claims' tokens meet these few, not the whole text each. No token is empty."""
-        words = F.array_distinct(F.flatten(F.transform(p["cl"], lambda k: k["w"])))
-        held = _bind(words, lambda w: F.transform(p["ev"], lambda e: F.struct((F.size(e["w"]) == 0).alias("none"), F.array_intersect(w, e["w"]).alias("w"), e["n"].alias("n"))))
-        return F.struct(held.alias("ev"), p["cl"].alias("cl"))
-
-    return _bind(_bind(F.struct(evidence.alias("ev"), asked.alias("cl")), narrowed), one)
+    return _bind(_bind(_bind(F.struct(held.alias("ev"), asked.alias("cl")), narrowed), whole), one)
 
 
 def lexical_attribution(supports: Column) -> Column:
@@ -142,7 +146,7 @@ def context_quality(question, contexts, domains: Sequence[str] = lx.OFFICIAL_DOM
 
     def measures(t, c):
         whole = _joined(t, "title", "section", "subtitle", "text", "content")
-        relevance = F.size(F.array_intersect(asked, whole)) / F.greatest(F.lit(1), F.size(asked))
+        relevance = F.size(F.array_intersect(whole, asked)) / F.greatest(F.lit(1), F.size(asked))
         return F.struct(relevance.alias("r"), F.when(F.coalesce(c["text"], F.lit("")) != "", F.size(t["text"])).otherwise(F.size(t["content"])).alias("n"))
 
     def score(m):

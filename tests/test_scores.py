@@ -48,6 +48,61 @@ def test_many_queries_are_searched_in_blocks_and_shuffle_no_postings(spark, tmp_
     assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
 
 
+def test_near_scores_are_told_apart_in_double_precision(monkeypatch):
+    """Cells that single precision holds equal are ordered by their true sums, and ties by document; a row with many of them is summed as a whole."""
+    n = 300
+    value = 1 + np.concatenate([np.arange(n) % 7, [0] * n]) * 1e-8
+    term, doc = np.repeat([0, 1], n), np.tile(np.arange(n), 2)
+    want = sorted(range(n), key=lambda d: (-(d % 7), d))[:5]
+    for common, many in ((0.003, 64), (2.0, 64), (2.0, 1000)):
+        monkeypatch.setattr(scores, "COMMON", common)
+        monkeypatch.setattr(scores, "MANY", many)
+        queries = scores.Queries.of(pa.table({"q": ["a", "a", "b"], "term": ["x", "y", "y"], "w": [1.0, 1.0, 2.0]}))
+        q, d, s = scores.best(queries, n, term, doc, value, 5)
+        assert d[q == 0].tolist() == want and d[q == 1].tolist() == [0, 1, 2, 3, 4]
+        assert s[q == 0] == pytest.approx([2 + (x % 7) * 1e-8 for x in want], abs=1e-12)
+
+
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_a_bucket_keeps_no_more_than_the_best_of_its_blocks(blocks):
+    """Blocks that go by one after another leave what all documents at once leave, ties by key, and no more rows than that."""
+    rng = np.random.default_rng(6)
+    rows = pa.table({"q": [f"q{i // 3}" for i in range(60)], "term": [f"t{i}" for i in rng.permutation(60) % 25], "w": rng.integers(1, 3, 60).astype(float)}).group_by(["q", "term"]).aggregate([("w", "sum")]).rename_columns(["q", "term", "w"])
+    queries = scores.Queries.of(rows)
+    keys = rng.permutation(200)
+    held = {(int(t), int(d)) for t, d in zip(rng.integers(0, len(queries.terms), 1500), rng.integers(0, 200, 1500))}
+    got = scores.Best(queries, 4)
+    for own in np.array_split(keys, blocks):
+        own = np.sort(own)
+        term, doc = (np.array(x) for x in zip(*sorted((t, int(np.searchsorted(own, d))) for t, d in held if d in own)))
+        got.take(pa.array(own), term, doc, np.ones(len(term)))
+    found = got.found()
+    want = []
+    for q in queries.keys.to_pylist():
+        weight = {r["term"]: r["w"] for r in rows.to_pylist() if r["q"] == q}
+        total = {}
+        for t, d in held:
+            total[d] = total.get(d, 0) + weight.get(queries.terms[t].as_py(), 0)
+        want += [(q, d, s) for d, s in sorted(total.items(), key=lambda p: (-p[1], p[0]))[:4] if s > 0]
+    assert sorted(map(tuple, (r.values() for r in found.to_pylist()))) == sorted(want)
+
+
+def test_numbers_are_looked_for_over_the_edge_of_two_contexts(spark):
+    """All contexts together hold numbers that none holds alone; an answer without a number needs none."""
+    schema = "answer string, contexts array<struct<title:string,section:string,subsection:string,subtitle:string,text:string,content:string>>"
+    contexts = [(None, None, "", None, "alpha beta 5", None), ("mg", None, None, None, "gamma", None)]
+    df = spark.createDataFrame([("Alpha beta gamma 5 mg.", contexts), ("Alpha beta gamma.", contexts), ("Alpha beta 5 gamma.", contexts)], schema)
+    got = [r[0] for r in df.select(scoring.claim_supports("answer", F.col("contexts"))).collect()]
+    assert got[0] == pytest.approx([0.35]) and got[1] == [1.0] and got[2] == pytest.approx([2 / 3])
+
+
+def test_tokens_of_long_runs(spark):
+    """Runs of marks and letters of any length: tokens begin and end with a letter or digit."""
+    text = "a-" * 200000 + " -./- ./abc.-/ ab x.. a.b ..12/3-"
+    row = spark.createDataFrame([(text,)], "text string").select(tx.tokenize_evidence("text"), tx.tokenize_retrieval("text")).first()
+    assert row[0] == ["-".join("a" * 200000), "abc", "a.b", "12/3"] and row[1] == ["abc"]
+
+
 def test_tokens_are_runs_of_token_characters(spark):
     text = "Été à l'ÉCOLE—naïve×y÷z 日本語abc x1-2/3.4- ..foo.. ’tis 𝒜bcd\n"
     row = spark.createDataFrame([(text,), (None,), ("",)], "text string").select(tx.tokenize_retrieval("text", ["foo"]), tx.tokenize_evidence("text", ["foo"])).collect()
